@@ -6,9 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gaugeworks.llm import sharding
+from gaugeworks.llm import bpe, chat, sharding
 from gaugeworks.llm.common import table
 
+#: Where the public tokenizer files are.
+BPE_FILE = "byte_bpe_50k.json"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -22,3 +25,20 @@ def query(f):
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in eight shards of the corpus mixture."""
     return sharding.interleave(table(spark, sf_dir, "documents")).drop("stratum")
+
+
+@query
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document, and the text that they decode to, as digests."""
+    import public_tokenizers
+
+    return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(BPE_FILE))
+
+
+@query
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as prefix-target examples, read back."""
+    text = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-1, 0, "user", text), (-1, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.read_back(chat.examples(rows.unionByName(more)))
