@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gaugeworks.llm import bpe, chat, sharding
-from gaugeworks.llm.common import table
+from gaugeworks.llm import bpe, chat, sharding, warc
+from gaugeworks.llm.common import scratch, table
 
 #: Where the public tokenizer files are.
 BPE_FILE = "byte_bpe_50k.json"
@@ -42,3 +42,28 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     more = spark.createDataFrame([(-1, 0, "user", text), (-1, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return chat.read_back(chat.examples(rows.unionByName(more)))
+
+
+@query
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written as WARC records and read back."""
+    path = scratch(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), path)
+    return warc.read(spark, path, payload=False).drop("payload", "url")
+
+
+SQL["op10_warc"] = """
+    SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, d AS payload_digest,
+           CASE WHEN page_id < keeper THEN 'revisit' ELSE 'response' END AS record_type,
+           CASE WHEN page_id < keeper THEN keeper END AS refers_to
+    FROM (
+        SELECT *, max(page_id) OVER (PARTITION BY d) AS keeper
+        FROM (
+            SELECT page_id, html,
+                   array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (
+                       ((('0x' || substr(h, 1 + (5 * i) // 4, 2 + (CASE WHEN i % 8 IN (1, 3, 4, 6) THEN 0 ELSE 0 END)))::BIGINT)
+                       >> (3 - (5 * i) % 4)) & 31)::INT, 1) FOR i IN range(32)], '') AS d
+            FROM (SELECT page_id, html, sha1(coalesce(html, '')) || '0' AS h FROM pages)
+        )
+    )
+"""

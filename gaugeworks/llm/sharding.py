@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rows that one window partition ranks, about.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 2_000
 
 
 def interleave(
