@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gaugeworks.llm import bpe, chat, decontamination, quality, sharding, warc
+from gaugeworks.llm import bpe, chat, decontamination, pii, quality, sharding, warc
 from gaugeworks.llm.common import scratch, table
 
 #: Where the public tokenizer files are.
@@ -103,3 +103,9 @@ SQL["op2_decontamination"] = r"""
            sha256(coalesce(t.s, '')) AS items_sha256, coalesce(h.c, 0) > 0 AS contaminated
     FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
 """
+
+
+@query
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: the fixed patterns, and what the tagger adds."""
+    return pii.report(table(spark, sf_dir, "documents"))
