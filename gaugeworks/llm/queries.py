@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gaugeworks.llm import bpe, chat, decontamination, pii, quality, sharding, warc
+from gaugeworks.llm import bpe, chat, decontamination, neardup, pii, quality, sharding, warc
 from gaugeworks.llm.common import scratch, table
 
 #: Where the public tokenizer files are.
@@ -109,3 +110,10 @@ SQL["op2_decontamination"] = r"""
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document: the fixed patterns, and what the tagger adds."""
     return pii.report(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents that share four fifths of their word pairs."""
+    found = neardup.groups(table(spark, sf_dir, "documents"), k=2)
+    return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
