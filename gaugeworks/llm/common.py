@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that a Python function takes from an Arrow batch at a time.
 SLICE_BYTES = 4 << 20
+#: For functions that make several arrays of each byte: so few that these stay in a core's cache.
+CACHE_BYTES = 1 << 18
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,7 +62,7 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Itera
     yield batch.slice(start)
 
 
-def per_row(df: DataFrame, schema: str, column: str, f: Callable[[dict[str, list]], Iterable[dict | list]]) -> DataFrame:
+def per_row(df: DataFrame, schema: str, column: str, f: Callable[[dict[str, list]], Iterable[list]], most: int = SLICE_BYTES) -> DataFrame:
     """Applies ``f`` to slices of ``df``, given as lists by column; ``f`` returns lists in the order of ``schema``.
 
     Memory is bounded by a slice and what ``f`` makes of it.
@@ -72,7 +74,7 @@ def per_row(df: DataFrame, schema: str, column: str, f: Callable[[dict[str, list
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, column):
+            for part in slices(batch, column, most):
                 lists = f({n: part.column(n).to_pylist() for n in part.schema.names})
                 yield pa.RecordBatch.from_arrays([pa.array(x, type=t.type) for x, t in zip(lists, target, strict=True)], schema=target)
 

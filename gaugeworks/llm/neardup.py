@@ -3,54 +3,70 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeworks.llm.common import cut, per_row
+from gaugeworks.llm.common import CACHE_BYTES, cut, per_row
 from gaugeworks.llm.components import components
 from gaugeworks.llm.shingles import sets
 
 #: 2^8 buckets; 42 bands of 6 registers lose a pair of similarity 0.8 with a chance of 3 in a million.
 BUCKET_BITS, MANTISSA_BITS, ROWS = 8, 10, 6
-BANDS = (1 << BUCKET_BITS) // ROWS
-EMPTY = 0xFFFF
+BUCKETS = 1 << BUCKET_BITS
+BANDS = BUCKETS // ROWS
 #: Chance that different minima give equal registers, about.
 COLLISION = 0.17 / (1 << MANTISSA_BITS)
 #: A pair is verified unless its estimate is under the threshold by more than so many standard errors.
-ERRORS = 5
+ERRORS = 6
 #: Set sizes under RATIO^CLASSES are part of the band key, by powers of RATIO.
 RATIO, CLASSES = 1.25, 20
+#: Rounds in which a band's other components are compared with one more member of its largest.
+STAR_ROUNDS = 4
+#: Members of a band that one comparison of the last step holds.
+BLOCK_MEMBERS = 2048
+#: Buckets that an empty one borrows from, in this order.
+DONORS = np.random.default_rng(8).integers(0, BUCKETS, (BUCKETS, 64))
 
 
 def sketch(s: np.ndarray) -> bytes:
-    """Registers of a sorted set of hashes: for each bucket of the high bits, the leading zeros of the least
-    rest and the bits after its first one. The least of a bucket is the first in order."""
-    starts = np.arange(1 << BUCKET_BITS, dtype=np.uint64) << np.uint64(64 - BUCKET_BITS)
+    """The size of a sorted set of hashes (4 bytes) and its registers (2 bytes each): for each bucket of the high bits, the leading
+    zeros of the least rest and the bits after its first one. The least of a bucket is the first in order. An
+    empty bucket takes the register of the first filled one of its donors, so that small sets fill all bands."""
+    starts = np.arange(BUCKETS, dtype=np.uint64) << np.uint64(64 - BUCKET_BITS)
     at = np.searchsorted(s, starts)
     there = at < np.r_[at[1:], len(s)]
-    out = np.full(len(starts), EMPTY, "<u2")
-    rest = s[at[there]] << np.uint64(BUCKET_BITS)
-    zeros = np.zeros(len(rest), np.int64)
-    value = rest.copy()
+    out = np.zeros(BUCKETS, "<u2")
+    value = s[at[there]] << np.uint64(BUCKET_BITS)
+    zeros = np.zeros(len(value), np.int64)
     for step in (32, 16, 8, 4, 2, 1):
         low = value < np.uint64(1) << np.uint64(64 - step)
         zeros[low] += step
         value[low] <<= np.uint64(step)
-    zeros = np.minimum(zeros, 62)
     mantissa = (value << np.uint64(1)) >> np.uint64(64 - MANTISSA_BITS)
-    out[there] = (zeros << MANTISSA_BITS) | mantissa.astype(np.int64)
-    return out.tobytes()
+    out[there] = (np.minimum(zeros, 62) << MANTISSA_BITS) | mantissa.astype(np.int64)
+    if len(empty := np.flatnonzero(~there)):
+        full = np.flatnonzero(there)
+        usable = there[DONORS[empty]]
+        donor = np.where(usable.any(axis=1), DONORS[empty, usable.argmax(axis=1)], full[np.searchsorted(full, empty) % len(full)])
+        out[empty] = out[donor]
+    return len(s).to_bytes(4, "little") + out.tobytes()
 
 
-def likely(a: np.ndarray, b: np.ndarray, share: float) -> np.ndarray:
-    """Whether pairs of sketches (rows of registers) may have a similarity of ``share``, by the estimate less expected collisions."""
-    filled = (a != EMPTY) | (b != EMPTY)
-    n = np.maximum(filled.sum(axis=1), 1)
-    same = (filled & (a == b)).sum(axis=1)
-    estimate = (same - COLLISION * n) / n
-    return estimate >= share - ERRORS * np.sqrt(share * (1 - share) / n)
+def opened(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes and registers of sketches."""
+    rows = np.frombuffer(b"".join(blobs), np.dtype([("n", "<u4"), ("r", "<u2", BUCKETS)]))
+    return rows["n"], rows["r"]
+
+
+def likely(same: np.ndarray, n: np.ndarray, share: float) -> np.ndarray:
+    """Whether pairs with so many equal registers, and sets of about n, may have a similarity of ``share``, by the estimate less expected collisions."""
+    estimate = (same - COLLISION * BUCKETS) / BUCKETS
+    return estimate >= share - ERRORS * np.sqrt(share * (1 - share) / np.minimum(BUCKETS, 0.8 * n))
 
 
 def sketches(docs: DataFrame, k: int) -> DataFrame:
@@ -61,20 +77,20 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
         return [c["id"], [len(s) for s in found], [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in found], [sketch(s) if len(s) else None for s in found]]
 
     kind = docs.schema["id"].dataType.simpleString()
-    return per_row(docs, f"id {kind}, n long, digest binary, registers binary", "text", f)
+    return per_row(docs, f"id {kind}, n long, digest binary, registers binary", "text", f, CACHE_BYTES)
 
 
 def banded(reps: DataFrame) -> DataFrame:
-    """(key, id): a key for each band with a filled register. Small sets meet only sets of about their size."""
+    """(key, id): a key for each band. Small sets meet only sets of about their size."""
     width = 2 * ROWS
+    head = 4
     size_class = F.least(F.lit(CLASSES), F.floor(F.log(F.col("n").cast("double")) / float(np.log(RATIO)) + 1e-9)).cast("int")
     keys = []
     for i in range(BANDS):
-        part = F.substring("registers", i * width + 1, width)
-        keys.append(F.when(part != F.lit(b"\xff" * width), F.xxhash64(F.lit(i), "c", part)))
+        keys.append(F.xxhash64(F.lit(i), "c", F.substring("registers", head + i * width + 1, width)))
     # sets of up to three shingles are similar to equal sets only
     sized = reps.where("n > 3").withColumn("c0", size_class).withColumn("c", F.explode(F.when(F.col("c0") < CLASSES, F.array(F.col("c0"), F.col("c0") + 1)).otherwise(F.array("c0"))))
-    return sized.select("id", F.explode(F.filter(F.array(*keys), lambda x: x.isNotNull())).alias("key"))
+    return sized.select("id", F.explode(F.array(*keys)).alias("key"))
 
 
 def confirmed(pairs: DataFrame, registers: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -82,8 +98,8 @@ def confirmed(pairs: DataFrame, registers: DataFrame, texts: DataFrame, k: int,
     kind = pairs.schema["a"].dataType.simpleString()
 
     def estimate(c: dict[str, list]) -> list:
-        x, y = (np.frombuffer(b"".join(c[n]), "<u2").reshape(-1, 1 << BUCKET_BITS) for n in ("ra", "rb"))
-        ok = np.flatnonzero(likely(x, y, percent / 100))
+        (n, x), (_, y) = opened(c["ra"]), opened(c["rb"])
+        ok = np.flatnonzero(likely((x == y).sum(axis=1), n, percent / 100))
         return [[c["a"][i] for i in ok], [c["b"][i] for i in ok]]
 
     def verify(c: dict[str, list]) -> list:
@@ -105,14 +121,56 @@ def confirmed(pairs: DataFrame, registers: DataFrame, texts: DataFrame, k: int,
     return per_row(beside(found, texts, "text", "ta", "tb"), f"a {kind}, b {kind}", "tb", verify).distinct()
 
 
+def across(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of members(key, id, label, asks, registers) of one key and different labels, one of which asks, that the estimate lets pass.
+
+    Members of a key are held in blocks, and those that ask go to every block of their key; only
+    pairs that may be similar leave.
+    """
+    kind = members.schema["id"].dataType.simpleString()
+    blocks = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK_MEMBERS).cast("int").alias("blocks"))
+    rows = members.join(blocks, "key")
+    own = rows.withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int")).withColumn("asking", F.lit(False))
+    asking = rows.where("asks").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("asking", F.lit(True))
+    dealt = own.select("key", "block", "asking", "id", "label", "registers").union(asking.select("key", "block", "asking", "id", "label", "registers"))
+    dealt = dealt.repartition("key", "block").sortWithinPartitions("key", "block")
+
+    def compare(group: list[tuple]) -> tuple[list, list]:
+        q, m = [g for g in group if g[2]], [g for g in group if not g[2]]
+        labels = {g[4] for g in group}
+        code = {x: i for i, x in enumerate(labels)}
+        own_label = np.array([code[g[4]] for g in m])
+        (n, r), (_, rq) = opened([g[5] for g in m]), opened([g[5] for g in q])
+        a, b = [], []
+        for i, g in enumerate(q):
+            ok = likely((r == rq[i]).sum(axis=1), n, percent / 100) & (own_label != code[g[4]])
+            for j in np.flatnonzero(ok).tolist():
+                a.append(min(g[3], m[j][3]))
+                b.append(max(g[3], m[j][3]))
+        return a, b
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flat():
+            for batch in batches:
+                yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+
+        for _, group in itertools.groupby(flat(), key=lambda g: g[:2]):
+            a, b = compare(list(group))
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    return dealt.mapInArrow(run, f"a {kind}, b {kind}").distinct()
+
+
 def groups(docs: DataFrame, k: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id (the least doc_id linked with it, directly or by others) of each document.
 
     1. Documents with equal sets are one, named by their least id. 2. Registers of a HyperMinHash sketch are banded, and
-    documents that share a band are compared with the least id of the band, never with each other: the estimate from the
-    registers comes first, then the full sets. 3. What a band's components may still be linked by is
-    compared between components, leaving out those within one and those of the largest with itself. Components come from alternating stars.
-    Only ids, sketches and links travel; texts do for documents that share a band.
+    documents that share a band are compared with the least id of the band: the estimate from the registers
+    comes first, then the full sets. 3. In bands whose members are then in several components, those outside the largest are compared with
+    one more member of it; every band picks another, and so do a few rounds. 4. What is left outside is compared
+    with all members of other components of its bands. So links within a component aren't all tried, and none between components is missed.
+    Components come from alternating stars. Only ids, sketches and links travel; texts do for documents that share a band.
 
     Null text, empty text or text of white space: an empty set, linked with nothing. Rows with one doc_id are one
     document, linked by any of its texts. A null doc_id is in no component (null). Empty input: no rows. Other columns
@@ -129,17 +187,28 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80, id_column: str = "doc
     near = inside.select("id").distinct()
     registers = cut(reps.join(near, "id").select("id", "registers"))
     texts = cut(rows.join(near, "id", "left_semi"))
-    first = inside.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
-    links = cut(confirmed(first, registers, texts, k, percent))
+
+    links = cut(confirmed(inside.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), registers, texts, k, percent))
     label = components(links)
-    open_keys = cut(inside.join(label, "id", "left").select("key", "id", "leader", F.coalesce("label", "id").alias("label")))
-    split = open_keys.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key")
-    open_keys = cut(open_keys.join(split, "key", "left_semi"))
-    largest = open_keys.groupBy("key", "label").count().groupBy("key").agg(F.max_by("label", F.struct("count", "label")).alias("largest"))
-    asking = open_keys.join(largest, "key").where("label <> largest").select("key", F.col("id").alias("q"), F.col("label").alias("q_label"))
-    across = asking.join(open_keys, "key").where("label <> q_label and q <> leader and id <> leader").select(F.least("q", "id").alias("a"), F.greatest("q", "id").alias("b")).distinct()
-    more = cut(confirmed(across.join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), registers, texts, k, percent))
-    if not more.isEmpty():
-        label = components(links.union(more))
+    # a leader has met all of its band
+    others = inside.where("id <> leader").select("key", "id")
+    for turn in range(STAR_ROUNDS + 1):
+        named = others.join(label, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
+        split = named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key")
+        others = cut(named.join(split, "key", "left_semi"))
+        if others.isEmpty():
+            break
+        size = others.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"), F.min_by("id", F.xxhash64(F.lit(turn), "key", "id")).alias("pick"))
+        largest = size.groupBy("key").agg(F.max(F.struct("c", "label", "pick")).alias("m")).select("key", F.col("m.label").alias("largest"), F.col("m.pick").alias("pick"))
+        marked = others.join(largest, "key").withColumn("asks", F.col("label") != F.col("largest"))
+        if turn < STAR_ROUNDS:
+            pairs = marked.where("asks").select(F.least("id", "pick").alias("a"), F.greatest("id", "pick").alias("b")).distinct()
+        else:
+            pairs = across(marked.join(registers, "id").select("key", "id", "label", "asks", "registers"), percent)
+        more = cut(confirmed(pairs, registers, texts, k, percent))
+        if not more.isEmpty():
+            links = links.union(more)
+            label = components(links)
+        others = others.select("key", "id")
     label = label.select(F.col("id").alias("rep"), "label")
     return member.join(label, "rep", "left").select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), F.coalesce("label", "rep").alias("component_id"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.llm import bpe, chat, decontamination, neardup, pii, quality, sharding, warc
+from gaugeworks.llm import bpe, chat, decontamination, lines, neardup, pii, quality, sharding, warc
 from gaugeworks.llm.common import scratch, table
 
 #: Where the public tokenizer files are.
@@ -117,3 +117,9 @@ def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents that share four fifths of their word pairs."""
     found = neardup.groups(table(spark, sf_dir, "documents"), k=2)
     return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
+@query
+def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document that repeat an earlier line, or nearly so."""
+    return lines.report(table(spark, sf_dir, "documents"))
