@@ -219,8 +219,8 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, lost: f
     return with_cut(trees, x[held], y[held], lost)
 
 
-def judge(docs: DataFrame, trees: Trees | None) -> DataFrame:
-    """doc_id, the five counts, base_failed, score and kept of each document; reads doc_id and text.
+def judge(docs: DataFrame, trees: Trees | None, keep_row: bool = False) -> DataFrame:
+    """doc_id, the five counts, base_failed, score and kept of each document; reads doc_id and text. With ``keep_row``: the rows of docs and gw_kept.
 
     Rejected are texts with fewer than 20 words, texts of which over 30 % lies in repeated windows, and those whose score is under the cut.
     Null and empty texts have no words and fail. Each row is judged by itself, so repeated rows and ids get
@@ -228,14 +228,21 @@ def judge(docs: DataFrame, trees: Trees | None) -> DataFrame:
     Without trees (no labels of both classes) only the counts decide and the score is null.
     """
 
+    docs = docs.drop("gw_kept")
+    names = docs.columns
+
     def f(c: dict[str, list]) -> list:
         both = [statistics(t or "") for t in c["text"]]
         n, chars, symbols, dup, repeat = (list(x) for x in zip(*(b[0] for b in both), strict=True))
         failed = [a < 20 or 100 * r > 30 * a for a, r in zip(n, repeat, strict=True)]
         score = trees.score(np.array([b[1] for b in both])) if trees else None
         good = [True] * len(n) if trees is None else (score >= trees.cut).tolist()
+        if keep_row:
+            return [*(c[x] for x in names), [g and not x for g, x in zip(good, failed, strict=True)]]
         return [c["id"], n, chars, symbols, dup, repeat, failed, [None] * len(n) if trees is None else score.tolist(), [g and not x for g, x in zip(good, failed, strict=True)]]
 
+    if keep_row:
+        return per_row(docs, ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in docs.schema) + ", gw_kept boolean", "text", f)
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, score double, kept boolean"
     return per_row(docs.selectExpr("doc_id as id", "text"), schema, "text", f)
