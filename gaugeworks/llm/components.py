@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeworks.llm.common import cut
+from gaugeworks.llm.common import cut, tidy
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -28,4 +28,5 @@ def components(links: DataFrame) -> DataFrame:
         if now == before:
             break
         before = now
+        tidy(links.sparkSession)
     return edges.select(F.col("u").alias("id"), F.col("v").alias("label")).union(edges.select("v", "v").distinct())

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeworks.llm.common import CACHE_BYTES, cut, per_row
+from gaugeworks.llm.common import CACHE_BYTES, cut, per_row, tidy
 from gaugeworks.llm.components import components
 from gaugeworks.llm.shingles import sets
 
@@ -26,7 +26,7 @@ ERRORS = 6
 #: Set sizes under RATIO^CLASSES are part of the band key, by powers of RATIO.
 RATIO, CLASSES = 1.25, 20
 #: Rounds in which a band's other components are compared with one more member of its largest.
-STAR_ROUNDS = 4
+STAR_ROUNDS = 3
 #: Members of a band that one comparison of the last step holds.
 BLOCK_MEMBERS = 2048
 #: Buckets that an empty one borrows from, in this order.
@@ -81,13 +81,13 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
 
 
 def banded(reps: DataFrame) -> DataFrame:
-    """(key, id): a key for each band. Small sets meet only sets of about their size."""
+    """(key, id): a key for each band, whose number is in the last six bits. Small sets meet only sets of about their size."""
     width = 2 * ROWS
     head = 4
     size_class = F.least(F.lit(CLASSES), F.floor(F.log(F.col("n").cast("double")) / float(np.log(RATIO)) + 1e-9)).cast("int")
     keys = []
     for i in range(BANDS):
-        keys.append(F.xxhash64(F.lit(i), "c", F.substring("registers", head + i * width + 1, width)))
+        keys.append(F.xxhash64(F.lit(i), "c", F.substring("registers", head + i * width + 1, width)).bitwiseAND(~63).bitwiseOR(i))
     # sets of up to three shingles are similar to equal sets only
     sized = reps.where("n > 3").withColumn("c0", size_class).withColumn("c", F.explode(F.when(F.col("c0") < CLASSES, F.array(F.col("c0"), F.col("c0") + 1)).otherwise(F.array("c0"))))
     return sized.select("id", F.explode(F.array(*keys)).alias("key"))
@@ -124,8 +124,8 @@ def confirmed(pairs: DataFrame, registers: DataFrame, texts: DataFrame, k: int,
 def across(members: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of members(key, id, label, asks, registers) of one key and different labels, one of which asks, that the estimate lets pass.
 
-    Members of a key are held in blocks, and those that ask go to every block of their key; only
-    pairs that may be similar leave.
+    Members of a key are held in blocks, and those that ask go to every block of their key; only pairs that may be similar
+    leave, and only from the first band that they share.
     """
     kind = members.schema["id"].dataType.simpleString()
     blocks = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK_MEMBERS).cast("int").alias("blocks"))
@@ -145,6 +145,9 @@ def across(members: DataFrame, percent: int) -> DataFrame:
         for i, g in enumerate(q):
             ok = likely((r == rq[i]).sum(axis=1), n, percent / 100) & (own_label != code[g[4]])
             for j in np.flatnonzero(ok).tolist():
+                bands = (r[j] == rq[i])[: BANDS * ROWS].reshape(BANDS, ROWS).all(axis=1)
+                if bands.argmax() != g[0] & 63:
+                    continue
                 a.append(min(g[3], m[j][3]))
                 b.append(max(g[3], m[j][3]))
         return a, b
@@ -210,5 +213,6 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80, id_column: str = "doc
             links = links.union(more)
             label = components(links)
         others = others.select("key", "id")
+        tidy(docs.sparkSession)
     label = label.select(F.col("id").alias("rep"), "label")
     return member.join(label, "rep", "left").select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), F.coalesce("label", "rep").alias("component_id"))
