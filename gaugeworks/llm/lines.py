@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeworks.llm.common import CACHE_BYTES, cut, per_row, slices
+from gaugeworks.llm.common import CACHE_BYTES, cut, per_row, slices, tidy
 from gaugeworks.llm.shingles import FOLD, hashed_words, mix
 
 #: Counters of token frequency: a fixed number, shared by hash, so that what is broadcast doesn't grow with the vocabulary.
@@ -19,7 +19,7 @@ RANGE_BITS = 16
 FILTER_BITS = 26
 CHUNK_BITS = 16
 #: Earlier candidates of a line that one token may give in the first round. Lines that have more, and no match among these, get a second round without a limit.
-FIRST_CANDIDATES = 6
+FIRST_CANDIDATES = 3
 #: Bytes of postings in a part, about.
 PART_BYTES = 24 << 20
 #: Tokens that occur more often are dealt by line length as well.
@@ -63,6 +63,10 @@ def place_bit(doc: np.ndarray, line: np.ndarray) -> np.ndarray:
     return (mix(doc.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + line.astype(np.uint64)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
 
 
+def token_bit(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+
+
 def keys_and_counts(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, keys) with 16 bytes for each line (zeros for a line without words), and rows (bucket, counts) of token counts by range of counters."""
 
@@ -77,10 +81,7 @@ def keys_and_counts(docs: DataFrame) -> DataFrame:
                 full = np.zeros((per_text.sum(), 2), np.uint64)
                 full[at] = keys
                 ends = np.cumsum(per_text)
-                total += np.bincount(bucket_of(h), minlength=1 << COUNTER_BITS).astype(np.uint32) if len(h) > 1 << 18 else 0
-                if len(h) <= 1 << 18:
-                    b, c = np.unique(bucket_of(h), return_counts=True)
-                    total[b] += c.astype(np.uint32)
+                np.add.at(total, bucket_of(h), np.uint32(1))
                 blobs = [full[e - n : e].tobytes() for e, n in zip(ends, per_text, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("id").cast(pa.int64()), pa.array(blobs, pa.binary()), pa.nulls(len(blobs), pa.int32()), pa.nulls(len(blobs), pa.binary())], schema=schema)
         at = np.flatnonzero(total)
@@ -124,10 +125,10 @@ def by_rarity(h: np.ndarray, line: np.ndarray, codes: np.ndarray) -> tuple[np.nd
     return h2[keep], line2[keep], code[order][keep]
 
 
-def postings(docs: DataFrame, codes: np.ndarray, parts: int, percent: int) -> DataFrame:
+def postings(docs: DataFrame, codes: np.ndarray, parts: int, percent: int, tokens: np.ndarray | None = None) -> DataFrame:
     """Rows (part, postings): the prefix of each line's tokens, for lines that the task hasn't had at an earlier place.
 
-    A token that the counters have once can meet no other line and is left out.
+    A token that the counters have once can meet no other line and is left out; with ``tokens``, so are those without a bit there.
     """
     hot = int(frequency_code(np.array([HOT_COUNT]))[0])
     grow = np.log(100 / percent)
@@ -156,6 +157,8 @@ def postings(docs: DataFrame, codes: np.ndarray, parts: int, percent: int) -> Da
         b1 = np.bitwise_xor.reduceat(np.where(bit >= 64, one, np.uint64(0)), first)
         place = np.arange(len(own)) - np.repeat(first, n)
         use = fresh[own] & (place < (n - -(-percent * n // 100) + 1)[own]) & (code > 0)
+        if tokens is not None:
+            use &= bits_set(tokens, token_bit(token))
         token, own, code, place = token[use], own[use], code[use], place[use]
         out = np.zeros(len(token), POSTING)
         out["line"], out["doc"] = np.array(number)[own], np.array([i if i is not None else 0 for i in ids], np.int64)[text_of[own]]
@@ -232,60 +235,91 @@ def meet(post: np.ndarray, percent: int, limit: int | None, only: np.ndarray | N
     return post[x], post[y], post[count > limit] if limit is not None else post[:0]
 
 
-def candidates(docs: DataFrame, codes: np.ndarray, parts: int, percent: int, limit: int | None, only: np.ndarray | None = None) -> DataFrame:
+def once(rows: np.ndarray) -> np.ndarray:
+    """The columns of ``rows`` that differ."""
+    order = np.lexsort(rows)
+    rows = rows[:, order]
+    return rows[:, np.r_[True, (rows[:, 1:] != rows[:, :-1]).any(axis=0)][: rows.shape[1]]]
+
+
+def candidates(docs: DataFrame, codes: np.ndarray, parts: int, percent: int, limit: int | None, only: np.ndarray | None = None, tokens: np.ndarray | None = None) -> DataFrame:
     """PAIR rows: places of lines to compare, earlier first; rows with ``more`` name a later line that had more partners than the limit."""
 
     def run(table: pa.Table) -> pa.Table:
         post = np.concatenate([np.frombuffer(b, POSTING) for b in table.column("postings").to_pylist()])
         x, y, more = meet(post, percent, limit, only)
-        pairs = np.unique(np.rec.fromarrays([x["doc"], x["line"], y["doc"], y["line"], np.zeros(len(x), bool)]))
-        extra = np.unique(np.rec.fromarrays([more["doc"], more["line"], more["doc"], more["line"], np.ones(len(more), bool)]))
-        cols = [np.r_[pairs[f], extra[f]] for f in pairs.dtype.names]
-        return pa.table([pa.array(cols[0], pa.int64()), pa.array(cols[1].astype(np.int32)), pa.array(cols[2], pa.int64()), pa.array(cols[3].astype(np.int32)), pa.array(cols[4])], names=["x_doc", "x_line", "y_doc", "y_line", "more"])
+        kept = once(np.stack([x["doc"], x["line"], y["doc"], y["line"]]).astype(np.int64))
+        extra = once(np.stack([more["doc"], more["line"], more["doc"], more["line"]]).astype(np.int64))
+        cols = np.concatenate([kept, extra], axis=1)
+        flag = np.arange(cols.shape[1]) >= kept.shape[1]
+        return pa.table([pa.array(cols[0]), pa.array(cols[1].astype(np.int32)), pa.array(cols[2]), pa.array(cols[3].astype(np.int32)), pa.array(flag)], names=["x_doc", "x_line", "y_doc", "y_line", "more"])
 
-    return postings(docs, codes, parts, percent).groupBy("part").applyInArrow(run, PAIR)
+    return postings(docs, codes, parts, percent, tokens).groupBy("part").applyInArrow(run, PAIR)
 
 
 def bits_set(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
 
-def filter_of(places: DataFrame) -> np.ndarray:
-    """A hash filter of places (doc, line), of a fixed size: a place in it has its bit set; others seldom have."""
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at = np.unique(place_bit(b.column("doc").to_numpy(), b.column("line").to_numpy())) if b.num_rows else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array((at >> CHUNK_BITS).astype(np.int32)), pa.array((at & ((1 << CHUNK_BITS) - 1)).astype(np.int32))], names=["chunk", "bit"])
+def gathered(positions: DataFrame) -> np.ndarray:
+    """A fixed-size array of bits, those at the positions (chunk, bit) set."""
 
     def pack(t: pa.Table) -> pa.Table:
         bits = np.zeros(1 << CHUNK_BITS, bool)
         bits[t.column("bit").to_numpy()] = True
         return pa.table({"chunk": t.column("chunk").slice(0, 1), "bits": [np.packbits(bits, bitorder="little").tobytes()]})
 
-    rows = places.mapInArrow(spread, "chunk int, bit int").distinct().groupBy("chunk").applyInArrow(pack, "chunk int, bits binary").collect()
     out = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
     step = 1 << (CHUNK_BITS - 3)
-    for r in rows:
+    for r in positions.distinct().groupBy("chunk").applyInArrow(pack, "chunk int, bits binary").collect():
         out[r["chunk"] * step : (r["chunk"] + 1) * step] = np.frombuffer(r["bits"], np.uint8)
     return out
 
 
+def chunked(at: np.ndarray) -> pa.RecordBatch:
+    at = np.unique(at)
+    return pa.RecordBatch.from_arrays([pa.array((at >> CHUNK_BITS).astype(np.int32)), pa.array((at & ((1 << CHUNK_BITS) - 1)).astype(np.int32))], names=["chunk", "bit"])
+
+
+def filter_of(places: DataFrame) -> np.ndarray:
+    """A hash filter of places (doc, line): a place in it has its bit set; others seldom have."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield chunked(place_bit(b.column("doc").to_numpy(), b.column("line").to_numpy()) if b.num_rows else np.zeros(0, np.int64))
+
+    return gathered(places.mapInArrow(spread, "chunk int, bit int"))
+
+
+def tokens_of(docs: DataFrame, bits: np.ndarray) -> np.ndarray:
+    """A hash filter of the words of the lines whose place's bit is set."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield chunked(token_bit(hashed_words([t.encode() for t in b.column("text").to_pylist()])[0]))
+
+    return gathered(fetched(docs, bits).mapInArrow(spread, "chunk int, bit int"))
+
+
 def fetched(docs: DataFrame, bits: np.ndarray) -> DataFrame:
     """(doc, line, text) of the lines whose place's bit is set."""
 
     def f(c: dict[str, list]) -> list:
         ids, nos, texts = [], [], []
-        lines = [(t or "").split("\n") for t in c["text"]]
-        sizes = np.array([len(x) for x in lines])
-        doc = np.repeat(np.arange(len(lines)), sizes)
+        texts_in = [t or "" for t in c["text"]]
+        sizes = np.array([t.count("\n") + 1 for t in texts_in])
+        doc = np.repeat(np.arange(len(texts_in)), sizes)
         no = np.arange(len(doc)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         known = np.array([i is not None for i in c["id"]])
         whole = np.array([i or 0 for i in c["id"]], np.int64)
-        for k in np.flatnonzero(bits_set(bits, place_bit(whole[doc], no)) & known[doc]).tolist():
-            ids.append(c["id"][doc[k]])
-            nos.append(int(no[k]))
-            texts.append(lines[doc[k]][nos[-1]])
+        hits = np.flatnonzero(bits_set(bits, place_bit(whole[doc], no)) & known[doc])
+        own, own_lines = -1, []
+        for d, k in zip(doc[hits].tolist(), no[hits].tolist(), strict=True):
+            if d != own:
+                own, own_lines = d, texts_in[d].split("\n")
+            ids.append(c["id"][d])
+            nos.append(k)
+            texts.append(own_lines[k])
         return [ids, nos, texts]
 
     return per_row(docs, "doc long, line int, text string", "text", f)
@@ -334,14 +368,18 @@ def duplicates(docs: DataFrame, percent: int = 80, id_column: str = "doc_id", te
     lines = counted.where("bucket is null").select("doc_id", F.posexplode(each).alias("line", "key")).where(F.col("key") != F.lit(bytes(size)))
     classes = lines.where("doc_id is not null").groupBy("key").agg(F.min(F.struct("doc_id", "line")).alias("first"))
     found = cut(candidates(rows, codes, parts, percent, FIRST_CANDIDATES).distinct())
+    tidy(docs.sparkSession)
     hit = cut(matched(rows, found.where("not more").drop("more"), percent))
     left = found.where("more").select(F.col("y_doc").alias("doc"), F.col("y_line").alias("line")).distinct().join(hit, ["doc", "line"], "left_anti")
     firsts = classes.select(F.col("first.doc_id").alias("doc"), F.col("first.line").alias("line"))
     left = cut(left.join(firsts, ["doc", "line"], "left_semi"))
+    tidy(docs.sparkSession)
     if not left.isEmpty():
-        again = cut(candidates(rows, codes, parts, percent, None, filter_of(left)).distinct())
+        bits = filter_of(left)
+        again = cut(candidates(rows, codes, parts, percent, None, bits, tokens_of(rows, bits)).distinct())
         rest = again.drop("more").join(found.where("not more").drop("more"), ["x_doc", "x_line", "y_doc", "y_line"], "left_anti")
-        hit = hit.union(matched(rows, rest, percent)).distinct()
+        hit = cut(hit.union(matched(rows, rest, percent)).distinct())
+        tidy(docs.sparkSession)
     marked = classes.select("key", F.col("first.doc_id").alias("doc"), F.col("first.line").alias("line")).join(hit.withColumn("hit", F.lit(True)), ["doc", "line"], "left")
     judged = lines.join(marked.select("key", F.struct("doc", "line").alias("first"), "hit"), "key", "left")
     gone = F.coalesce((F.struct(F.col("doc_id").alias("doc"), "line") != F.col("first")) | F.col("hit"), F.lit(False))
