@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.llm import bpe, chat, decontamination, lines, neardup, pii, quality, sharding, warc
+from gaugeworks.llm import bpe, chat, decontamination, lines, neardup, pii, quality, sharding, suffix, warc
 from gaugeworks.llm.common import scratch, table
 
 #: Where the public tokenizer files are.
@@ -123,3 +123,9 @@ def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of every document that repeat an earlier line, or nearly so."""
     return lines.report(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that strings of 400 bytes found elsewhere cover."""
+    return suffix.report(table(spark, sf_dir, "documents"))
