@@ -140,7 +140,7 @@ def bits_of(df: DataFrame, kind: str) -> np.ndarray:
 
 
 def symbols(near: DataFrame) -> DataFrame:
-    """(id, zero, sym): the whole blocks around each anchor, as numbers, on a grid that begins at the anchor; ``zero`` is the place of the anchor's own block among them."""
+    """(id, doc, at, zero, sym): the whole blocks around each anchor, as numbers, on a grid that begins at the anchor; ``zero`` is the place of the anchor's own block among them."""
 
     def f(c: dict[str, list]) -> list:
         out, zeros = [], []
@@ -152,9 +152,9 @@ def symbols(near: DataFrame) -> DataFrame:
             # 1 to 2^62, so that 0 can stand for the end of a string
             out.append(((hash_of(prefix_sums(body), at, at + BLOCK) >> np.uint64(2)) + np.uint64(1)).astype(np.int64).tolist())
             zeros.append(back)
-        return [c["id"], zeros, out]
+        return [c["id"], c["doc"], c["at"], zeros, out]
 
-    return per_row(near.select("id", "zero", "near"), "id long, zero int, sym array<long>", "near", f)
+    return per_row(near.select("id", "doc", "at", "zero", "near"), "id long, doc long, at int, zero int, sym array<long>", "near", f)
 
 
 def named(triples: DataFrame, ranges: int, top: float) -> DataFrame:
@@ -217,13 +217,13 @@ def merged(strings: DataFrame, ranks: DataFrame) -> DataFrame:
     neighbour in the order of all suffixes, and, for those that share WHOLE - 1, the first suffix of their run.
 
     Suffixes are dealt by their first two symbols; within these, the sampled ones and the rest are merged by the ranks
-    that follow, and neighbours' symbols compared.
+    that follow, and neighbours' symbols compared. Grids of one document may coincide: suffixes of one place count once.
     """
     back = F.sequence(F.lit(0), F.least(F.col("zero"), F.size("sym") - 1))
-    own = strings.join(ranks, "id", "left").select("id", "zero", "sym", F.coalesce("ranks", F.expr("cast(array() as array<long>)")).alias("ranks"), F.explode(back).alias("back"))
+    own = strings.join(ranks, "id", "left").select("id", "doc", "at", "zero", "sym", F.coalesce("ranks", F.expr("cast(array() as array<long>)")).alias("ranks"), F.explode(back).alias("back"))
     p = F.col("zero") - F.col("back")
     rank = lambda k: F.coalesce(F.get("ranks", p + k), F.lit(0).cast("long"))
-    rows = own.select("id", "back", (p % 3).alias("m"), F.slice("sym", p + 1, DEPTH).alias("s"), rank(0).alias("r0"), rank(1).alias("r1"), rank(2).alias("r2"))
+    rows = own.select("id", "back", "doc", (F.col("at") - F.col("back") * BLOCK).alias("begin"), (p % 3).alias("m"), F.slice("sym", p + 1, DEPTH).alias("s"), rank(0).alias("r0"), rank(1).alias("r1"), rank(2).alias("r2"))
     # a suffix shorter than a string without its edges takes part in nothing
     rows = rows.where(F.size("s") >= WHOLE - 1).withColumn("a", F.get("s", 0)).withColumn("b", F.get("s", 1))
     dealt = rows.repartition("a", "b").sortWithinPartitions("a", "b")
@@ -231,13 +231,17 @@ def merged(strings: DataFrame, ranks: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flat():
             for batch in batches:
-                yield from zip(*(batch.column(n).to_pylist() for n in ("a", "b", "m", "s", "r0", "r1", "r2", "id", "back")), strict=True)
+                yield from zip(*(batch.column(n).to_pylist() for n in ("a", "b", "m", "s", "r0", "r1", "r2", "id", "back", "doc", "begin")), strict=True)
 
         out: list[tuple] = []
         for _, group in itertools.groupby(flat(), key=lambda r: r[:2]):
-            suffixes = [r[2:] for r in group]
+            places: dict[tuple, list[tuple]] = {}
+            for r in group:
+                places.setdefault(r[9:], []).append(r[2:9])
+            suffixes = [own[0] for own in places.values()]
             if len(suffixes) < 2:
                 continue
+            twins = {own[0][5:7]: own for own in places.values()}
             suffixes.sort(key=functools.cmp_to_key(precedes))
             with_next = [shared(a[1], b[1]) for a, b in itertools.pairwise(suffixes)]
             start = 0
@@ -246,7 +250,7 @@ def merged(strings: DataFrame, ranks: DataFrame) -> DataFrame:
                 if before < WHOLE - 1:
                     start = i
                 if max(before, after) >= WHOLE - 1:
-                    out.append((s[5], s[6], max(before, after), suffixes[start][5], suffixes[start][6]))
+                    out += [(t[5], t[6], max(before, after), suffixes[start][5], suffixes[start][6]) for t in twins[s[5:7]]]
             if len(out) > 20_000:
                 yield batch_of(out)
                 out = []
@@ -295,9 +299,8 @@ def by_edges(near: DataFrame, order: DataFrame) -> DataFrame:
             members = [r[2:] for r in group]
             out = []
             for k in range(1, BLOCK):
-                # equal texts at one place of one document come from one anchor only, so counts are of places
                 keys = [(h[-k:], t[: BLOCK - k]) if len(h) >= k and len(t) >= BLOCK - k else None for *_, h, t in members]
-                seen = Counter(keys)
+                seen = Counter(k for k, _ in {(key, m[:2]) for key, m in zip(keys, members, strict=True)})
                 for (doc, begin, low, high, _, _), key in zip(members, keys, strict=True):
                     if key is not None and low <= begin - k <= high and seen[key] > 1:
                         out.append((doc, begin - k, begin - k + 1))
