@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -54,6 +56,13 @@ def tidy(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def trim() -> None:
+    """Gives memory that a finished task no longer uses back to the system: workers live on and would keep it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """``batch`` in runs of whole rows, each of about ``most`` bytes in ``column`` or of one row."""
     col = batch.column(column)
@@ -84,5 +93,7 @@ def per_row(df: DataFrame, schema: str, column: str, f: Callable[[dict[str, list
             for part in slices(batch, column, most):
                 lists = f({n: part.column(n).to_pylist() for n in part.schema.names})
                 yield pa.RecordBatch.from_arrays([pa.array(x, type=t.type) for x, t in zip(lists, target, strict=True)], schema=target)
+                del lists
+        trim()
 
     return df.mapInArrow(run, schema)

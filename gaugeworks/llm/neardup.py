@@ -22,7 +22,7 @@ BANDS = BUCKETS // ROWS
 #: Chance that different minima give equal registers, about.
 COLLISION = 0.17 / (1 << MANTISSA_BITS)
 #: A pair is verified unless its estimate is under the threshold by more than so many standard errors.
-ERRORS = 6
+ERRORS = 5
 #: Set sizes under RATIO^CLASSES are part of the band key, by powers of RATIO.
 RATIO, CLASSES = 1.25, 20
 #: Rounds in which a band's other components are compared with one more member of its largest.
@@ -121,45 +121,57 @@ def confirmed(pairs: DataFrame, registers: DataFrame, texts: DataFrame, k: int,
     return per_row(beside(found, texts, "text", "ta", "tb"), f"a {kind}, b {kind}", "tb", verify).distinct()
 
 
-def across(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of members(key, id, label, asks, registers) of one key and different labels, one of which asks, that the estimate lets pass.
+def across(members: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) between members(key, id, label, asks, registers, text) of one key and different labels, one of which asks.
 
-    Members of a key are held in blocks, and those that ask go to every block of their key; only pairs that may be similar
-    leave, and only from the first band that they share.
+    Members of a key are held in blocks, and those that ask go to every block of their key. Pairs that the estimate lets pass are
+    compared on their full sets at once, in the first band that they share. One link to a label is enough for each that asks, so
+    what leaves doesn't grow with the pairs.
     """
     kind = members.schema["id"].dataType.simpleString()
     blocks = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK_MEMBERS).cast("int").alias("blocks"))
     rows = members.join(blocks, "key")
+    columns = ["key", "block", "asking", "id", "label", "registers", "text"]
     own = rows.withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int")).withColumn("asking", F.lit(False))
     asking = rows.where("asks").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("asking", F.lit(True))
-    dealt = own.select("key", "block", "asking", "id", "label", "registers").union(asking.select("key", "block", "asking", "id", "label", "registers"))
-    dealt = dealt.repartition("key", "block").sortWithinPartitions("key", "block")
+    dealt = own.select(columns).union(asking.select(columns)).repartition("key", "block").sortWithinPartitions("key", "block")
 
-    def compare(group: list[tuple]) -> tuple[list, list]:
+    def compare(band: int, group: list[tuple]) -> Iterator[tuple]:
         q, m = [g for g in group if g[2]], [g for g in group if not g[2]]
-        labels = {g[4] for g in group}
-        code = {x: i for i, x in enumerate(labels)}
-        own_label = np.array([code[g[4]] for g in m])
+        if not q or not m:
+            return
+        code = {x: i for i, x in enumerate({g[4] for g in group})}
+        label = np.array([code[g[4]] for g in m])
         (n, r), (_, rq) = opened([g[5] for g in m]), opened([g[5] for g in q])
-        a, b = [], []
+        known: dict[str, np.ndarray] = {}
+
+        def full(text: str) -> np.ndarray:
+            if text not in known:
+                known[text] = sets([text.encode()], k)[0]
+            return known[text]
+
         for i, g in enumerate(q):
-            ok = likely((r == rq[i]).sum(axis=1), n, percent / 100) & (own_label != code[g[4]])
-            for j in np.flatnonzero(ok).tolist():
-                bands = (r[j] == rq[i])[: BANDS * ROWS].reshape(BANDS, ROWS).all(axis=1)
-                if bands.argmax() != g[0] & 63:
-                    continue
-                a.append(min(g[3], m[j][3]))
-                b.append(max(g[3], m[j][3]))
-        return a, b
+            same = r == rq[i]
+            ok = likely(same.sum(axis=1), n, percent / 100) & (label != code[g[4]])
+            at = np.flatnonzero(ok)
+            at = at[same[at, : BANDS * ROWS].reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band]
+            linked = set()
+            for j in at.tolist():
+                if label[j] not in linked:
+                    x, y = full(g[6]), full(m[j][6])
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    if 100 * both >= percent * (len(x) + len(y) - both):
+                        linked.add(label[j])
+                        yield min(g[3], m[j][3]), max(g[3], m[j][3])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flat():
             for batch in batches:
                 yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
 
-        for _, group in itertools.groupby(flat(), key=lambda g: g[:2]):
-            a, b = compare(list(group))
-            if a:
+        for key, group in itertools.groupby(flat(), key=lambda g: g[:2]):
+            if found := list(compare(key[0] & 63, list(group))):
+                a, b = zip(*found, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     return dealt.mapInArrow(run, f"a {kind}, b {kind}").distinct()
@@ -205,10 +217,10 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80, id_column: str = "doc
         largest = size.groupBy("key").agg(F.max(F.struct("c", "label", "pick")).alias("m")).select("key", F.col("m.label").alias("largest"), F.col("m.pick").alias("pick"))
         marked = others.join(largest, "key").withColumn("asks", F.col("label") != F.col("largest"))
         if turn < STAR_ROUNDS:
-            pairs = marked.where("asks").select(F.least("id", "pick").alias("a"), F.greatest("id", "pick").alias("b")).distinct()
+            more = confirmed(marked.where("asks").select(F.least("id", "pick").alias("a"), F.greatest("id", "pick").alias("b")).distinct(), registers, texts, k, percent)
         else:
-            pairs = across(marked.join(registers, "id").select("key", "id", "label", "asks", "registers"), percent)
-        more = cut(confirmed(pairs, registers, texts, k, percent))
+            more = across(marked.join(registers, "id").join(texts, "id").select("key", "id", "label", "asks", "registers", F.coalesce("text", F.lit("")).alias("text")), k, percent)
+        more = cut(more)
         if not more.isEmpty():
             links = links.union(more)
             label = components(links)
