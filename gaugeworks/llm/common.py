@@ -19,7 +19,18 @@ SLICE_BYTES = 4 << 20
 CACHE_BYTES = 1 << 18
 
 
+#: Rows of an Arrow batch, where the session has Spark's default: texts may be long, and a batch is held whole.
+BATCH_ROWS = 1_000
+
+
+def modest(spark: SparkSession) -> None:
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, BATCH_ROWS)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    modest(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -86,6 +97,7 @@ def per_row(df: DataFrame, schema: str, column: str, f: Callable[[dict[str, list
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
+    modest(df.sparkSession)
     target = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaugeworks.llm.common import CACHE_BYTES, cut, per_row, slices, tidy
+from gaugeworks.llm.common import CACHE_BYTES, cut, per_row, slices, tidy, trim
 from gaugeworks.llm.lines import FILTER_BITS, bits_set, chunked, gathered
 from gaugeworks.llm.shingles import VALUE, mix, powers
 
@@ -69,9 +69,10 @@ def anchors(texts: list[bytes]) -> dict[str, np.ndarray]:
     sizes = np.array([len(texts[i]) for i in long])
     begin = np.cumsum(sizes) - sizes
     total = prefix_sums(data)
-    at = np.arange(len(data) - GRAM + 1)
-    gram = hash_of(total, at, at + GRAM)
-    least = sliding_least((gram >> np.uint64(32) << np.uint64(32)) | at.astype(np.uint64), CHOICE)
+    _, down = powers(len(total))
+    gram = (total[GRAM:] - total[:-GRAM]) * down[: len(data) - GRAM + 1]
+    gram = (gram ^ (gram >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
+    least = sliding_least((gram & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(gram), dtype=np.uint64), CHOICE)
     place = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
     starts = np.concatenate([np.arange(b, b + n - LENGTH + 1) for b, n in zip(begin, sizes, strict=True)])
     text = np.repeat(np.arange(len(long)), sizes - LENGTH + 1)
@@ -104,6 +105,7 @@ def all_anchors(docs: DataFrame) -> DataFrame:
                 a = anchors([(t or "").encode() for t in s.column("text").to_pylist()])
                 doc = s.column("id").cast(pa.int64()).take(pa.array(a["text"]))
                 yield pa.RecordBatch.from_arrays([signed(a["gram"]), signed(a["cover"]), doc, pa.array(a["first"].astype(np.int32))], names=["gram", "cover", "doc", "first"])
+        trim()
 
     return docs.mapInArrow(run, "gram long, cover long, doc long, first int")
 
@@ -124,6 +126,7 @@ def chosen_anchors(docs: DataFrame, grams: np.ndarray, spots: np.ndarray) -> Dat
                 left = np.minimum(a["at"], (LEFT + 1) * BLOCK)
                 near = [texts[t][p - z : p + DEPTH * BLOCK] if w else None for t, p, z, w in zip(a["text"].tolist(), a["at"].tolist(), left.tolist(), wanted.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([signed(a["gram"]), signed(a["cover"]), doc, *(pa.array(x.astype(np.int32)) for x in (a["first"], a["last"], a["at"], left)), pa.array(near, pa.binary())], schema=schema)
+        trim()
 
     return docs.mapInArrow(run, "gram long, cover long, doc long, first int, last int, at int, zero int, near binary")
 
@@ -322,7 +325,7 @@ def repeated(docs: DataFrame) -> DataFrame:
     merged, and neighbours' prefixes compared. 4. Starts between grid places are decided from the shared blocks and the bytes at both edges.
     """
     rows = docs.select(F.col("id").cast("long").alias("id"), "text").where("id is not null")
-    covers = all_anchors(rows).groupBy("gram", "cover").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("doc", "first")).alias("spot"))
+    covers = cut(all_anchors(rows).groupBy("gram", "cover").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("doc", "first")).alias("spot")))
     grams = covers.groupBy("gram").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("k")).where("n > 1")
     covers = cut(covers.join(grams.select("gram", "k"), "gram").select("gram", "cover", "c", "k", F.col("spot.doc").alias("doc"), F.col("spot.first").alias("first")))
     tidy(docs.sparkSession)
