@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeworks.llm.common import CACHE_BYTES, cut, per_row, tidy
+from gaugeworks.llm.common import CACHE_BYTES, cut, per_row, tidy, trim
 from gaugeworks.llm.components import components
 from gaugeworks.llm.shingles import sets
 
@@ -27,7 +27,7 @@ ERRORS = 5
 RATIO, CLASSES = 1.25, 20
 #: Rounds in which a band's other components are compared with one more member of its largest.
 STAR_ROUNDS = 3
-#: Members of a band that one comparison of the last step holds.
+#: Members of a family in a block of the last step.
 BLOCK_MEMBERS = 2048
 #: Buckets that an empty one borrows from, in this order.
 DONORS = np.random.default_rng(8).integers(0, BUCKETS, (BUCKETS, 64))
@@ -122,27 +122,31 @@ def confirmed(pairs: DataFrame, registers: DataFrame, texts: DataFrame, k: int,
 
 
 def across(members: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links (a, b) between members(key, id, label, asks, registers, text) of one key and different labels, one of which asks.
+    """Links (a, b) between members(family, id, label, registers, text) of one family and different labels.
 
-    Members of a key are held in blocks, and those that ask go to every block of their key. Pairs that the estimate lets pass are
-    compared on their full sets at once, in the first band that they share. One link to a label is enough for each that asks, so
-    what leaves doesn't grow with the pairs.
+    Members outside a family's largest label ask all of its members, in blocks of both, so that a task holds two blocks whatever
+    the family's size. Pairs that share a band, and that the estimate lets pass, are compared on their full sets at once. One link to a
+    label is enough for each that asks, so what leaves doesn't grow with the pairs.
     """
     kind = members.schema["id"].dataType.simpleString()
-    blocks = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK_MEMBERS).cast("int").alias("blocks"))
-    rows = members.join(blocks, "key")
-    columns = ["key", "block", "asking", "id", "label", "registers", "text"]
-    own = rows.withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int")).withColumn("asking", F.lit(False))
-    asking = rows.where("asks").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("asking", F.lit(True))
-    dealt = own.select(columns).union(asking.select(columns)).repartition("key", "block").sortWithinPartitions("key", "block")
-
-    def compare(band: int, group: list[tuple]) -> Iterator[tuple]:
-        q, m = [g for g in group if g[2]], [g for g in group if not g[2]]
+    sizes = members.groupBy("family", "label").agg(F.count(F.lit(1)).alias("c"))
+    heads = sizes.groupBy("family").agg(F.max(F.struct("c", "label")).alias("m"), F.sum("c").alias("n"))
+    heads = heads.select("family", F.col("m.label").alias("largest"), F.ceil(F.col("n") / BLOCK_MEMBERS).cast("int").alias("mb"), F.greatest(F.ceil((F.col("n") - F.col("m.c")) / BLOCK_MEMBERS), F.lit(1)).cast("int").alias("qb"))
+    rows = members.join(heads, "family").withColumn("asks", F.col("label") != F.col("largest"))
+    columns = ["family", "x", "y", "asking", "id", "label", "registers", "text"]
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    place = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+    own = rows.withColumn("x", spread("qb")).withColumn("y", place("mb")).withColumn("asking", F.lit(False))
+    asking = rows.where("asks").withColumn("x", place("qb")).withColumn("y", spread("mb")).withColumn("asking", F.lit(True))
+    dealt = own.select(columns).union(asking.select(columns)).repartition("family", "x", "y").sortWithinPartitions("family", "x", "y")
+
+    def compare(group: list[tuple]) -> Iterator[tuple]:
+        q, m = [g for g in group if g[3]], [g for g in group if not g[3]]
         if not q or not m:
             return
-        code = {x: i for i, x in enumerate({g[4] for g in group})}
-        label = np.array([code[g[4]] for g in m])
-        (n, r), (_, rq) = opened([g[5] for g in m]), opened([g[5] for g in q])
+        code = {x: i for i, x in enumerate({g[5] for g in group})}
+        label = np.array([code[g[5]] for g in m])
+        (n, r), (_, rq) = opened([g[6] for g in m]), opened([g[6] for g in q])
         known: dict[str, np.ndarray] = {}
 
         def full(text: str) -> np.ndarray:
@@ -152,27 +156,27 @@ def across(members: DataFrame, k: int, percent: int) -> DataFrame:
 
         for i, g in enumerate(q):
             same = r == rq[i]
-            ok = likely(same.sum(axis=1), n, percent / 100) & (label != code[g[4]])
-            at = np.flatnonzero(ok)
-            at = at[same[at, : BANDS * ROWS].reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band]
+            at = np.flatnonzero(likely(same.sum(axis=1), n, percent / 100) & (label != code[g[5]]))
+            at = at[same[at, : BANDS * ROWS].reshape(-1, BANDS, ROWS).all(axis=2).any(axis=1)]
             linked = set()
             for j in at.tolist():
                 if label[j] not in linked:
-                    x, y = full(g[6]), full(m[j][6])
+                    x, y = full(g[7]), full(m[j][7])
                     both = len(np.intersect1d(x, y, assume_unique=True))
                     if 100 * both >= percent * (len(x) + len(y) - both):
                         linked.add(label[j])
-                        yield min(g[3], m[j][3]), max(g[3], m[j][3])
+                        yield min(g[4], m[j][4]), max(g[4], m[j][4])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flat():
             for batch in batches:
                 yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
 
-        for key, group in itertools.groupby(flat(), key=lambda g: g[:2]):
-            if found := list(compare(key[0] & 63, list(group))):
+        for _, group in itertools.groupby(flat(), key=lambda g: g[:3]):
+            if found := list(compare(list(group))):
                 a, b = zip(*found, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+        trim()
 
     return dealt.mapInArrow(run, f"a {kind}, b {kind}").distinct()
 
@@ -183,8 +187,8 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80, id_column: str = "doc
     1. Documents with equal sets are one, named by their least id. 2. Registers of a HyperMinHash sketch are banded, and
     documents that share a band are compared with the least id of the band: the estimate from the registers
     comes first, then the full sets. 3. In bands whose members are then in several components, those outside the largest are compared with
-    one more member of it; every band picks another, and so do a few rounds. 4. What is left outside is compared
-    with all members of other components of its bands. So links within a component aren't all tried, and none between components is missed.
+    one more member of it; every band picks another, and so do a few rounds. 4. Bands that
+    are still split make families, and what is outside a family's largest component is compared with all of its members. So links within a component aren't all tried, and none between components is missed.
     Components come from alternating stars. Only ids, sketches and links travel; texts do for documents that share a band.
 
     Null text, empty text or text of white space: an empty set, linked with nothing. Rows with one doc_id are one
@@ -219,7 +223,11 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80, id_column: str = "doc
         if turn < STAR_ROUNDS:
             more = confirmed(marked.where("asks").select(F.least("id", "pick").alias("a"), F.greatest("id", "pick").alias("b")).distinct(), registers, texts, k, percent)
         else:
-            more = across(marked.join(registers, "id").join(texts, "id").select("key", "id", "label", "asks", "registers", F.coalesce("text", F.lit("")).alias("text")), k, percent)
+            firsts = others.groupBy("key").agg(F.min("id").alias("a"))
+            chained = others.join(firsts, "key").where("id <> a").select("a", F.col("id").alias("b")).distinct()
+            family = components(chained).select("id", F.col("label").alias("family"))
+            members = others.select("id", "label").distinct().join(family, "id").join(registers, "id").join(texts, "id")
+            more = across(members.select("family", "id", "label", "registers", F.coalesce("text", F.lit("")).alias("text")), k, percent)
         more = cut(more)
         if not more.isEmpty():
             links = links.union(more)
