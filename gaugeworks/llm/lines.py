@@ -9,24 +9,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeworks.llm.common import CACHE_BYTES, cut, per_row, slices, tidy
+from gaugeworks.llm.common import CACHE_BYTES, cut, per_row, slices, tidy, trim
 from gaugeworks.llm.shingles import FOLD, hashed_words, mix
 
 #: Counters of token frequency: a fixed number, shared by hash, so that what is broadcast doesn't grow with the vocabulary.
-COUNTER_BITS = 22
+COUNTER_BITS = 23
 RANGE_BITS = 16
 #: Bits of the fixed-size hash filter of places.
 FILTER_BITS = 26
 CHUNK_BITS = 16
 #: Earlier candidates of a line that one token may give in the first round. Lines that have more, and no match among these, get a second round without a limit.
-FIRST_CANDIDATES = 3
+FIRST_CANDIDATES = 2
+#: If no more lines than these are left for the second round, with no more bytes, they go to all tasks and one pass over the documents decides them.
+LEFT_LINES, LEFT_BYTES = 5_000, 4 << 20
 #: Bytes of postings in a part, about.
 PART_BYTES = 24 << 20
 #: Tokens that occur more often are dealt by line length as well.
 HOT_COUNT = 50_000
 FLUSH_BYTES = 4 << 20
 MOST_N = 65_535
-POSTING = np.dtype([("t", "<u4"), ("line", "<u4"), ("doc", "<i8"), ("b0", "<u8"), ("b1", "<u4"), ("n", "<u2"), ("p", "<u2")])
+POSTING = np.dtype([("t", "<u4"), ("line", "<u4"), ("doc", "<i8"), ("b0", "<u8"), ("b1", "<u8"), ("n", "<u2"), ("p", "<u2")])
 PAIR = "x_doc long, x_line int, y_doc long, y_line int, more boolean"
 
 
@@ -151,7 +153,7 @@ def postings(docs: DataFrame, codes: np.ndarray, parts: int, percent: int, token
         token, own, code = by_rarity(h, np.searchsorted(at, line), codes)
         first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
         n = np.diff(np.r_[first, len(own)])
-        bit = (token >> np.uint64(3)) % np.uint64(96)
+        bit = (token >> np.uint64(3)) % np.uint64(128)
         one = np.uint64(1) << (bit & np.uint64(63))
         b0 = np.bitwise_xor.reduceat(np.where(bit < 64, one, np.uint64(0)), first)
         b1 = np.bitwise_xor.reduceat(np.where(bit >= 64, one, np.uint64(0)), first)
@@ -191,6 +193,7 @@ def postings(docs: DataFrame, codes: np.ndarray, parts: int, percent: int, token
                     yield flush()
         if held:
             yield flush()
+        trim()
 
     return docs.mapInArrow(run, "part int, postings binary")
 
@@ -252,7 +255,7 @@ def candidates(docs: DataFrame, codes: np.ndarray, parts: int, percent: int, lim
         extra = once(np.stack([more["doc"], more["line"], more["doc"], more["line"]]).astype(np.int64))
         cols = np.concatenate([kept, extra], axis=1)
         flag = np.arange(cols.shape[1]) >= kept.shape[1]
-        return pa.table([pa.array(cols[0]), pa.array(cols[1].astype(np.int32)), pa.array(cols[2]), pa.array(cols[3].astype(np.int32)), pa.array(flag)], names=["x_doc", "x_line", "y_doc", "y_line", "more"])
+        return pa.table([pa.array(cols[0]), pa.array(cols[1].astype(np.int32)), pa.array(cols[2]), pa.array(cols[3].astype(np.int32)), pa.array(flag)], names=["x_doc", "x_line", "y_doc", "y_line", "more"])
 
     return postings(docs, codes, parts, percent, tokens).groupBy("part").applyInArrow(run, PAIR)
 
@@ -345,6 +348,46 @@ def matched(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     return per_row(sides.select("y_doc", "y_line", "x", "y"), "doc long, line int", "y", f).distinct()
 
 
+def searched(docs: DataFrame, lines: list[tuple[int, int, str]], codes: np.ndarray, percent: int) -> DataFrame:
+    """(doc, line) of the given lines (doc, line, text) that an earlier line of any document is similar to: all lines are held against the given ones, by way of the tokens of their prefixes."""
+    wanted: dict[int, list[int]] = {}
+    given = []
+    for i, (doc, no, text) in enumerate(lines):
+        h, _, _, _ = hashed_words([text.encode()])
+        token, _, _ = by_rarity(h, np.zeros(len(h), np.int64), codes)
+        for t in token[: len(token) - -(-percent * len(token) // 100) + 1].tolist():
+            wanted.setdefault(t, []).append(i)
+        given.append((doc, no, set(text.encode().translate(FOLD).split())))
+    known = np.sort(np.array(list(wanted), np.uint64))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hit: set[int] = set()
+        for batch in batches:
+            for part in slices(batch, "text", CACHE_BYTES):
+                texts = [(t or "").encode() for t in part.column("text").to_pylist()]
+                h, line, per_text = words_by_line(texts)
+                flagged = np.flatnonzero(known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h) if len(known) else np.zeros(0, int)
+                ids = part.column("id").cast(pa.int64()).to_pylist()
+                ends = np.cumsum(per_text)
+                for own in np.unique(line[flagged]).tolist():
+                    t = int(np.searchsorted(ends, own, side="right"))
+                    place = (ids[t], own - int(ends[t] - per_text[t]))
+                    if place[0] is None:
+                        continue
+                    words = None
+                    for i in {i for x in h[flagged[line[flagged] == own]].tolist() for i in wanted[x]} - hit:
+                        if place < given[i][:2]:
+                            words = words or set(texts[t].split(b"\n")[place[1]].translate(FOLD).split())
+                            both = len(words & given[i][2])
+                            if 100 * both >= percent * (len(words) + len(given[i][2]) - both):
+                                hit.add(i)
+        rows = [given[i] for i in sorted(hit)]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32())], names=["doc", "line"])
+        trim()
+
+    return docs.mapInArrow(run, "doc long, line int").distinct()
+
+
 def duplicates(docs: DataFrame, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """id, n_lines (lines with a word), n_removed and removed (their numbers from 0, ascending) of each document with a line.
 
@@ -374,8 +417,13 @@ def duplicates(docs: DataFrame, percent: int = 80, id_column: str = "doc_id", te
     firsts = classes.select(F.col("first.doc_id").alias("doc"), F.col("first.line").alias("line"))
     left = cut(left.join(firsts, ["doc", "line"], "left_semi"))
     tidy(docs.sparkSession)
-    if not left.isEmpty():
-        bits = filter_of(left)
+    bits = None if left.isEmpty() else filter_of(left)
+    few = None if bits is None else cut(fetched(rows, bits).join(left, ["doc", "line"], "left_semi"))
+    size = few.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first() if few else (0, 0)
+    if few and size[0] <= LEFT_LINES and size[1] <= LEFT_BYTES:
+        given = [(r["doc"], r["line"], r["text"]) for r in few.collect()]
+        hit = cut(hit.union(searched(rows, given, codes, percent)).distinct())
+    elif few:
         again = cut(candidates(rows, codes, parts, percent, None, bits, tokens_of(rows, bits)).distinct())
         rest = again.drop("more").join(found.where("not more").drop("more"), ["x_doc", "x_line", "y_doc", "y_line"], "left_anti")
         hit = cut(hit.union(matched(rows, rest, percent)).distinct())
