@@ -55,6 +55,27 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+class Tables:
+    """Tables of one operator's run in the shared folder, compressed, which go when it is done with them. What it returns mustn't read them any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.base, self.n = spark, scratch(spark, "tables"), 0
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        path = f"{self.base}/{self.n}"
+        df.write.option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def __enter__(self) -> Tables:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.base)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        tidy(self.spark)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder, its lineage ended there."""
     shared_folder(df.sparkSession)

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaugeworks.llm.common import CACHE_BYTES, cut, per_row, slices, tidy, trim
+from gaugeworks.llm.common import CACHE_BYTES, Tables, cut, per_row, slices, tidy, trim
 from gaugeworks.llm.lines import FILTER_BITS, bits_set, chunked, gathered
 from gaugeworks.llm.shingles import VALUE, mix, powers
 
@@ -169,7 +169,7 @@ def named(triples: DataFrame, ranges: int, top: float) -> DataFrame:
     return ranked.join(before, "part").select("x", "y", "z", (F.col("r") + F.col("before")).alias("name"))
 
 
-def sample_ranks(strings: DataFrame) -> DataFrame:
+def sample_ranks(strings: DataFrame, tables: Tables) -> DataFrame:
     """(id, ranks): for each string an array with the rank of the suffixes at places 1 and 2 modulo 3, to a depth of nine symbols, and 0 elsewhere.
 
     Triples of symbols at those places are sorted and named; the string of names is sorted by triples again.
@@ -180,11 +180,11 @@ def sample_ranks(strings: DataFrame) -> DataFrame:
         get = lambda k: F.coalesce(F.get("v", F.col("p") + k * step), F.lit(0))
         places = F.filter(F.sequence(F.lit(0), F.size("v") - 1), lambda p: p % 3 != 0)
         triples = values.where(F.size("v") > 1).select("id", "v", F.explode(places).alias("p")).select("id", "p", F.size("v").alias("n"), get(0).alias("x"), get(1).alias("y"), get(2).alias("z"))
-        triples = cut(triples)
+        triples = tables.keep(triples)
         n = max(1, triples.count() // RANGE_TRIPLES)
         told = triples.join(named(triples, n, top), ["x", "y", "z"])
         arrays = told.groupBy("id", "n").agg(F.map_from_entries(F.collect_list(F.struct("p", "name"))).alias("m"))
-        return cut(arrays.select("id", F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda p: F.coalesce(F.col("m")[p], F.lit(0).cast("long"))).alias("v")))
+        return tables.keep(arrays.select("id", F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda p: F.coalesce(F.col("m")[p], F.lit(0).cast("long"))).alias("v")))
 
     names = round_of(strings.select("id", F.col("sym").alias("v")), 1, float(2**62 + 1))
     most = names.agg(F.max(F.array_max("v"))).first()[0] or 1
@@ -325,19 +325,21 @@ def repeated(docs: DataFrame) -> DataFrame:
     merged, and neighbours' prefixes compared. 4. Starts between grid places are decided from the shared blocks and the bytes at both edges.
     """
     rows = docs.select(F.col("id").cast("long").alias("id"), "text").where("id is not null")
-    covers = cut(all_anchors(rows).groupBy("gram", "cover").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("doc", "first")).alias("spot")))
-    grams = covers.groupBy("gram").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("k")).where("n > 1")
-    covers = cut(covers.join(grams.select("gram", "k"), "gram").select("gram", "cover", "c", "k", F.col("spot.doc").alias("doc"), F.col("spot.first").alias("first")))
-    tidy(docs.sparkSession)
-    found = cut(chosen_anchors(rows, bits_of(covers, "gram"), bits_of(covers.where("k > 1"), "spot")))
-    done = found.join(covers.where("c > 1").select("gram", "cover"), ["gram", "cover"], "left_semi").select("doc", F.col("first").alias("start"), (F.col("last") + 1).alias("end"))
-    near = found.where("near is not null").withColumn("id", F.monotonically_increasing_id())
-    near = cut(near.select("id", "doc", "first", "last", "at", "zero", "near"))
-    strings = cut(symbols(near))
-    order = cut(merged(strings, sample_ranks(strings)))
-    tidy(docs.sparkSession)
-    spans = done.union(by_blocks(near, order)).union(by_edges(near, order))
-    return spans.groupBy("doc").agg(F.collect_set(F.struct("start", "end")).alias("spans")).withColumnRenamed("doc", "id")
+    with Tables(docs.sparkSession) as tables:
+        covers = tables.keep(all_anchors(rows).groupBy("gram", "cover").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("doc", "first")).alias("spot")))
+        tidy(docs.sparkSession)
+        grams = covers.groupBy("gram").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("k")).where("n > 1")
+        covers = tables.keep(covers.join(grams.select("gram", "k"), "gram").select("gram", "cover", "c", "k", F.col("spot.doc").alias("doc"), F.col("spot.first").alias("first")))
+        tidy(docs.sparkSession)
+        found = tables.keep(chosen_anchors(rows, bits_of(covers, "gram"), bits_of(covers.where("k > 1"), "spot")))
+        done = found.join(covers.where("c > 1").select("gram", "cover"), ["gram", "cover"], "left_semi").select("doc", F.col("first").alias("start"), (F.col("last") + 1).alias("end"))
+        near = found.where("near is not null").withColumn("id", F.monotonically_increasing_id())
+        near = tables.keep(near.select("id", "doc", "first", "last", "at", "zero", "near"))
+        strings = tables.keep(symbols(near))
+        order = tables.keep(merged(strings, sample_ranks(strings, tables)))
+        tidy(docs.sparkSession)
+        spans = done.union(by_blocks(near, order)).union(by_edges(near, order))
+        return cut(spans.groupBy("doc").agg(F.collect_set(F.struct("start", "end")).alias("spans")).withColumnRenamed("doc", "id"))
 
 
 def removed_runs(spans: list[tuple[int, int]] | None) -> list[tuple[int, int]]:
