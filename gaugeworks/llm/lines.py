@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeworks.llm.common import CACHE_BYTES, cut, per_row, slices, tidy, trim
+from gaugeworks.llm.common import CACHE_BYTES, Tables, cut, per_row, slices, tidy, trim
 from gaugeworks.llm.shingles import FOLD, hashed_words, mix
 
 #: Counters of token frequency: a fixed number, shared by hash, so that what is broadcast doesn't grow with the vocabulary.
@@ -403,36 +403,37 @@ def duplicates(docs: DataFrame, percent: int = 80, id_column: str = "doc_id", te
     Rows of one id share their places: lines of the same number stand for each other. Empty input: no rows. Lines of any length are compared whole. Other columns are not read.
     """
     rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
-    counted = cut(keys_and_counts(rows))
-    codes, tokens = frequencies(counted)
-    parts = max(12, -(-int(tokens * 0.2 * POSTING.itemsize) // PART_BYTES))
-    size = 16
-    each = F.transform(F.sequence(F.lit(0), F.expr(f"length(keys) div {size} - 1").cast("int")), lambda i: F.expr("keys").substr(i * size + 1, F.lit(size)))
-    lines = counted.where("bucket is null").select("doc_id", F.posexplode(each).alias("line", "key")).where(F.col("key") != F.lit(bytes(size)))
-    classes = lines.where("doc_id is not null").groupBy("key").agg(F.min(F.struct("doc_id", "line")).alias("first"))
-    found = cut(candidates(rows, codes, parts, percent, FIRST_CANDIDATES).distinct())
-    tidy(docs.sparkSession)
-    hit = cut(matched(rows, found.where("not more").drop("more"), percent))
-    left = found.where("more").select(F.col("y_doc").alias("doc"), F.col("y_line").alias("line")).distinct().join(hit, ["doc", "line"], "left_anti")
-    firsts = classes.select(F.col("first.doc_id").alias("doc"), F.col("first.line").alias("line"))
-    left = cut(left.join(firsts, ["doc", "line"], "left_semi"))
-    tidy(docs.sparkSession)
-    bits = None if left.isEmpty() else filter_of(left)
-    few = None if bits is None else cut(fetched(rows, bits).join(left, ["doc", "line"], "left_semi"))
-    size = few.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first() if few else (0, 0)
-    if few and size[0] <= LEFT_LINES and size[1] <= LEFT_BYTES:
-        given = [(r["doc"], r["line"], r["text"]) for r in few.collect()]
-        hit = cut(hit.union(searched(rows, given, codes, percent)).distinct())
-    elif few:
-        again = cut(candidates(rows, codes, parts, percent, None, bits, tokens_of(rows, bits)).distinct())
-        rest = again.drop("more").join(found.where("not more").drop("more"), ["x_doc", "x_line", "y_doc", "y_line"], "left_anti")
-        hit = cut(hit.union(matched(rows, rest, percent)).distinct())
+    with Tables(docs.sparkSession) as tables:
+        counted = tables.keep(keys_and_counts(rows))
+        codes, tokens = frequencies(counted)
+        parts = max(12, -(-int(tokens * 0.2 * POSTING.itemsize) // PART_BYTES))
+        size = 16
+        each = F.transform(F.sequence(F.lit(0), F.expr(f"length(keys) div {size} - 1").cast("int")), lambda i: F.expr("keys").substr(i * size + 1, F.lit(size)))
+        lines = counted.where("bucket is null").select("doc_id", F.posexplode(each).alias("line", "key")).where(F.col("key") != F.lit(bytes(size)))
+        classes = lines.where("doc_id is not null").groupBy("key").agg(F.min(F.struct("doc_id", "line")).alias("first"))
+        found = tables.keep(candidates(rows, codes, parts, percent, FIRST_CANDIDATES).distinct())
         tidy(docs.sparkSession)
-    marked = classes.select("key", F.col("first.doc_id").alias("doc"), F.col("first.line").alias("line")).join(hit.withColumn("hit", F.lit(True)), ["doc", "line"], "left")
-    judged = lines.join(marked.select("key", F.struct("doc", "line").alias("first"), "hit"), "key", "left")
-    gone = F.coalesce((F.struct(F.col("doc_id").alias("doc"), "line") != F.col("first")) | F.col("hit"), F.lit(False))
-    kept = judged.select(F.col("doc_id"), "line", F.when(F.col("doc_id").isNotNull(), gone).otherwise(False).alias("gone"))
-    return kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"), F.count_if("gone").alias("n_removed"), F.array_sort(F.collect_set(F.when(F.col("gone"), F.col("line")))).alias("removed")).withColumnRenamed("doc_id", id_column)
+        hit = cut(matched(rows, found.where("not more").drop("more"), percent))
+        left = found.where("more").select(F.col("y_doc").alias("doc"), F.col("y_line").alias("line")).distinct().join(hit, ["doc", "line"], "left_anti")
+        firsts = classes.select(F.col("first.doc_id").alias("doc"), F.col("first.line").alias("line"))
+        left = cut(left.join(firsts, ["doc", "line"], "left_semi"))
+        tidy(docs.sparkSession)
+        bits = None if left.isEmpty() else filter_of(left)
+        few = None if bits is None else tables.keep(fetched(rows, bits).join(left, ["doc", "line"], "left_semi"))
+        size = few.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first() if few else (0, 0)
+        if few and size[0] <= LEFT_LINES and size[1] <= LEFT_BYTES:
+            given = [(r["doc"], r["line"], r["text"]) for r in few.collect()]
+            hit = cut(hit.union(searched(rows, given, codes, percent)).distinct())
+        elif few:
+            again = tables.keep(candidates(rows, codes, parts, percent, None, bits, tokens_of(rows, bits)).distinct())
+            rest = again.drop("more").join(found.where("not more").drop("more"), ["x_doc", "x_line", "y_doc", "y_line"], "left_anti")
+            hit = cut(hit.union(matched(rows, rest, percent)).distinct())
+            tidy(docs.sparkSession)
+        marked = classes.select("key", F.col("first.doc_id").alias("doc"), F.col("first.line").alias("line")).join(hit.withColumn("hit", F.lit(True)), ["doc", "line"], "left")
+        judged = lines.join(marked.select("key", F.struct("doc", "line").alias("first"), "hit"), "key", "left")
+        gone = F.coalesce((F.struct(F.col("doc_id").alias("doc"), "line") != F.col("first")) | F.col("hit"), F.lit(False))
+        kept = judged.select(F.col("doc_id"), "line", F.when(F.col("doc_id").isNotNull(), gone).otherwise(False).alias("gone"))
+        return cut(kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"), F.count_if("gone").alias("n_removed"), F.array_sort(F.collect_set(F.when(F.col("gone"), F.col("line")))).alias("removed")).withColumnRenamed("doc_id", id_column))
 
 
 def report(docs: DataFrame, percent: int = 80) -> DataFrame:
