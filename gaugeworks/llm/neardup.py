@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeworks.llm.common import CACHE_BYTES, cut, per_row, tidy, trim
+from gaugeworks.llm.common import CACHE_BYTES, Tables, cut, per_row, tidy, trim
 from gaugeworks.llm.components import components
 from gaugeworks.llm.shingles import sets
 
@@ -195,17 +195,22 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80, id_column: str = "doc
     document, linked by any of its texts. A null doc_id is in no component (null). Empty input: no rows. Other columns
     are not read.
     """
+    with Tables(docs.sparkSession) as tables:
+        return cut(grouped(docs, k, percent, id_column, text_column, tables))
+
+
+def grouped(docs: DataFrame, k: int, percent: int, id_column: str, text_column: str, tables: Tables) -> DataFrame:
     rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"))
-    known = cut(sketches(rows, k))
+    known = tables.keep(sketches(rows, k))
     least = known.where("digest is not null and id is not null").groupBy("digest").agg(F.min("id").alias("rep"))
     member = known.select("id", "n", "digest").join(least, "digest", "left").select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("rep", "id")).alias("rep"))
     reps = known.join(least.select(F.col("rep").alias("id"), F.col("digest").alias("own")), "id").where("digest = own").select("id", "n", "registers")
     bands = banded(reps)
     shared = bands.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("last")).where("leader < last")
-    inside = cut(bands.join(shared.select("key", "leader"), "key").select("key", "id", "leader"))
+    inside = tables.keep(bands.join(shared.select("key", "leader"), "key").select("key", "id", "leader"))
     near = inside.select("id").distinct()
-    registers = cut(reps.join(near, "id").select("id", "registers"))
-    texts = cut(rows.join(near, "id", "left_semi"))
+    registers = tables.keep(reps.join(near, "id").select("id", "registers"))
+    texts = tables.keep(rows.join(near, "id", "left_semi"))
 
     links = cut(confirmed(inside.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), registers, texts, k, percent))
     label = components(links)
