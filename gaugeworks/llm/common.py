@@ -42,12 +42,12 @@ def shared_folder(spark: SparkSession) -> str:
         if "spark.checkpoint.dir" not in str(error):
             raise
         base = None
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="gaugeworks-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(base)
-    return base
+    sc = spark.sparkContext
+    own = sc._jsc.sc().getCheckpointDir()
+    if own.isEmpty():
+        base = base or "file://" + tempfile.mkdtemp(prefix="gaugeworks-")
+        sc.setCheckpointDir(base)
+    return base or own.get()
 
 
 def scratch(spark: SparkSession, label: str) -> str:

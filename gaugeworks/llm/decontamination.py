@@ -16,7 +16,7 @@ WINDOW = 10
 #: Bytes of a block; a window's blocks are looked up in the shift table.
 BLOCK = 7
 #: Windows that one pass over the documents looks for. More are looked for in more passes.
-PASS_WINDOWS = 200_000
+PASS_WINDOWS = 20_000
 
 
 def words(text: str | None) -> list[bytes]:

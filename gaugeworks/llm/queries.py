@@ -129,3 +129,21 @@ def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of every document that strings of 400 bytes found elsewhere cover."""
     return suffix.report(table(spark, sf_dir, "documents"))
+
+
+SQL["op4_chat"] = r"""
+    WITH c AS (
+        SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+        UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+    ), n AS (
+        SELECT *, row_number() OVER w AS i, count(*) OVER (PARTITION BY conv_id) AS k,
+               sum(23 + length(role) + length(text) + len(regexp_extract_all(role, p)) + len(regexp_extract_all(text, p))) OVER (w ROWS UNBOUNDED PRECEDING) AS upto
+        FROM c, (SELECT '\\|<\|turn\|>|<\|text\|>|<\|end\|>|<s>|</s>|\[INST\]|\[/INST\]|<<SYS>>|<</SYS>>|<\|im_start\|>|<\|im_end\|>|<\|endoftext\|>' AS p)
+        WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)
+    )
+    SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+           coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+           sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '')) AS loss_sha256,
+           sum(upto) FILTER (role = 'assistant' OR i = k)::BIGINT AS formatted_chars, count(*) FILTER (role = 'assistant' OR i = k) AS n_examples
+    FROM n GROUP BY conv_id
+"""
