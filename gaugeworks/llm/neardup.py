@@ -185,7 +185,7 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80, id_column: str = "doc
     """doc_id, n_shingles and component_id (the least doc_id linked with it, directly or by others) of each document.
 
     1. Documents with equal sets are one, named by their least id. 2. Registers of a HyperMinHash sketch are banded, and
-    documents that share a band are compared with the least id of the band: the estimate from the registers
+    documents that share a band are compared with the least id of the band, unless they are linked already: the estimate from the registers
     comes first, then the full sets. 3. In bands whose members are then in several components, those outside the largest are compared with
     one more member of it; every band picks another, and so do a few rounds. 4. Bands that
     are still split make families, and what is outside a family's largest component is compared with all of its members. So links within a component aren't all tried, and none between components is missed.
@@ -212,8 +212,18 @@ def grouped(docs: DataFrame, k: int, percent: int, id_column: str, text_column:
     registers = tables.keep(reps.join(near, "id").select("id", "registers"))
     texts = tables.keep(rows.join(near, "id", "left_semi"))
 
-    links = cut(confirmed(inside.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), registers, texts, k, percent))
+    # first the leader that shares most bands, then those of other bands from which that hasn't linked
+    pairs = inside.where("id <> leader").groupBy(F.col("leader").alias("a"), F.col("id").alias("b")).agg(F.count(F.lit(1)).alias("bands"))
+    best = pairs.groupBy("b").agg(F.max_by("a", F.struct("bands", "a")).alias("a")).select("a", "b")
+    links = cut(confirmed(best, registers, texts, k, percent))
     label = components(links)
+    side = lambda c: label.select(F.col("id").alias(c), F.col("label").alias(f"label_{c}"))
+    apart = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").where(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select("a", "b")
+    more = cut(confirmed(apart, registers, texts, k, percent))
+    tidy(docs.sparkSession)
+    if not more.isEmpty():
+        links = links.union(more)
+        label = components(links)
     # a leader has met all of its band
     others = inside.where("id <> leader").select("key", "id")
     for turn in range(STAR_ROUNDS + 1):
