@@ -35,7 +35,7 @@ def parser() -> argparse.ArgumentParser:
     choice = (("--min-total", {"type": int, "default": 5000}), ("--per-template", {"type": int, "default": 0}), ("--seed", {"type": int, "default": 0}))
     add("inspect", source)
     add("probe", source)
-    add("cohort", source, out, *choice, ("--benchmark", {"default": "drivelm"}), ("--date", {"required": True}), ("--per-cell", {"type": int, "default": 5}))
+    add("cohort", source, out, *choice, ("--benchmark", {"required": True}), ("--date", {"required": True}), ("--per-cell", {"type": int, "default": 5}))
     add("plan", source, ("--cohort", {"required": True}), ("--cache", {"required": True}), ("--condition", {"required": True}), ("--model", {"required": True}), ("--decode", {"default": "{}"}), out, *choice)
     add("pilot", ("--scored", {"required": True, "nargs": "+"}), ("--usd-per-call", {"type": float, "default": 0}), ("--budget", {"type": float, "default": 5}), ("--models", {"type": int, "default": 1}), ("--conditions", {"type": int, "default": 4}), ("--halfwidth", {"type": float, "default": 0.04}))
     add("score", source, ("--cohort", {}), ("--cache", {"required": True}), out, *choice)

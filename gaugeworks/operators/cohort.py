@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from gaugeworks.functions import hashing, text
 
 
+#: Fixed value: the source that question ids are made of.
+SOURCE = "drivelm_conv"
+
+
 class CohortError(ValueError):
     """A cohort that isn't what it says."""
 
@@ -54,7 +58,7 @@ def balanced(items: DataFrame, specs: DataFrame, seed: int = 0, per_template: in
     chosen = ordered.withColumn("rank", F.row_number().over(w) - 1).where("rank < take")
     texts = text.counterbalanced(F.col("options"), F.col("gold_text"), F.col("rank"))
     return chosen.select(
-        hashing.question_id(F.lit("drivelm_conv"), place[0], place[1], F.col("category"), F.col("idx")).alias("question_id"), place[0].alias("scene_id"), place[1].alias("frame_id"), "category",
+        hashing.question_id(F.lit(SOURCE), place[0], place[1], F.col("category"), F.col("idx")).alias("question_id"), place[0].alias("scene_id"), place[1].alias("frame_id"), "category",
         text.strip(text.collapse(F.col("question"))).alias("stem"), text.option_letters(F.size("options")).alias("letters"), texts.alias("option_texts"),
         F.char((F.col("rank") % F.size("options") + 65).cast("long")).alias("gold_letter"), "template_id", "gold_text", "rank",
     )

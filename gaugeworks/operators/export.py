@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from gaugeworks.schemas import PUBLIC
 
-SCHEMA, VERSION = "idq.public-result", 1
+#: The name of the public schema, for those who read the lines; a parameter, as other makers' rows have another.
+SCHEMA, VERSION = "evaluation.public-result", 1
 # What fields have to look like, and what private text looks like.
 OPAQUE, HASH, SHA, LETTER, DATE = "^[0-9a-f]{16,64}$", "^[0-9a-f]{64}$", "^[0-9a-f]{7,40}$", "^[A-Z]$", r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"
 CONDITIONS, STATUSES = ["clean", "blind_tags", "blind_notags", "corrupt"], ["success", "terminal_error"]
@@ -56,11 +57,11 @@ def errors(columns: dict[str, Column]) -> Column:
     return F.filter(F.array(*found), lambda x: x.isNotNull())
 
 
-def public(rows: DataFrame, keep: list[str] | None = None) -> DataFrame:
+def public(rows: DataFrame, keep: list[str] | None = None, schema: str = SCHEMA) -> DataFrame:
     """The public fields of scored rows, in order, with ``errors``; columns that rows lack are null. Nothing else passes, but for ``keep``."""
     have = set(rows.columns)
     col = {f.name: (F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType) for f in PUBLIC}
-    col |= {"schema": F.lit(SCHEMA), "schema_version": F.lit(VERSION)}
+    col |= {"schema": F.lit(schema), "schema_version": F.lit(VERSION)}
     col["input_cost_usd"] = cost(col["prompt_tokens"], col["usd_per_1m_input"])
     col["output_cost_usd"] = cost(col["completion_tokens"], col["usd_per_1m_output"])
     col["total_cost_usd"] = col["input_cost_usd"] + col["output_cost_usd"]
@@ -68,21 +69,21 @@ def public(rows: DataFrame, keep: list[str] | None = None) -> DataFrame:
     return rows.select(*[F.col(k) for k in keep or []], *[col[f.name].alias(f.name) for f in PUBLIC], errors(present).alias("errors"))
 
 
-def lines(rows: DataFrame) -> DataFrame:
+def lines(rows: DataFrame, schema: str = SCHEMA) -> DataFrame:
     """One canonical JSON line for each public row, sorted; raises if a row isn't safe."""
-    checked = public(rows)
+    checked = public(rows, schema=schema)
     if (bad := checked.where(F.size("errors") > 0).select("question_id", "errors").limit(5).collect()):
         raise ExportError(f"rows are unsafe or incomplete: {[r.asDict() for r in bad]}")
     return checked.select(F.to_json(F.struct(*sorted(f.name for f in PUBLIC)), {"ignoreNullFields": "false"}).alias("line")).orderBy("line")
 
 
-def write(rows: DataFrame, path: str) -> dict:
+def write(rows: DataFrame, path: str, schema: str = SCHEMA) -> dict:
     """Writes the lines to one file, whole or not at all, whatever the partitions, and returns its receipt. The file streams through the driver."""
     digest, n = hashlib.sha256(), 0
     handle, temp = tempfile.mkstemp(dir=os.path.dirname(os.path.abspath(path)))
     try:
         with os.fdopen(handle, "wb") as f:
-            for r in lines(rows).toLocalIterator():
+            for r in lines(rows, schema).toLocalIterator():
                 data = (r["line"] + "\n").encode()
                 f.write(data)
                 digest.update(data)
@@ -94,4 +95,4 @@ def write(rows: DataFrame, path: str) -> dict:
         if os.path.exists(temp):
             os.unlink(temp)
         raise
-    return {"schema": SCHEMA, "schema_version": VERSION, "n_rows": n, "sha256": digest.hexdigest()}
+    return {"schema": schema, "schema_version": VERSION, "n_rows": n, "sha256": digest.hexdigest()}

@@ -48,7 +48,7 @@ def test_only_the_balanced_template_survives(spark, tmp_path):
 def test_cohort_is_checked(spark, tmp_path):
     path = source(tmp_path / "a.json")
     args = ["--source", path, "--min-total", "100", "--per-template", "40"]
-    manifest = cli.main(["cohort", *args, "--out", str(tmp_path / "c.json"), "--date", "2026-01-01"], spark)
+    manifest = cli.main(["cohort", *args, "--out", str(tmp_path / "c.json"), "--date", "2026-01-01", "--benchmark", "b"], spark)
     assert len(manifest["question_ids"]) == 40 and manifest["repeat_subset"]["n_questions"] == 20
     assert cohort.checked(json.loads((tmp_path / "c.json").read_text()))["cohort_id"] == manifest["cohort_id"]
     with pytest.raises(cohort.CohortError):
