@@ -22,6 +22,8 @@ CHUNK_BITS = 16
 FIRST_CANDIDATES = 2
 #: If no more lines than these are left for the second round, with no more bytes, they go to all tasks and one pass over the documents decides them.
 LEFT_LINES, LEFT_BYTES = 5_000, 4 << 20
+#: Tokens beyond the prefix that a line of the second round is searched by, so that lines that share a few by chance aren't compared.
+EXTRA_TOKENS = 4
 #: Bytes of postings in a part, about.
 PART_BYTES = 24 << 20
 #: Tokens that occur more often are dealt by line length as well.
@@ -350,15 +352,21 @@ def matched(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
 
 def searched(docs: DataFrame, lines: list[tuple[int, int, str]], codes: np.ndarray, percent: int) -> DataFrame:
     """(doc, line) of the given lines (doc, line, text) that an earlier line of any document is similar to: all lines are held against the given ones, by way of the tokens of their prefixes."""
-    wanted: dict[int, list[int]] = {}
-    given = []
+    tokens, owners, given, least = [], [], [], []
     for i, (doc, no, text) in enumerate(lines):
         h, _, _, _ = hashed_words([text.encode()])
         token, _, _ = by_rarity(h, np.zeros(len(h), np.int64), codes)
-        for t in token[: len(token) - -(-percent * len(token) // 100) + 1].tolist():
-            wanted.setdefault(t, []).append(i)
+        need = -(-percent * len(token) // 100)
+        # all but len - need of a line's tokens are in a similar one, so of some more than these, that many more
+        more = min(EXTRA_TOKENS, need)
+        tokens.append(token[: len(token) - need + more])
+        owners.append(np.full(len(tokens[-1]), i))
+        least.append(more)
         given.append((doc, no, set(text.encode().translate(FOLD).split())))
-    known = np.sort(np.array(list(wanted), np.uint64))
+    token, owner = (np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (tokens, owners))
+    order = np.argsort(token, kind="stable")
+    token, owner, wanted = token[order], owner[order].astype(np.int64), np.array(least, np.int64)
+    known, first, times = np.unique(token, return_index=True, return_counts=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hit: set[int] = set()
@@ -366,21 +374,24 @@ def searched(docs: DataFrame, lines: list[tuple[int, int, str]], codes: np.ndarr
             for part in slices(batch, "text", CACHE_BYTES):
                 texts = [(t or "").encode() for t in part.column("text").to_pylist()]
                 h, line, per_text = words_by_line(texts)
-                flagged = np.flatnonzero(known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h) if len(known) else np.zeros(0, int)
+                at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                found = np.flatnonzero(known[at] == h) if len(known) else np.zeros(0, np.int64)
+                if not len(found):
+                    continue
+                n = times[at[found]]
+                each = np.repeat(first[at[found]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                pair, counts = np.unique(np.repeat(line[found], n) * len(given) + owner[each], return_counts=True)
+                pair = pair[counts >= wanted[pair % len(given)]]
                 ids = part.column("id").cast(pa.int64()).to_pylist()
                 ends = np.cumsum(per_text)
-                for own in np.unique(line[flagged]).tolist():
+                for own, i in zip((pair // len(given)).tolist(), (pair % len(given)).tolist(), strict=True):
                     t = int(np.searchsorted(ends, own, side="right"))
-                    place = (ids[t], own - int(ends[t] - per_text[t]))
-                    if place[0] is None:
-                        continue
-                    words = None
-                    for i in {i for x in h[flagged[line[flagged] == own]].tolist() for i in wanted[x]} - hit:
-                        if place < given[i][:2]:
-                            words = words or set(texts[t].split(b"\n")[place[1]].translate(FOLD).split())
-                            both = len(words & given[i][2])
-                            if 100 * both >= percent * (len(words) + len(given[i][2]) - both):
-                                hit.add(i)
+                    no = own - int(ends[t] - per_text[t])
+                    if i not in hit and ids[t] is not None and (ids[t], no) < given[i][:2]:
+                        words = set(texts[t].split(b"\n")[no].translate(FOLD).split())
+                        both = len(words & given[i][2])
+                        if 100 * both >= percent * (len(words) + len(given[i][2]) - both):
+                            hit.add(i)
         rows = [given[i] for i in sorted(hit)]
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32())], names=["doc", "line"])
         trim()

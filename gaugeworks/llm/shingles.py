@@ -11,6 +11,9 @@ _R = np.random.default_rng(20_240_229)
 VALUE = _R.integers(0, 2**63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 BASE = int(_R.integers(0, 2**62)) * 4 + 3
 INVERSE = pow(BASE, -1, 2**64)
+#: Of raw bytes: the value of what they fold to, and whether that is part of a word.
+FOLDED = VALUE[np.frombuffer(FOLD, np.uint8)]
+INSIDE = (np.frombuffer(FOLD, np.uint8) != 32).astype(np.int8)
 PLACE = _R.integers(0, 2**63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -39,15 +42,18 @@ def hashed_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     A word's hash is the difference of two prefix sums of value times place, brought to place 0.
     """
     data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
-    data = np.frombuffer(FOLD, np.uint8)[data]
-    inside = data != 32
-    edge = np.diff(np.r_[False, inside].astype(np.int8))
-    start = np.flatnonzero(edge == 1)
-    end = np.flatnonzero(edge == -1)
+    inside = INSIDE[data]
+    # the last byte is white space: starts and ends alternate
+    edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    if inside[0]:
+        edges = np.r_[0, edges]
+    start, end = edges[::2], edges[1::2]
     up, down = powers(len(data) + 1)
     total = np.empty(len(data) + 1, np.uint64)
     total[0] = 0
-    np.cumsum(VALUE[data] * up[: len(data)], out=total[1:])
+    values = FOLDED[data]
+    values *= up[: len(data)]
+    np.cumsum(values, out=total[1:])
     h = mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
     bounds = np.cumsum([len(t) + 1 for t in texts])
     return h, np.searchsorted(bounds, start, side="right"), start, end
