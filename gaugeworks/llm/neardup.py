@@ -26,7 +26,7 @@ ERRORS = 5
 #: Set sizes under RATIO^CLASSES are part of the band key, by powers of RATIO.
 RATIO, CLASSES = 1.25, 20
 #: Rounds in which a band's other components are compared with one more member of its largest.
-STAR_ROUNDS = 3
+STAR_ROUNDS = 1
 #: Members of a family in a block of the last step.
 BLOCK_MEMBERS = 2048
 #: Buckets that an empty one borrows from, in this order.
