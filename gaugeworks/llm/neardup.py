@@ -26,7 +26,7 @@ ERRORS = 5
 #: Set sizes under RATIO^CLASSES are part of the band key, by powers of RATIO.
 RATIO, CLASSES = 1.25, 20
 #: Rounds in which a band's other components are compared with one more member of its largest.
-STAR_ROUNDS = 1
+STAR_ROUNDS = 0
 #: Members of a family in a block of the last step.
 BLOCK_MEMBERS = 2048
 #: Buckets that an empty one borrows from, in this order.
@@ -226,7 +226,7 @@ def grouped(docs: DataFrame, k: int, percent: int, id_column: str, text_column:
         label = components(links)
     # a leader has met all of its band
     others = inside.where("id <> leader").select("key", "id")
-    for turn in range(STAR_ROUNDS + 1):
+    for turn in range(STAR_ROUNDS + 1):  # the last turn leaves nothing open
         named = others.join(label, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
         split = named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key")
         others = cut(named.join(split, "key", "left_semi"))
