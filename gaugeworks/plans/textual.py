@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeworks.functions import hashing, text, usage
@@ -70,15 +70,26 @@ def _probe_sql() -> str:
     return f"WITH q AS (SELECT lang, left(text, 200) || CASE doc_id % 4 WHEN 0 THEN ' Please select the correct answer from the following options: A. Go B. Stop' WHEN 1 THEN ' (A) Go' WHEN 2 THEN chr(10) || '  A. x' ELSE ' option A: y' END AS q, CASE doc_id % 3 WHEN 0 THEN ' B. ' WHEN 1 THEN 'C) go' ELSE source END AS a FROM documents) {body}"
 
 
-@register("probe_patterns", _probe_sql(), "")
-def probe_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _probed(spark: SparkSession, sf_dir: str, lead: Column) -> DataFrame:
+    """Counts over made-up questions: ``lead`` and a tail with options."""
     from gaugeworks.sources.annotations import probe_counts
 
     d = table(spark, sf_dir, "documents")
     n = F.col("doc_id") % 4
     tail = F.when(n == 0, " Please select the correct answer from the following options: A. Go B. Stop").when(n == 1, " (A) Go").when(n == 2, "\n  A. x").otherwise(" option A: y")
     a = F.when(F.col("doc_id") % 3 == 0, " B. ").when(F.col("doc_id") % 3 == 1, "C) go").otherwise(F.col("source"))
-    return probe_counts(d.select(F.col("lang").alias("category"), F.concat(F.substring("text", 1, 200), tail).alias("question"), a.alias("answer"))).withColumnRenamed("category", "lang")
+    return probe_counts(d.select(F.col("lang").alias("category"), F.concat(lead, tail).alias("question"), a.alias("answer"))).withColumnRenamed("category", "lang")
+
+
+@register("probe_patterns", _probe_sql(), "")
+def probe_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As its SQL: over the first 200 characters only. ``probe_patterns_whole`` reads all."""
+    return _probed(spark, sf_dir, F.substring("text", 1, 200))
+
+
+@register("probe_patterns_whole")
+def probe_patterns_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _probed(spark, sf_dir, F.col("text"))
 
 
 def _mcq(spark: SparkSession, sf_dir: str) -> DataFrame:
