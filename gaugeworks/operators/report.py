@@ -34,10 +34,11 @@ def sections(rows: DataFrame, primary: tuple[str, str] | None = None, baseline:
         if len(models) > 1:
             frames["comparisons"] = stats.comparisons(rows, primary)
         if {"clean", "blind_tags", "blind_notags"} <= conditions:
-            frames["grounding"] = stats.grounding(rows)
+            frames["grounding"] = stats.grounding(rows).join(stats.grounding_interval(rows, n_boot), "model_label", "left")
         if {baseline, degraded} <= conditions:
             base = interval.where(f"condition = '{baseline}'").select("model_label", "ci_low")
-            frames["robustness"] = stats.with_retention(stats.robustness(rows, baseline, degraded), base)
+            robust = stats.with_retention(stats.robustness(rows, baseline, degraded), base)
+            frames["robustness"] = robust.join(stats.robustness_interval(rows, baseline, degraded, n_boot), "model_label", "left")
             if len(models) > 1:
                 frames["ranking"] = stats.ranking(rows, baseline, degraded)
                 frames["inversions"] = stats.inversions(rows, baseline, degraded)

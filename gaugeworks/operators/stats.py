@@ -357,6 +357,24 @@ def bootstrap(df: DataFrame, keys: Sequence[str], values: Sequence[str], order:
     return df.groupBy(*keys).applyInArrow(run, f"{kinds}, n long, mean double, ci_low double, ci_high double")
 
 
+def paired_interval(rows: DataFrame, minuend: str, subtrahend: str, also: Sequence[str] = (), n_boot: int = 10_000, seed: int = 0) -> DataFrame:
+    """(model_label, n, mean, ci_low, ci_high) of the accuracy in one condition less that in another, over the questions that a model answered in both and in those of ``also``."""
+    names = [minuend, subtrahend, *also]
+    wide = flags(rows).where(F.col("condition").isin(names)).groupBy("model_label", "question_id").pivot("condition", names).agg(F.max(F.col("correct").cast("double")))
+    wide = wide.toDF("model_label", "question_id", "x", "y", *[f"also_{i}" for i in range(len(also))]).dropna()
+    return bootstrap(wide.select("model_label", "question_id", "x", "y"), ["model_label"], ["x", "y"], "question_id", n_boot=n_boot, seed=seed)
+
+
+def grounding_interval(rows: DataFrame, n_boot: int = 10_000, seed: int = 0) -> DataFrame:
+    """(model_label, gap_ci_low, gap_ci_high): of the grounding gap, over the questions of ``grounding``."""
+    return paired_interval(rows, "clean", "blind_notags", ["blind_tags"], n_boot, seed).select("model_label", F.col("ci_low").alias("gap_ci_low"), F.col("ci_high").alias("gap_ci_high"))
+
+
+def robustness_interval(rows: DataFrame, baseline: str = "clean", degraded: str = "corrupt", n_boot: int = 10_000, seed: int = 0) -> DataFrame:
+    """(model_label, delta_ci_low, delta_ci_high): of the delta of ``robustness``, over its questions."""
+    return paired_interval(rows, baseline, degraded, (), n_boot, seed).select("model_label", F.col("ci_low").alias("delta_ci_low"), F.col("ci_high").alias("delta_ci_high"))
+
+
 def hash_bootstrap(df: DataFrame, key: str, value: str, order: str, n_boot: int = 200, alpha: float = 0.05, seed: int = 0) -> DataFrame:
     """As ``bootstrap`` for one key, with draws from MD5 in place of a generator: slower, and the same in any SQL engine."""
     numbered = df.withColumn("i", F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(key)))

@@ -304,3 +304,13 @@ def report_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pcg64_bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = stats.flags(scored(spark, sf_dir)).withColumn("correct", F.col("correct").cast("double"))
     return stats.bootstrap(rows, KEYS, ["correct"], "question_id")
+
+
+@register("grounding_interval")
+def grounding_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.grounding_interval(scored(spark, sf_dir))
+
+
+@register("robustness_interval")
+def robustness_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.robustness_interval(scored(spark, sf_dir))

@@ -4,10 +4,14 @@ import re
 from collections import Counter
 
 import duckdb
-from oracle import SF
+import numpy as np
+import pytest
+from oracle import SF, connection
 
 from gaugeworks.functions import text
+from gaugeworks.operators import report
 from gaugeworks.plans import analysis, registry, textual  # noqa: F401
+from gaugeworks.plans.testdata import SCORED, scored
 
 
 def test_probe_reads_whole_texts(spark):
@@ -20,3 +24,41 @@ def test_probe_reads_whole_texts(spark):
     got = {(r["lang"], r["pattern"]): r["n"] for r in registry.QUERIES["probe_patterns_whole"](spark, SF).collect()}
     assert got == dict(want)
     assert got["en", "letter_dot_A"] == 64  # 62 in the first 200 characters
+
+
+def paired(sf_dir, also):
+    """(model_label: two lists of flags) by question over the last rows, by the SQL of scored rows."""
+    con = connection(sf_dir)
+    last: dict = {}
+    for model, condition, question, correct in con.sql(f"with {SCORED} select model_label, condition, question_id, correct from last_rows").fetchall():
+        last.setdefault(model, {}).setdefault(condition, {})[question] = float(bool(correct))
+    out = {}
+    for model, by in last.items():
+        if shared := sorted(set.intersection(*[set(by.get(c, {})) for c in also])):
+            out[model] = [np.array([by[c][q] for q in shared]) for c in also]
+    return out
+
+
+def interval(x, y, n_boot=10_000):
+    idx = np.random.default_rng(0).integers(0, len(x), size=(n_boot, len(x)))
+    return tuple(np.percentile(x[idx].mean(axis=1) - y[idx].mean(axis=1), [2.5, 97.5]))
+
+
+@pytest.mark.parametrize(("name", "conditions"), [("grounding_interval", ["clean", "blind_notags", "blind_tags"]), ("robustness_interval", ["clean", "corrupt"])])
+def test_paired_intervals(spark, name, conditions):
+    sf_dir = SF.replace("0.001", "0.01")
+    want = {m: interval(*v[:2]) for m, v in paired(sf_dir, conditions).items()}
+    assert want
+    got = {r[0]: r[1:] for r in registry.QUERIES[name](spark, sf_dir).collect()}
+    assert got.keys() == want.keys()
+    for m in want:
+        assert got[m] == pytest.approx(want[m], abs=1e-8)
+
+
+def test_report_has_the_intervals(spark):
+    sf_dir = SF.replace("0.001", "0.01")
+    out = report.sections(scored(spark, sf_dir), n_boot=200)
+    for section, value, names in (("grounding", "grounding_gap", ("gap_ci_low", "gap_ci_high")), ("robustness", "delta", ("delta_ci_low", "delta_ci_high"))):
+        assert out[section]
+        for r in out[section]:
+            assert r[names[0]] <= r[value] <= r[names[1]]
