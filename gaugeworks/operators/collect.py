@@ -132,8 +132,15 @@ def pilot(records: DataFrame) -> DataFrame:
 
 
 def determinism(a: DataFrame, b: DataFrame) -> DataFrame:
-    """How often two runs gave the same text, over questions that both answered."""
-    ok = lambda d, n: d.where("status = 'success'").select("question_id", F.col("response_text").alias(n))
+    """How often two runs gave the same text, over questions that both answered. The last success of a question counts, by ``seq`` where the rows have it."""
+
+    def ok(d: DataFrame, n: str) -> DataFrame:
+        good = d.where("status = 'success'")
+        if "seq" not in d.columns:
+            return good.select("question_id", F.col("response_text").alias(n))
+        last = good.groupBy("question_id").agg(F.max_by(F.struct("response_text"), "seq").alias("r"))
+        return last.select("question_id", F.col("r.response_text").alias(n))
+
     both = ok(a, "x").join(ok(b, "y"), "question_id")
     return both.agg(F.count(F.lit(1)).alias("n_compared"), F.count_if(F.col("x").eqNullSafe(F.col("y"))).alias("n_identical"), (F.count_if(F.col("x").eqNullSafe(F.col("y"))) / F.nullif(F.count(F.lit(1)), F.lit(0))).alias("identical_frac"))
 

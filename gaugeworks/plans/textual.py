@@ -240,9 +240,9 @@ def budget_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     REPLIES,
 )
 def determinism_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = replies(spark, sf_dir).join(table(spark, sf_dir, "events").select("event_id", "user_id", "event_type"), "event_id").where("event_id % 9 <> 0")
-    last = r.groupBy("user_id", "event_type").agg(F.max_by("reply", "event_id").alias("response_text"))
-    rows = last.select(F.col("user_id").alias("question_id"), "event_type", "response_text", F.lit("success").alias("status"))
+    """Every reply with its call's status; the operator leaves out failed ones."""
+    calls = scored(spark, sf_dir).select("event_id", F.col("model_label").alias("event_type"), F.col("question_id").cast("long").alias("question_id"), "status")
+    rows = replies(spark, sf_dir).join(calls, "event_id").select("question_id", "event_type", F.col("reply").alias("response_text"), "status", F.col("event_id").alias("seq"))
     return collect.determinism(rows.where("event_type = 'view'"), rows.where("event_type = 'click'"))
 
 

@@ -9,7 +9,7 @@ import pytest
 from oracle import SF, connection
 
 from gaugeworks.functions import text
-from gaugeworks.operators import report
+from gaugeworks.operators import collect, report
 from gaugeworks.plans import analysis, registry, textual  # noqa: F401
 from gaugeworks.plans.testdata import SCORED, scored
 
@@ -62,3 +62,23 @@ def test_report_has_the_intervals(spark):
         assert out[section]
         for r in out[section]:
             assert r[names[0]] <= r[value] <= r[names[1]]
+
+
+def test_determinism_takes_all_replies_with_their_status(spark, monkeypatch):
+    seen = {}
+
+    def determinism(a, b, real=collect.determinism):
+        seen["rows"] = a.count() + b.count()
+        return real(a, b)
+
+    monkeypatch.setattr(collect, "determinism", determinism)
+    got = registry.QUERIES["determinism_compare"](spark, SF).first()
+    replies = connection().sql("select count(*) from events where event_type in ('view', 'click')").fetchall()[0][0]
+    assert seen["rows"] == replies and got["n_compared"] > 0
+
+
+def test_determinism_takes_the_last_success(spark):
+    frame = lambda rows: spark.createDataFrame(rows, "question_id long, response_text string, status string, seq long")
+    a = frame([(1, "x", "success", 1), (1, "y", "success", 2), (1, "z", "terminal_error", 3), (2, "x", "terminal_error", 4)])
+    b = frame([(1, "y", "success", 1), (2, "x", "success", 2)])
+    assert tuple(collect.determinism(a, b).first()) == (1, 1, 1.0)
