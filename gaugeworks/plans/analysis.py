@@ -218,7 +218,9 @@ def hash_bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
         CASE WHEN NOT ab > chance THEN 'baseline at or below chance' WHEN ci_low <= chance THEN 'baseline not distinguishable from chance' ELSE '' END AS retention_note FROM robust JOIN ci USING (model_label)""",
 )
 def retention(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = stats.with_retention(stats.robustness(scored(spark, sf_dir)), hash_bootstrap_ci(spark, sf_dir))
+    rows = scored(spark, sf_dir)
+    flags = stats.flags(rows).where("condition = 'clean'").withColumn("correct", F.col("correct").cast("double"))
+    found = stats.with_retention(stats.robustness(rows), stats.bootstrap(flags, ["model_label"], ["correct"], "question_id"))
     return found.select("model_label", "accuracy_baseline", "chance", "above_chance_retention", "retention_note")
 
 
