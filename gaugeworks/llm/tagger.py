@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import bisect
 import random
+import re
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -23,6 +25,9 @@ for _i, _g in enumerate([*GROUPS, *PUNCTUATION]):
         CLASS_OF[ord(_c)] = 2 + _i
 CLASS_OF[128] = CLASSES - 1  # all that isn't ASCII
 
+#: Names, and names joined by dots or @ that may be spaced or in brackets: no stretch ends inside.
+NAMES = re.compile(r"[A-Za-z0-9._%+-]+(?:\s*[\[(]?[@.][\])]?\s*[A-Za-z0-9._%+-]+)*")
+
 
 def classes(text: str) -> np.ndarray:
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -266,15 +271,27 @@ def default_model(seed: int = 5) -> Model:
 
 
 def regions(text: str, margin: int = STRIDE) -> list[tuple[int, int]]:
-    """Stretches within ``margin`` characters of a digit or an @. A span of any kind has one of these
-    characters, so outside these stretches the best tags are 'outside' by definition."""
+    """Stretches within ``margin`` characters of a digit or an @, and on to the end of the name, or of names joined by dots or @, that they
+    would cut. A span of any kind has one of these characters, so outside these stretches the best tags are 'outside' by definition."""
     x = classes(text)
     hit = np.flatnonzero((x == 2) | (x == 2 + len(GROUPS) + PUNCTUATION.index("@")))
     if not len(hit):
         return []
     cut = np.flatnonzero(np.diff(hit) > 2 * margin)
     first, last = hit[np.r_[0, cut + 1]], hit[np.r_[cut, len(hit) - 1]]
-    return [(max(0, a - margin), min(len(x), b + 1 + margin)) for a, b in zip(first.tolist(), last.tolist(), strict=True)]
+    near = [(max(0, a - margin), min(len(x), b + 1 + margin)) for a, b in zip(first.tolist(), last.tolist(), strict=True)]
+    names = [m.span() for m in NAMES.finditer(text)]
+    starts = [s for s, _ in names]
+    out: list[tuple[int, int]] = []
+    for a, b in near:
+        if (k := bisect.bisect_right(starts, a) - 1) >= 0 and names[k][1] > a:
+            a = names[k][0]
+        if (k := bisect.bisect_left(starts, b) - 1) >= 0 and names[k][1] > b:
+            b = names[k][1]
+        if out and a <= out[-1][1]:
+            a = out.pop()[0]
+        out.append((a, b))
+    return out
 
 
 def decode(m: Model, texts: list[str], chunk: int = 256) -> list[list[tuple[str, int, int]]]:
