@@ -283,11 +283,13 @@ def filter_null_safe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("corruptions")
 def corruptions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every corruption at every severity of small images made from the embeddings."""
+    """Every corruption at every severity of small images made from the embeddings: four pixels of three channels to a row, as many rows as hold all values, zeros after the last."""
     from gaugeworks.operators import corrupt
 
-    v = table(spark, sf_dir, "embeddings").where(F.size("embedding") >= 48)
-    side = F.lit(4)
-    pixels = F.transform(F.slice("embedding", 1, 48), lambda x: F.pmod((F.abs(x) * 1000).cast("int"), F.lit(256)))
-    images = v.select(F.col("vec_id").alias("image_id"), side.alias("height"), side.alias("width"), F.lit(3).alias("channels"), pixels.alias("pixels"))
+    v = table(spark, sf_dir, "embeddings").where(F.size("embedding") > 0)
+    width, channels = 4, 3
+    height = F.ceil(F.size("embedding") / (width * channels)).cast("int")
+    values = F.transform("embedding", lambda x: F.pmod((F.abs(x) * 1000).cast("int"), F.lit(256)))
+    pixels = F.concat(values, F.array_repeat(F.lit(0), height * width * channels - F.size("embedding")))
+    images = v.select(F.col("vec_id").alias("image_id"), height.alias("height"), F.lit(width).alias("width"), F.lit(channels).alias("channels"), pixels.alias("pixels"))
     return corrupt.apply(images)

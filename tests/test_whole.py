@@ -82,3 +82,15 @@ def test_determinism_takes_the_last_success(spark):
     a = frame([(1, "x", "success", 1), (1, "y", "success", 2), (1, "z", "terminal_error", 3), (2, "x", "terminal_error", 4)])
     b = frame([(1, "y", "success", 1), (2, "x", "success", 2)])
     assert tuple(collect.determinism(a, b).first()) == (1, 1, 1.0)
+
+
+def test_corruptions_use_all_values_of_all_vectors(spark, tmp_path):
+    vectors = {1: [0.001 * i for i in range(1, 65)], 2: [0.5] * 5, 3: [0.25] * 48}
+    spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = registry.QUERIES["corruptions"](spark, str(tmp_path)).where("corruption = 'brightness' and severity = 1").collect()
+    assert {r["image_id"]: len(r["pixels"]) for r in got} == {1: 72, 2: 12, 3: 48}
+    shift = lambda x: int(np.clip((x / 255 + 0.1) * 255 + 0.5, 0, 255))
+    for r in got:
+        own = [int(abs(np.float32(x)) * np.float32(1000)) % 256 for x in vectors[r["image_id"]]]
+        want = [shift(x) for x in own + [0] * (len(r["pixels"]) - len(own))]
+        assert np.abs(np.array(want) - r["pixels"]).max() <= 1
