@@ -25,6 +25,8 @@ COLLISION = 0.17 / (1 << MANTISSA_BITS)
 ERRORS = 5
 #: Set sizes under RATIO^CLASSES are part of the band key, by powers of RATIO.
 RATIO, CLASSES = 1.25, 20
+#: Under this similarity, bands and size classes would lose pairs.
+LEAST_PERCENT = 80
 #: Rounds in which a band's other components are compared with one more member of its largest.
 STAR_ROUNDS = 0
 #: Members of a family in a block of the last step.
@@ -193,8 +195,10 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80, id_column: str = "doc
 
     Null text, empty text or text of white space: an empty set, linked with nothing. Rows with one doc_id are one
     document, linked by any of its texts. A null doc_id is in no component (null). Empty input: no rows. Other columns
-    are not read.
+    are not read. A ``percent`` under 80 is an error: bands and size classes are made for 80.
     """
+    if percent < LEAST_PERCENT:
+        raise ValueError(f"percent has to be {LEAST_PERCENT} at least: bands and size classes would lose pairs at {percent}")
     with Tables(docs.sparkSession) as tables:
         return cut(grouped(docs, k, percent, id_column, text_column, tables))
 
