@@ -11,7 +11,9 @@ from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Bytes of text that a Python function takes from an Arrow batch at a time.
 SLICE_BYTES = 4 << 20
@@ -35,7 +37,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``; set to a temporary one only where unset."""
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``. Where it is unset, a temporary one, and only
+    if driver and executors are one machine: elsewhere that is an error, as each executor would write to a disk of its own."""
     try:
         base = spark.conf.get("spark.checkpoint.dir")
     except Exception as error:
@@ -45,6 +48,8 @@ def shared_folder(spark: SparkSession) -> str:
     sc = spark.sparkContext
     own = sc._jsc.sc().getCheckpointDir()
     if own.isEmpty():
+        if not base and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         base = base or "file://" + tempfile.mkdtemp(prefix="gaugeworks-")
         sc.setCheckpointDir(base)
     return base or own.get()
@@ -71,11 +76,16 @@ class Tables:
         return self
 
     def __exit__(self, *_: object) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.base)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        remove(self.spark, self.base)
         tidy(self.spark)
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder in the shared store, whatever store that is."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder, its lineage ended there."""
     shared_folder(df.sparkSession)
@@ -88,6 +98,35 @@ def tidy(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def counts_before(counts: DataFrame, number: str, count: str, by: tuple[str, ...] = (), block: int = 1_000) -> DataFrame:
+    """``counts`` with ``before``, the sum of ``count`` over the rows of smaller ``number`` among those with equal ``by``.
+
+    Two levels: sums within blocks of ``block`` numbers, and of whole blocks, so that no task sorts all numbers.
+    """
+    rows = counts.withColumn("gw_block", F.floor(F.col(number) / block))
+    within = Window.partitionBy(*by, "gw_block").orderBy(number).rowsBetween(Window.unboundedPreceding, -1)
+    ahead = Window.partitionBy(*by).orderBy("gw_block").rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0).cast("long")
+    blocks = rows.groupBy(*by, "gw_block").agg(F.sum(count).alias("gw_sum"))
+    blocks = blocks.select(*by, "gw_block", F.coalesce(F.sum("gw_sum").over(ahead), zero).alias("gw_ahead"))
+    inner = rows.withColumn("gw_within", F.coalesce(F.sum(count).over(within), zero))
+    return inner.join(blocks, [*by, "gw_block"]).withColumn("before", F.col("gw_ahead") + F.col("gw_within")).drop("gw_block", "gw_ahead", "gw_within")
+
+
+def one_id_a_row(rows: DataFrame, tables: Tables) -> DataFrame:
+    """rows(id, text) with ``key``, a number of the row in the order of id, then of the text's hash: the id itself where
+    no id repeats. Rows of equal id and text are one; rows without an id go."""
+    rows = rows.where("id is not null")
+    repeated = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    if repeated.isEmpty():
+        return rows.withColumn("key", F.col("id"))
+    rows = rows.withColumn("hash", F.xxhash64("text")).dropDuplicates(["id", "hash"])
+    # numbers of a range partition follow those of the one before
+    ordered = rows.select("id", "hash").repartitionByRange("id", "hash").sortWithinPartitions("id", "hash")
+    numbers = tables.keep(ordered.withColumn("key", F.monotonically_increasing_id()))
+    return rows.join(numbers, ["id", "hash"]).drop("hash")
+
+
 def trim() -> None:
     """Gives memory that a finished task no longer uses back to the system: workers live on and would keep it."""
     pa.default_memory_pool().release_unused()
@@ -110,16 +149,31 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Itera
     yield batch.slice(start)
 
 
-def per_row(df: DataFrame, schema: str, column: str, f: Callable[[dict[str, list]], Iterable[list]], most: int = SLICE_BYTES) -> DataFrame:
+def whole_row(names: list[str]) -> Column:
+    """Columns of any names as one struct, so that they pass through steps that have names of their own."""
+    return F.struct(*(F.col(f"`{n}`") for n in names))
+
+
+def unpacked(names: list[str], row: str = "row", **instead: Column) -> list[Column]:
+    """The columns that ``whole_row`` has put together, some replaced."""
+    return [instead.get(n, F.col(row).getField(n)).alias(n) for n in names]
+
+
+def schema_of(schema: str | StructType) -> StructType:
+    from pyspark.sql.types import _parse_datatype_string
+
+    return schema if isinstance(schema, StructType) else _parse_datatype_string(schema)
+
+
+def per_row(df: DataFrame, schema: str | StructType, column: str, f: Callable[[dict[str, list]], Iterable[list]], most: int = SLICE_BYTES) -> DataFrame:
     """Applies ``f`` to slices of ``df``, given as lists by column; ``f`` returns lists in the order of ``schema``.
 
     Memory is bounded by a slice and what ``f`` makes of it.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
 
     modest(df.sparkSession)
-    target = to_arrow_schema(_parse_datatype_string(schema))
+    target = to_arrow_schema(schema_of(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
