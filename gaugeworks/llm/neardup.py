@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import itertools
 from collections.abc import Iterator
 
@@ -13,7 +12,7 @@ from pyspark.sql import functions as F
 
 from gaugeworks.llm.common import CACHE_BYTES, Tables, cut, per_row, tidy, trim
 from gaugeworks.llm.components import components
-from gaugeworks.llm.shingles import sets
+from gaugeworks.llm.shingles import ExactSets, sequence_digest, sets, similar
 
 #: 2^8 buckets; 42 bands of 6 registers lose a pair of similarity 0.8 with a chance of 3 in a million.
 BUCKET_BITS, MANTISSA_BITS, ROWS = 8, 10, 6
@@ -27,10 +26,10 @@ ERRORS = 5
 RATIO, CLASSES = 1.25, 20
 #: Under this similarity, bands and size classes would lose pairs.
 LEAST_PERCENT = 80
-#: Rounds in which a band's other components are compared with one more member of its largest.
-STAR_ROUNDS = 0
-#: Members of a family in a block of the last step.
-BLOCK_MEMBERS = 2048
+#: Sets of up to so many shingles are similar to equal sets only.
+SMALL = 3
+#: Bytes of sketches, or of sketches and texts, in a block of the last step, about.
+BLOCK_BYTES = 1 << 19
 #: Buckets that an empty one borrows from, in this order.
 DONORS = np.random.default_rng(8).integers(0, BUCKETS, (BUCKETS, 64))
 
@@ -72,27 +71,28 @@ def likely(same: np.ndarray, n: np.ndarray, share: float) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, k: int) -> DataFrame:
-    """(id, n, digest, registers) of each document; digest and registers are null for an empty set."""
+    """(id, n, digest, registers) of each document; the digest is of its words in order. It and registers are null for an empty set."""
 
     def f(c: dict[str, list]) -> list:
-        found = sets([(t or "").encode() for t in c["text"]], k)
-        return [c["id"], [len(s) for s in found], [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in found], [sketch(s) if len(s) else None for s in found]]
+        texts = [(t or "").encode() for t in c["text"]]
+        found = sets(texts, k)
+        return [c["id"], [len(s) for s in found], [sequence_digest(t) for t in texts], [sketch(s) if len(s) else None for s in found]]
 
     kind = docs.schema["id"].dataType.simpleString()
     return per_row(docs, f"id {kind}, n long, digest binary, registers binary", "text", f, CACHE_BYTES)
 
 
 def banded(reps: DataFrame) -> DataFrame:
-    """(key, id): a key for each band, whose number is in the last six bits. Small sets meet only sets of about their size."""
+    """(key, id): a key for each band, whose number is in the last six bits. Small sets meet only sets of about their size, the smallest only those with all registers equal."""
     width = 2 * ROWS
     head = 4
     size_class = F.least(F.lit(CLASSES), F.floor(F.log(F.col("n").cast("double")) / float(np.log(RATIO)) + 1e-9)).cast("int")
     keys = []
     for i in range(BANDS):
         keys.append(F.xxhash64(F.lit(i), "c", F.substring("registers", head + i * width + 1, width)).bitwiseAND(~63).bitwiseOR(i))
-    # sets of up to three shingles are similar to equal sets only
-    sized = reps.where("n > 3").withColumn("c0", size_class).withColumn("c", F.explode(F.when(F.col("c0") < CLASSES, F.array(F.col("c0"), F.col("c0") + 1)).otherwise(F.array("c0"))))
-    return sized.select("id", F.explode(F.array(*keys)).alias("key"))
+    small = reps.where(F.col("n") <= SMALL).select("id", F.xxhash64("registers").bitwiseOR(63).alias("key"))
+    sized = reps.where(F.col("n") > SMALL).withColumn("c0", size_class).withColumn("c", F.explode(F.when(F.col("c0") < CLASSES, F.array(F.col("c0"), F.col("c0") + 1)).otherwise(F.array("c0"))))
+    return sized.select("id", F.explode(F.array(*keys)).alias("key")).union(small)
 
 
 def confirmed(pairs: DataFrame, registers: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -105,15 +105,10 @@ def confirmed(pairs: DataFrame, registers: DataFrame, texts: DataFrame, k: int,
         return [[c["a"][i] for i in ok], [c["b"][i] for i in ok]]
 
     def verify(c: dict[str, list]) -> list:
-        # a leader's pairs follow each other: its text is hashed once for a run of them
-        distinct = list(dict.fromkeys([*c["ta"], *c["tb"]]))
-        own = dict(zip(distinct, sets([(t or "").encode() for t in distinct], k), strict=True))
-        out = []
-        for a, b, ta, tb in zip(c["a"], c["b"], c["ta"], c["tb"], strict=True):
-            x, y = own[ta], own[tb]
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            if 100 * both >= percent * (len(x) + len(y) - both):
-                out.append((a, b))
+        # a leader's pairs follow each other: its text is taken apart once for a run of them
+        exact = ExactSets(k)
+        own = {t: exact.of((t or "").encode()) for t in dict.fromkeys([*c["ta"], *c["tb"]])}
+        out = [(a, b) for a, b, ta, tb in zip(c["a"], c["b"], c["ta"], c["tb"], strict=True) if similar(own[ta], own[tb], percent)]
         return [[p[0] for p in out], [p[1] for p in out]]
 
     def beside(p: DataFrame, t: DataFrame, column: str, left: str, right: str) -> DataFrame:
@@ -123,17 +118,20 @@ def confirmed(pairs: DataFrame, registers: DataFrame, texts: DataFrame, k: int,
     return per_row(beside(found, texts, "text", "ta", "tb"), f"a {kind}, b {kind}", "tb", verify).distinct()
 
 
-def across(members: DataFrame, k: int, percent: int) -> DataFrame:
+def across(members: DataFrame, k: int, percent: int, texts: bool) -> DataFrame:
     """Links (a, b) between members(family, id, label, registers, text) of one family and different labels.
 
-    Members outside a family's largest label ask all of its members, in blocks of both, so that a task holds two blocks whatever
-    the family's size. Pairs that share a band, and that the estimate lets pass, are compared on their full sets at once. One link to a
-    label is enough for each that asks, so what leaves doesn't grow with the pairs.
+    Members outside a family's largest label ask all of its members, in blocks of both, of BLOCK_BYTES each: a task holds two blocks whatever
+    the family's size. Pairs count that share a band and that the estimate lets pass. Without ``texts`` these pairs' ends
+    come back as (a, a), so that only members with such a pair need their texts; with ``texts`` full sets of words are compared at once.
+    One link to a label is enough for each that asks, so what leaves doesn't grow with the pairs.
     """
     kind = members.schema["id"].dataType.simpleString()
-    sizes = members.groupBy("family", "label").agg(F.count(F.lit(1)).alias("c"))
-    heads = sizes.groupBy("family").agg(F.max(F.struct("c", "label")).alias("m"), F.sum("c").alias("n"))
-    heads = heads.select("family", F.col("m.label").alias("largest"), F.ceil(F.col("n") / BLOCK_MEMBERS).cast("int").alias("mb"), F.greatest(F.ceil((F.col("n") - F.col("m.c")) / BLOCK_MEMBERS), F.lit(1)).cast("int").alias("qb"))
+    members = members if texts else members.withColumn("text", F.lit(""))
+    members = members.withColumn("weight", F.length("registers") + F.octet_length("text"))
+    sizes = members.groupBy("family", "label").agg(F.sum("weight").alias("w"))
+    heads = sizes.groupBy("family").agg(F.max(F.struct("w", "label")).alias("m"), F.sum("w").alias("w"))
+    heads = heads.select("family", F.col("m.label").alias("largest"), F.ceil(F.col("w") / BLOCK_BYTES).cast("int").alias("mb"), F.greatest(F.ceil((F.col("w") - F.col("m.w")) / BLOCK_BYTES), F.lit(1)).cast("int").alias("qb"))
     rows = members.join(heads, "family").withColumn("asks", F.col("label") != F.col("largest"))
     columns = ["family", "x", "y", "asking", "id", "label", "registers", "text"]
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -149,25 +147,26 @@ def across(members: DataFrame, k: int, percent: int) -> DataFrame:
         code = {x: i for i, x in enumerate({g[5] for g in group})}
         label = np.array([code[g[5]] for g in m])
         (n, r), (_, rq) = opened([g[6] for g in m]), opened([g[6] for g in q])
-        known: dict[str, np.ndarray] = {}
+        exact, known, ends = ExactSets(k), {}, set()
 
         def full(text: str) -> np.ndarray:
             if text not in known:
-                known[text] = sets([text.encode()], k)[0]
+                known[text] = exact.of(text.encode())
             return known[text]
 
         for i, g in enumerate(q):
             same = r == rq[i]
             at = np.flatnonzero(likely(same.sum(axis=1), n, percent / 100) & (label != code[g[5]]))
             at = at[same[at, : BANDS * ROWS].reshape(-1, BANDS, ROWS).all(axis=2).any(axis=1)]
+            if not texts:
+                ends |= {m[j][4] for j in at.tolist()} | ({g[4]} if len(at) else set())
+                continue
             linked = set()
             for j in at.tolist():
-                if label[j] not in linked:
-                    x, y = full(g[7]), full(m[j][7])
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    if 100 * both >= percent * (len(x) + len(y) - both):
-                        linked.add(label[j])
-                        yield min(g[4], m[j][4]), max(g[4], m[j][4])
+                if label[j] not in linked and similar(full(g[7]), full(m[j][7]), percent):
+                    linked.add(label[j])
+                    yield min(g[4], m[j][4]), max(g[4], m[j][4])
+        yield from ((x, x) for x in ends)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flat():
@@ -186,11 +185,11 @@ def across(members: DataFrame, k: int, percent: int) -> DataFrame:
 def groups(docs: DataFrame, k: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id (the least doc_id linked with it, directly or by others) of each document.
 
-    1. Documents with equal sets are one, named by their least id. 2. Registers of a HyperMinHash sketch are banded, and
+    1. Documents of the same words in the same order are one, named by their least id. 2. Registers of a HyperMinHash sketch are banded, and
     documents that share a band are compared with the least id of the band, unless they are linked already: the estimate from the registers
-    comes first, then the full sets. 3. In bands whose members are then in several components, those outside the largest are compared with
-    one more member of it; every band picks another, and so do a few rounds. 4. Bands that
-    are still split make families, and what is outside a family's largest component is compared with all of its members. So links within a component aren't all tried, and none between components is missed.
+    comes first, then the full sets, of the words themselves and not of hashes. 3. Bands whose members are then in several components make
+    families, and what is outside a family's largest component is compared with all of its members, first by registers alone, then by the
+    texts of those that the estimate lets pass. So links within a component aren't all tried, and none between components is missed.
     Components come from alternating stars. Only ids, sketches and links travel; texts do for documents that share a band.
 
     Null text, empty text or text of white space: an empty set, linked with nothing. Rows with one doc_id are one
@@ -219,7 +218,9 @@ def grouped(docs: DataFrame, k: int, percent: int, id_column: str, text_column:
     # first the leader that shares most bands, then those of other bands from which that hasn't linked
     pairs = inside.where("id <> leader").groupBy(F.col("leader").alias("a"), F.col("id").alias("b")).agg(F.count(F.lit(1)).alias("bands"))
     best = pairs.groupBy("b").agg(F.max_by("a", F.struct("bands", "a")).alias("a")).select("a", "b")
-    links = cut(confirmed(best, registers, texts, k, percent))
+    # rows of one id are one document, whatever their texts
+    own = member.where("rep is not null").groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a < z").select("id", "a")
+    links = cut(confirmed(best, registers, texts, k, percent).union(member.join(own, "id").where("rep <> a").select("a", F.col("rep").alias("b"))))
     label = components(links)
     side = lambda c: label.select(F.col("id").alias(c), F.col("label").alias(f"label_{c}"))
     apart = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").where(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select("a", "b")
@@ -229,29 +230,19 @@ def grouped(docs: DataFrame, k: int, percent: int, id_column: str, text_column:
         links = links.union(more)
         label = components(links)
     # a leader has met all of its band
-    others = inside.where("id <> leader").select("key", "id")
-    for turn in range(STAR_ROUNDS + 1):  # the last turn leaves nothing open
-        named = others.join(label, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
-        split = named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key")
-        others = cut(named.join(split, "key", "left_semi"))
-        if others.isEmpty():
-            break
-        size = others.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"), F.min_by("id", F.xxhash64(F.lit(turn), "key", "id")).alias("pick"))
-        largest = size.groupBy("key").agg(F.max(F.struct("c", "label", "pick")).alias("m")).select("key", F.col("m.label").alias("largest"), F.col("m.pick").alias("pick"))
-        marked = others.join(largest, "key").withColumn("asks", F.col("label") != F.col("largest"))
-        if turn < STAR_ROUNDS:
-            more = confirmed(marked.where("asks").select(F.least("id", "pick").alias("a"), F.greatest("id", "pick").alias("b")).distinct(), registers, texts, k, percent)
-        else:
-            firsts = others.groupBy("key").agg(F.min("id").alias("a"))
-            chained = others.join(firsts, "key").where("id <> a").select("a", F.col("id").alias("b")).distinct()
-            family = components(chained).select("id", F.col("label").alias("family"))
-            members = others.select("id", "label").distinct().join(family, "id").join(registers, "id").join(texts, "id")
-            more = across(members.select("family", "id", "label", "registers", F.coalesce("text", F.lit("")).alias("text")), k, percent)
-        more = cut(more)
-        if not more.isEmpty():
-            links = links.union(more)
-            label = components(links)
-        others = others.select("key", "id")
+    others = inside.where("id <> leader").select("key", "id").join(label, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
+    split = others.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key")
+    others = cut(others.join(split, "key", "left_semi"))
+    if not others.isEmpty():
+        firsts = others.groupBy("key").agg(F.min("id").alias("a"))
+        chained = others.join(firsts, "key").where("id <> a").select("a", F.col("id").alias("b")).distinct()
+        family = components(chained).select("id", F.col("label").alias("family"))
+        members = tables.keep(others.select("id", "label").distinct().join(family, "id").join(registers, "id"))
+        ends = across(members, k, percent, False).select(F.col("a").alias("id"))
+        left = members.join(ends, "id", "left_semi").join(texts, "id")
+        more = cut(across(left.select("family", "id", "label", "registers", F.coalesce("text", F.lit("")).alias("text")), k, percent, True))
         tidy(docs.sparkSession)
+        if not more.isEmpty():
+            label = components(links.union(more))
     label = label.select(F.col("id").alias("rep"), "label")
     return member.join(label, "rep", "left").select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), F.coalesce("label", "rep").alias("component_id"))
