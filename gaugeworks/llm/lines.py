@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeworks.llm.common import CACHE_BYTES, Tables, cut, per_row, slices, tidy, trim
-from gaugeworks.llm.shingles import FOLD, hashed_words, mix
+from gaugeworks.llm.common import CACHE_BYTES, Tables, cut, one_id_a_row, per_row, slices, tidy, trim, unpacked, whole_row
+from gaugeworks.llm.shingles import FOLD, hashed_words, mix, sequence_digest
 
 #: Counters of token frequency: a fixed number, shared by hash, so that what is broadcast doesn't grow with the vocabulary.
 COUNTER_BITS = 23
@@ -19,18 +19,18 @@ RANGE_BITS = 16
 FILTER_BITS = 26
 CHUNK_BITS = 16
 #: Earlier candidates of a line that one token may give in the first round. Lines that have more, and no match among these, get a second round without a limit.
-FIRST_CANDIDATES = 2
-#: If no more lines than these are left for the second round, with no more bytes, they go to all tasks and one pass over the documents decides them.
-LEFT_LINES, LEFT_BYTES = 5_000, 4 << 20
-#: Tokens beyond the prefix that a line of the second round is searched by, so that lines that share a few by chance aren't compared.
-EXTRA_TOKENS = 4
-#: Bytes of postings in a part, about.
-PART_BYTES = 24 << 20
+FIRST_CANDIDATES = 4
+#: Bytes of postings in a part, about, and parts that a task reads.
+PART_BYTES, TASK_PARTS = 2 << 20, 8
 #: Tokens that occur more often are dealt by line length as well.
 HOT_COUNT = 50_000
+#: Postings of a token from which pairs are found by equal stretches of their parity bits, not by going through all.
+MANY = 512
+#: Lines that a task remembers, so as not to deal them again.
+REMEMBERED = 1 << 17
 FLUSH_BYTES = 4 << 20
 MOST_N = 65_535
-POSTING = np.dtype([("t", "<u4"), ("line", "<u4"), ("doc", "<i8"), ("b0", "<u8"), ("b1", "<u8"), ("n", "<u2"), ("p", "<u2")])
+POSTING = np.dtype([("t", "<u4"), ("line", "<u4"), ("doc", "<i8"), ("b0", "<u8"), ("b1", "<u8"), ("key", "<u8"), ("n", "<u2"), ("p", "<u2")])
 PAIR = "x_doc long, x_line int, y_doc long, y_line int, more boolean"
 
 
@@ -43,8 +43,17 @@ def words_by_line(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return h, np.searchsorted(breaks, start), per_text
 
 
-def line_keys(h: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each line with words: its number, and 128 bits of its word sequence."""
+KEY_BYTES = 16
+NO_KEY = bytes(KEY_BYTES)
+
+
+def line_keys(text: bytes) -> list[bytes]:
+    """For each line of ``text`` a cryptographic digest of its words in order, zeros for a line without words."""
+    return [sequence_digest(x) or NO_KEY for x in text.split(b"\n")]
+
+
+def line_marks(h: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each line with words: its number, and 128 bits of its words' hashes in order. They only spare a line that is dealt already."""
     if not len(h):
         return np.zeros(0, np.int64), np.zeros((0, 2), np.uint64)
     first = np.flatnonzero(np.r_[True, line[1:] != line[:-1]])
@@ -80,13 +89,8 @@ def keys_and_counts(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for part in slices(batch, "text", CACHE_BYTES):
                 texts = [(t or "").encode() for t in part.column("text").to_pylist()]
-                h, line, per_text = words_by_line(texts)
-                at, keys = line_keys(h, line)
-                full = np.zeros((per_text.sum(), 2), np.uint64)
-                full[at] = keys
-                ends = np.cumsum(per_text)
-                np.add.at(total, bucket_of(h), np.uint32(1))
-                blobs = [full[e - n : e].tobytes() for e, n in zip(ends, per_text, strict=True)]
+                np.add.at(total, bucket_of(hashed_words(texts)[0]), np.uint32(1))
+                blobs = [b"".join(line_keys(t)) for t in texts]
                 yield pa.RecordBatch.from_arrays([part.column("id").cast(pa.int64()), pa.array(blobs, pa.binary()), pa.nulls(len(blobs), pa.int32()), pa.nulls(len(blobs), pa.binary())], schema=schema)
         at = np.flatnonzero(total)
         if len(at):
@@ -141,17 +145,19 @@ def postings(docs: DataFrame, codes: np.ndarray, parts: int, percent: int, token
         texts = [(t or "").encode() for t in part.column("text").to_pylist()]
         ids = part.column("id").cast(pa.int64()).to_pylist()
         h, line, per_text = words_by_line(texts)
-        at, keys = line_keys(h, line)
         if not len(h):
             return np.zeros(0, np.int64), np.zeros(0, POSTING)
+        at, marks = line_marks(h, line)
         ends = np.cumsum(per_text)
         text_of = np.searchsorted(ends, at, side="right")
         fresh = np.zeros(len(at), bool)
         number = (at - (ends - per_text)[text_of]).tolist()
-        for i, (t, no, key) in enumerate(zip(text_of.tolist(), number, keys, strict=True)):
-            if (doc := ids[t]) is not None and ((was := had.get(k := key.tobytes())) is None or (doc, no) < was):
+        for i, (t, no, k) in enumerate(zip(text_of.tolist(), number, map(bytes, marks), strict=True)):
+            if (doc := ids[t]) is not None and ((was := had.get(k)) is None or (doc, no) < was):
                 had[k] = (doc, no)
                 fresh[i] = True
+        if len(had) > REMEMBERED:
+            had.clear()
         token, own, code = by_rarity(h, np.searchsorted(at, line), codes)
         first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
         n = np.diff(np.r_[first, len(own)])
@@ -166,7 +172,7 @@ def postings(docs: DataFrame, codes: np.ndarray, parts: int, percent: int, token
         token, own, code, place = token[use], own[use], code[use], place[use]
         out = np.zeros(len(token), POSTING)
         out["line"], out["doc"] = np.array(number)[own], np.array([i if i is not None else 0 for i in ids], np.int64)[text_of[own]]
-        out["b0"], out["b1"] = b0[own], b1[own]
+        out["b0"], out["b1"], out["key"] = b0[own], b1[own], marks[own, 0]
         out["n"], out["p"] = np.minimum(n[own], MOST_N), np.minimum(place, MOST_N)
         # a frequent token's lines are dealt by length class, each to its own and the next, so that similar lengths meet
         size = np.where(code >= hot, np.floor(np.log(n[own]) / grow + 1e-9), -1).astype(np.int64)
@@ -200,18 +206,27 @@ def postings(docs: DataFrame, codes: np.ndarray, parts: int, percent: int, token
     return docs.mapInArrow(run, "part int, postings binary")
 
 
-def meet(post: np.ndarray, percent: int, limit: int | None, only: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places in ``post`` of earlier and later lines that share a prefix token and pass the filters of length, position and
-    parity bits; and which later lines have more than ``limit`` such partners. With ``only``, later lines are those whose place's bit is set.
+def fits(post: np.ndarray, x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
+    """Whether pairs of postings pass the filters of length, position and parity bits; lengths past MOST_N pass."""
+    n, p = post["n"].astype(np.int64), post["p"].astype(np.int64)
+    short, long = np.minimum(n[x], n[y]), np.maximum(n[x], n[y])
+    both = short + long
+    least = -(-percent * both // (100 + percent))
+    apart = np.bitwise_count(post["b0"][x] ^ post["b0"][y]).astype(np.int64) + np.bitwise_count(post["b1"][x] ^ post["b1"][y])
+    ok = (100 * short >= percent * long) & (np.minimum(n[x] - p[x], n[y] - p[y]) >= least) & (apart <= both - 2 * least)
+    return ok | (long == MOST_N)
 
-    Lines of a token are in the order of length, so that a line's partners end where they get too long.
-    """
-    post = post[np.argsort((post["t"].astype(np.uint64) << np.uint64(16)) | post["n"])]
-    t, n, p = post["t"], post["n"].astype(np.int64), post["p"].astype(np.int64)
-    b0, b1, doc, line = post["b0"], post["b1"], post["doc"], post["line"]
-    asked = np.ones(len(post), bool) if only is None else bits_set(only, place_bit(doc, line))
-    count = np.zeros(len(post), np.int64)
-    left, right = [], []
+
+def stretches(n: int, percent: int) -> list[np.ndarray]:
+    """The places of the parity bits cut into parts, of which similar lines of up to ``n`` tokens have one in common: one more than
+    the bits by which they may differ. All in one empty part where so many may differ that the bits tell nothing."""
+    parts = 2 * n * (100 - percent) // (100 + percent) + 1
+    return [np.zeros(0, np.int64)] if n >= MOST_N or parts > 128 else np.array_split(np.arange(128), parts)
+
+
+def pairs_of_a_few(post: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs that fit among postings sorted by token and length: a line's partners end where they get too long."""
+    t, n = post["t"], post["n"].astype(np.int64)
     live, k = np.arange(max(len(post) - 1, 0)), 0
     while len(live):
         k += 1
@@ -219,25 +234,83 @@ def meet(post: np.ndarray, percent: int, limit: int | None, only: np.ndarray | N
         y = live + k
         ok = (t[live] == t[y]) & ((100 * n[live] >= percent * n[y]) | (n[y] == MOST_N))
         live, y = live[ok], y[ok]
-        x = live
-        both = n[x] + n[y]
-        least = -(-percent * both // (100 + percent))
-        fit = (np.minimum(n[x] - p[x], n[y] - p[y]) >= least) | (n[y] == MOST_N)
-        x, y, both, least = x[fit], y[fit], both[fit], least[fit]
-        apart = np.bitwise_count(b0[x] ^ b0[y]).astype(np.int64) + np.bitwise_count(b1[x] ^ b1[y])
-        fit = ((apart <= both - 2 * least) | (n[y] == MOST_N)) & ((doc[x] != doc[y]) | (line[x] != line[y]))
-        x, y = x[fit], y[fit]
-        swap = (doc[x] > doc[y]) | ((doc[x] == doc[y]) & (line[x] > line[y]))
-        x, y = np.where(swap, y, x), np.where(swap, x, y)
-        x, y = x[asked[y]], y[asked[y]]
-        np.add.at(count, y, 1)
-        if limit is not None:
-            room = count[y] <= limit
-            x, y = x[room], y[room]
-        left.append(x)
-        right.append(y)
+        fit = fits(post, live, y, percent)
+        yield live[fit], y[fit]
+
+
+def pairs_of_many(post: np.ndarray, percent: int, asked: np.ndarray, full: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs that fit among many postings of one token, a length class at a time with the next.
+
+    Similar lines of such lengths differ in few parity bits, so that these, cut into a stretch more than that, agree in one: only postings
+    with an equal stretch are compared, in the order of their places, and a later line that is ``full`` looks no further.
+    """
+    step = np.log(100 / percent)
+    size = np.floor(np.log(post["n"]) / step + 1e-9).astype(np.int64)
+    bits = np.unpackbits(np.ascontiguousarray(np.stack([post["b0"], post["b1"]], axis=1)).view(np.uint8), axis=1)
+    for c in np.unique(size).tolist():
+        own = np.flatnonzero((size == c) | (size == c + 1))
+        if len(own) < 2 or not (size[own] == c).any():
+            continue
+        earlier: list[np.ndarray] = []
+        for part in stretches(int(post["n"][own].max()), percent):
+            code = np.unique(np.packbits(np.pad(bits[own][:, part], ((0, 0), (0, 1))), axis=1), axis=0, return_inverse=True)[1].ravel()
+            order = np.lexsort((post["line"][own], post["doc"][own], code))
+            at, k = np.flatnonzero(asked[own[order]]), 0
+            while len(at):
+                k += 1
+                at = at[at >= k]
+                at = at[(code[order[at]] == code[order[at - k]]) & ~full[own[order[at]]]]
+                x, y = order[at - k], order[at]
+                # each pair in the first stretch that it shares, and in the class of its shorter line
+                new = np.minimum(size[own[x]], size[own[y]]) == c
+                for e in earlier:
+                    new &= e[x] != e[y]
+                x, y = own[x[new]], own[y[new]]
+                fit = fits(post, x, y, percent)
+                yield x[fit], y[fit]
+            earlier.append(code)
+
+
+def meet(post: np.ndarray, percent: int, limit: int | None, only: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Postings of earlier and later lines that share a prefix token and pass the filters of length, position and
+    parity bits; and which later lines have more than ``limit`` such partners. With ``only``, later lines are those whose place's bit is set.
+
+    Of lines of the same words in the same order, dealt by several tasks, the first stands for all.
+    """
+    post = post[np.lexsort((post["line"], post["doc"], post["key"], post["t"]))]
+    post = post[np.r_[True, (post["t"][1:] != post["t"][:-1]) | (post["key"][1:] != post["key"][:-1])][: len(post)]]
+    post = post[np.argsort((post["t"].astype(np.uint64) << np.uint64(16)) | post["n"], kind="stable")]
+    asked = np.ones(len(post), bool) if only is None else bits_set(only, place_bit(post["doc"], post["line"]))
+    edge = np.flatnonzero(np.r_[True, post["t"][1:] != post["t"][:-1], True]) if len(post) else np.zeros(1, np.int64)
+    large = np.repeat(np.diff(edge) >= MANY, np.diff(edge))
+    count = np.zeros(len(post), np.int64)
+    full = np.zeros(len(post), bool)
+    left, right = [], []
+
+    def take(of: np.ndarray, pairs: Iterator[tuple[np.ndarray, np.ndarray]], own_full: np.ndarray) -> None:
+        for x, y in pairs:
+            x, y = of[x], of[y]
+            doc, line = post["doc"], post["line"]
+            swap = (doc[x] > doc[y]) | ((doc[x] == doc[y]) & (line[x] > line[y]))
+            x, y = np.where(swap, y, x), np.where(swap, x, y)
+            x, y = x[asked[y]], y[asked[y]]
+            np.add.at(count, y, 1)
+            if limit is not None:
+                full[y] = count[y] > limit
+                room = ~full[y]
+                x, y = x[room], y[room]
+                own_full[:] = full[of]
+            left.append(x)
+            right.append(y)
+
+    few = np.flatnonzero(~large)
+    take(few, pairs_of_a_few(post[few], percent), np.zeros(len(few), bool))
+    for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+        if b - a >= MANY:
+            of, own_full = np.arange(a, b), np.zeros(b - a, bool)
+            take(of, pairs_of_many(post[a:b], percent, asked[a:b], own_full), own_full)
     x, y = (np.concatenate(s) if s else np.zeros(0, np.int64) for s in (left, right))
-    return post[x], post[y], post[count > limit] if limit is not None else post[:0]
+    return post[x], post[y], post[full]
 
 
 def once(rows: np.ndarray) -> np.ndarray:
@@ -259,7 +332,9 @@ def candidates(docs: DataFrame, codes: np.ndarray, parts: int, percent: int, lim
         flag = np.arange(cols.shape[1]) >= kept.shape[1]
         return pa.table([pa.array(cols[0]), pa.array(cols[1].astype(np.int32)), pa.array(cols[2]), pa.array(cols[3].astype(np.int32)), pa.array(flag)], names=["x_doc", "x_line", "y_doc", "y_line", "more"])
 
-    return postings(docs, codes, parts, percent, tokens).groupBy("part").applyInArrow(run, PAIR)
+    # partitions follow the parts, so that a task's postings don't grow with the corpus
+    dealt = postings(docs, codes, parts, percent, tokens).repartition(-(-parts // TASK_PARTS), "part")
+    return dealt.groupBy("part").applyInArrow(run, PAIR)
 
 
 def bits_set(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -350,113 +425,78 @@ def matched(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     return per_row(sides.select("y_doc", "y_line", "x", "y"), "doc long, line int", "y", f).distinct()
 
 
-def searched(docs: DataFrame, lines: list[tuple[int, int, str]], codes: np.ndarray, percent: int) -> DataFrame:
-    """(doc, line) of the given lines (doc, line, text) that an earlier line of any document is similar to: all lines are held against the given ones, by way of the tokens of their prefixes."""
-    tokens, owners, given, least = [], [], [], []
-    for i, (doc, no, text) in enumerate(lines):
-        h, _, _, _ = hashed_words([text.encode()])
-        token, _, _ = by_rarity(h, np.zeros(len(h), np.int64), codes)
-        need = -(-percent * len(token) // 100)
-        # all but len - need of a line's tokens are in a similar one, so of some more than these, that many more
-        more = min(EXTRA_TOKENS, need)
-        tokens.append(token[: len(token) - need + more])
-        owners.append(np.full(len(tokens[-1]), i))
-        least.append(more)
-        given.append((doc, no, set(text.encode().translate(FOLD).split())))
-    token, owner = (np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (tokens, owners))
-    order = np.argsort(token, kind="stable")
-    token, owner, wanted = token[order], owner[order].astype(np.int64), np.array(least, np.int64)
-    known, first, times = np.unique(token, return_index=True, return_counts=True)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hit: set[int] = set()
-        for batch in batches:
-            for part in slices(batch, "text", CACHE_BYTES):
-                texts = [(t or "").encode() for t in part.column("text").to_pylist()]
-                h, line, per_text = words_by_line(texts)
-                at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                found = np.flatnonzero(known[at] == h) if len(known) else np.zeros(0, np.int64)
-                if not len(found):
-                    continue
-                n = times[at[found]]
-                each = np.repeat(first[at[found]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                pair, counts = np.unique(np.repeat(line[found], n) * len(given) + owner[each], return_counts=True)
-                pair = pair[counts >= wanted[pair % len(given)]]
-                ids = part.column("id").cast(pa.int64()).to_pylist()
-                ends = np.cumsum(per_text)
-                for own, i in zip((pair // len(given)).tolist(), (pair % len(given)).tolist(), strict=True):
-                    t = int(np.searchsorted(ends, own, side="right"))
-                    no = own - int(ends[t] - per_text[t])
-                    if i not in hit and ids[t] is not None and (ids[t], no) < given[i][:2]:
-                        words = set(texts[t].split(b"\n")[no].translate(FOLD).split())
-                        both = len(words & given[i][2])
-                        if 100 * both >= percent * (len(words) + len(given[i][2]) - both):
-                            hit.add(i)
-        rows = [given[i] for i in sorted(hit)]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32())], names=["doc", "line"])
-        trim()
-
-    return docs.mapInArrow(run, "doc long, line int").distinct()
-
-
 def duplicates(docs: DataFrame, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """id, n_lines (lines with a word), n_removed and removed (their numbers from 0, ascending) of each document with a line.
+    """id, text_hash, n_lines (lines with a word), n_removed and removed (their numbers from 0, ascending) of each document with a line.
 
     A line is a set of words: white space apart, A-Z in lower case. It is removed if a line at an earlier place, by (id, line number),
     has 100 * intersection >= percent * union with it, whether that line stays or not. Lines without words stay.
 
-    1. Lines of the same words in the same order are one class, at its first place. 2. Tokens are ordered by frequency codes; a line's
+    1. Lines of the same words in the same order, by a cryptographic digest, are one class, at its first place. 2. Tokens are ordered by frequency codes; a line's
     prefix of rarest tokens is dealt by token. 3. Lines that share a prefix token are candidates if length, position and parity bits
-    allow the similarity. 4. The texts of candidates are fetched and compared. A line with more candidates than the first round takes, and no
+    allow the similarity; the first line of a class in a part stands for it, and among many lines of a token only those with an
+    equal stretch of parity bits are looked at, which similar ones have. 4. The texts of candidates are fetched and their words compared. A line with more candidates than the first round takes, and no
     match among those, has all of them compared in a second round, so nothing is lost. What is broadcast has a fixed size: frequency codes and filters of places.
 
-    Ids are integers. Null text: as empty. Null id: its lines neither match nor count, and its removed is empty.
-    Rows of one id share their places: lines of the same number stand for each other. Empty input: no rows. Lines of any length are compared whole. Other columns are not read.
+    Ids are integers. Null text: as empty. Null id: its lines neither match nor are removed, and it has no row here.
+    Rows of one id are documents of their own, in the order of xxhash64 of the text (text_hash); rows of one id and one text are one.
+    Empty input: no rows. Lines of any length are compared whole. Other columns are not read.
     """
     rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
     with Tables(docs.sparkSession) as tables:
-        counted = tables.keep(keys_and_counts(rows))
-        codes, tokens = frequencies(counted)
-        parts = max(12, -(-int(tokens * 0.2 * POSTING.itemsize) // PART_BYTES))
-        size = 16
-        each = F.transform(F.sequence(F.lit(0), F.expr(f"length(keys) div {size} - 1").cast("int")), lambda i: F.expr("keys").substr(i * size + 1, F.lit(size)))
-        lines = counted.where("bucket is null").select("doc_id", F.posexplode(each).alias("line", "key")).where(F.col("key") != F.lit(bytes(size)))
-        classes = lines.where("doc_id is not null").groupBy("key").agg(F.min(F.struct("doc_id", "line")).alias("first"))
-        found = tables.keep(candidates(rows, codes, parts, percent, FIRST_CANDIDATES).distinct())
-        tidy(docs.sparkSession)
-        hit = cut(matched(rows, found.where("not more").drop("more"), percent))
-        left = found.where("more").select(F.col("y_doc").alias("doc"), F.col("y_line").alias("line")).distinct().join(hit, ["doc", "line"], "left_anti")
-        firsts = classes.select(F.col("first.doc_id").alias("doc"), F.col("first.line").alias("line"))
-        left = cut(left.join(firsts, ["doc", "line"], "left_semi"))
-        tidy(docs.sparkSession)
-        bits = None if left.isEmpty() else filter_of(left)
-        few = None if bits is None else tables.keep(fetched(rows, bits).join(left, ["doc", "line"], "left_semi"))
-        size = few.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first() if few else (0, 0)
-        if few and size[0] <= LEFT_LINES and size[1] <= LEFT_BYTES:
-            given = [(r["doc"], r["line"], r["text"]) for r in few.collect()]
-            hit = cut(hit.union(searched(rows, given, codes, percent)).distinct())
-        elif few:
-            again = tables.keep(candidates(rows, codes, parts, percent, None, bits, tokens_of(rows, bits)).distinct())
-            rest = again.drop("more").join(found.where("not more").drop("more"), ["x_doc", "x_line", "y_doc", "y_line"], "left_anti")
-            hit = cut(hit.union(matched(rows, rest, percent)).distinct())
-            tidy(docs.sparkSession)
-        marked = classes.select("key", F.col("first.doc_id").alias("doc"), F.col("first.line").alias("line")).join(hit.withColumn("hit", F.lit(True)), ["doc", "line"], "left")
-        judged = lines.join(marked.select("key", F.struct("doc", "line").alias("first"), "hit"), "key", "left")
-        gone = F.coalesce((F.struct(F.col("doc_id").alias("doc"), "line") != F.col("first")) | F.col("hit"), F.lit(False))
-        kept = judged.select(F.col("doc_id"), "line", F.when(F.col("doc_id").isNotNull(), gone).otherwise(False).alias("gone"))
-        return cut(kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"), F.count_if("gone").alias("n_removed"), F.array_sort(F.collect_set(F.when(F.col("gone"), F.col("line")))).alias("removed")).withColumnRenamed("doc_id", id_column))
+        keyed = one_id_a_row(rows, tables)
+        names = keyed.select("key", F.col("id").alias(id_column), F.xxhash64("text").alias("text_hash"))
+        found = flagged(keyed.select(F.col("key").alias("id"), "text"), percent, tables)
+        return cut(names.join(found.withColumnRenamed("doc_id", "key"), "key").drop("key"))
+
+
+def flagged(rows: DataFrame, percent: int, tables: Tables) -> DataFrame:
+    """(doc_id, n_lines, n_removed, removed) of rows(id, text) whose ids differ."""
+    spark = rows.sparkSession
+    counted = tables.keep(keys_and_counts(rows))
+    codes, tokens = frequencies(counted)
+    parts = max(96, -(-int(tokens * 0.2 * POSTING.itemsize) // PART_BYTES))
+    each = F.transform(F.sequence(F.lit(0), F.expr(f"length(keys) div {KEY_BYTES} - 1").cast("int")), lambda i: F.expr("keys").substr(i * KEY_BYTES + 1, F.lit(KEY_BYTES)))
+    lines = counted.where("bucket is null").select("doc_id", F.posexplode(each).alias("line", "key")).where(F.col("key") != F.lit(NO_KEY))
+    classes = lines.where("doc_id is not null").groupBy("key").agg(F.min(F.struct("doc_id", "line")).alias("first"))
+    found = tables.keep(candidates(rows, codes, parts, percent, FIRST_CANDIDATES).distinct())
+    tidy(spark)
+    first_pairs = found.where("not more").drop("more")
+    hit = cut(matched(rows, first_pairs, percent))
+    left = found.where("more").select(F.col("y_doc").alias("doc"), F.col("y_line").alias("line")).distinct().join(hit, ["doc", "line"], "left_anti")
+    firsts = classes.select(F.col("first.doc_id").alias("doc"), F.col("first.line").alias("line"))
+    left = cut(left.join(firsts, ["doc", "line"], "left_semi"))
+    tidy(spark)
+    if not left.isEmpty():
+        bits = filter_of(left)
+        again = tables.keep(candidates(rows, codes, parts, percent, None, bits, tokens_of(rows, bits)).distinct())
+        rest = again.drop("more").join(first_pairs, ["x_doc", "x_line", "y_doc", "y_line"], "left_anti")
+        hit = cut(hit.union(matched(rows, rest, percent)).distinct())
+        tidy(spark)
+    marked = classes.select("key", F.col("first.doc_id").alias("doc"), F.col("first.line").alias("line")).join(hit.withColumn("hit", F.lit(True)), ["doc", "line"], "left")
+    judged = lines.join(marked.select("key", F.struct("doc", "line").alias("first"), "hit"), "key", "left")
+    gone = F.coalesce((F.struct(F.col("doc_id").alias("doc"), "line") != F.col("first")) | F.col("hit"), F.lit(False))
+    kept = judged.select(F.col("doc_id"), "line", F.when(F.col("doc_id").isNotNull(), gone).otherwise(False).alias("gone"))
+    return kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"), F.count_if("gone").alias("n_removed"), F.array_sort(F.collect_set(F.when(F.col("gone"), F.col("line")))).alias("removed"))
 
 
 def report(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """doc_id, n_lines, n_removed and removed of every document; documents without words have no lines."""
+    """doc_id, n_lines, n_removed and removed of every row; documents without words, and null ids, have no lines."""
     found = duplicates(docs, percent)
-    return docs.select("doc_id").join(found, "doc_id", "left").select("doc_id", F.coalesce("n_lines", F.lit(0)).alias("n_lines"), F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.array_join(F.coalesce("removed", F.expr("cast(array() as array<int>)")), ",").alias("removed"))
+    rows = docs.select("doc_id", F.xxhash64(F.col("text").cast("string")).alias("text_hash"))
+    joined = rows.join(found, ["doc_id", "text_hash"], "left")
+    return joined.select("doc_id", F.coalesce("n_lines", F.lit(0)).alias("n_lines"), F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.array_join(F.coalesce("removed", F.expr("cast(array() as array<int>)")), ",").alias("removed"))
 
 
 def without(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """``docs`` with the removed lines taken out of their text; a document that had words and has none left goes."""
-    gone = found.select(F.col("doc_id").alias("gw_id"), F.col("removed").alias("gw_removed"), (F.col("n_lines") == F.col("n_removed")).alias("gw_all"))
-    joined = docs.join(gone, docs["doc_id"] == gone["gw_id"], "left").where(~F.coalesce("gw_all", F.lit(False)))
-    kept = F.expr("array_join(filter(split(text, '\\n', -1), (l, i) -> not array_contains(gw_removed, i)), '\\n')")
-    text = F.when(F.size("gw_removed") > 0, kept).otherwise(F.col("text"))
-    return joined.withColumn("text", text).select(*docs.columns)
+    """``docs`` with the removed lines taken out of their text; a document that had words and has none left goes.
+
+    ``found`` is what ``duplicates`` says of the same rows. Null ids and null texts stay as they are; columns of any name pass through.
+    """
+    gone = found.select("doc_id", "text_hash", "removed", (F.col("n_lines") == F.col("n_removed")).alias("all")).where("n_removed > 0")
+    gone = gone.select(F.struct("doc_id", "text_hash").alias("place"), "removed", "all")
+    packed = docs.select(whole_row(docs.columns).alias("row"), F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_hash")).alias("place"))
+    joined = packed.join(gone, "place", "left").where(~F.coalesce("all", F.lit(False))).select("row", F.col("row.text").cast("string").alias("text"), F.coalesce("removed", F.expr("cast(array() as array<int>)")).alias("removed"))
+    # the lines are bound once, and the numbers of those that stay come from one set
+    kept = F.expr("element_at(transform(array(split(text, '\\n', -1)), own -> array_join(transform(array_except(sequence(0, size(own) - 1), removed), i -> own[i]), '\\n')), 1)")
+    text = F.when(F.size("removed") > 0, kept).otherwise(F.col("text"))
+    return joined.select(*unpacked(docs.columns, text=text))
