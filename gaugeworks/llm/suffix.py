@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import hashlib
 import itertools
 from collections import Counter
 from collections.abc import Iterator
@@ -12,16 +13,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaugeworks.llm.common import CACHE_BYTES, Tables, cut, per_row, slices, tidy, trim
+from gaugeworks.llm.common import CACHE_BYTES, Tables, counts_before, cut, one_id_a_row, per_row, slices, tidy, trim
 from gaugeworks.llm.lines import FILTER_BITS, bits_set, chunked, gathered
-from gaugeworks.llm.shingles import VALUE, mix, powers
+from gaugeworks.llm.shingles import mix
 
 #: Length of the strings that are removed if they start elsewhere too.
 LENGTH = 400
 #: A string's anchor is the least of the hashes of GRAM bytes in its first CHOICE places: LENGTH = GRAM + CHOICE - 1.
 GRAM = 136
 CHOICE = LENGTH - GRAM + 1
-#: Bytes of a block, the symbol of the suffix order; LENGTH is a whole number of them. Nine are two rounds of triples.
+#: Bytes of a block, the symbol of the suffix order; LENGTH is a whole number of them.
 BLOCK = 50
 WHOLE = LENGTH // BLOCK
 DEPTH = WHOLE + 1
@@ -30,6 +31,28 @@ LEFT = -(-(CHOICE - 1) // BLOCK)
 RANGE_TRIPLES = 20_000
 
 
+#: A value for each byte, and a base whose powers weigh the places of a string, for the hashes that slide over all places.
+_R = np.random.default_rng(20_240_229)
+VALUE = _R.integers(0, 2**63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+BASE = int(_R.integers(0, 2**62)) * 4 + 3
+_POWERS = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse."""
+    if len(_POWERS["up"]) < n:
+        for name, b in (("up", BASE), ("down", pow(BASE, -1, 2**64))):
+            p = np.full(max(n, 1 << 20), np.uint64(b % 2**64))
+            p[0] = 1
+            _POWERS[name] = np.multiply.accumulate(p)
+    return _POWERS["up"][:n], _POWERS["down"][:n]
+
+
+def digest(s: bytes) -> int:
+    """64 bits of a cryptographic digest."""
+    return int.from_bytes(hashlib.blake2b(s, digest_size=8).digest(), "little")
+
+
 def prefix_sums(data: np.ndarray) -> np.ndarray:
     up, _ = powers(len(data) + 1)
     total = np.empty(len(data) + 1, np.uint64)
@@ -38,12 +61,6 @@ def prefix_sums(data: np.ndarray) -> np.ndarray:
     return total
 
 
-def hash_of(total: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the bytes [start, end)."""
-    _, down = powers(len(total))
-    return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
-
-
 def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
     """The least of each ``width`` values in a row, from running minima within blocks in both directions."""
     n = len(x)
@@ -57,7 +74,7 @@ def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
 
 def anchors(texts: list[bytes]) -> dict[str, np.ndarray]:
     """Anchors of all strings of LENGTH bytes of the texts: number of the text, first and last start of the strings that
-    have it, its place, a hash of its GRAM bytes and one of all that its strings cover. Places are within the text.
+    have it, its place, a hash of its GRAM bytes and a digest of all that its strings cover. Places are within the text.
 
     Which place of a string is its anchor depends on the string alone, so equal strings have it at the same place.
     """
@@ -81,7 +98,9 @@ def anchors(texts: list[bytes]) -> dict[str, np.ndarray]:
     tail = np.r_[head[1:], len(place)] - 1
     own, first, last, place = text[head], starts[head], starts[tail], place[head]
     b = begin[own]
-    return {"text": np.array(long)[own], "first": first - b, "last": last - b, "at": place - b, "gram": gram[place], "cover": hash_of(total, first, last + LENGTH)}
+    body = data.tobytes()
+    cover = np.fromiter((digest(body[x:y]) for x, y in zip(first.tolist(), (last + LENGTH).tolist(), strict=True)), np.uint64, len(first))
+    return {"text": np.array(long)[own], "first": first - b, "last": last - b, "at": place - b, "gram": gram[place], "cover": cover}
 
 
 def signed(h: np.ndarray) -> pa.Array:
@@ -149,11 +168,8 @@ def symbols(near: DataFrame) -> DataFrame:
         out, zeros = [], []
         for text, z in zip(c["near"], c["zero"], strict=True):
             skip, back = z % BLOCK, z // BLOCK
-            body = np.frombuffer(text, np.uint8)[skip:]
-            n = len(body) // BLOCK
-            at = np.arange(n) * BLOCK
             # 1 to 2^62, so that 0 can stand for the end of a string
-            out.append(((hash_of(prefix_sums(body), at, at + BLOCK) >> np.uint64(2)) + np.uint64(1)).astype(np.int64).tolist())
+            out.append([(digest(text[at : at + BLOCK]) >> 2) + 1 for at in range(skip, len(text) - BLOCK + 1, BLOCK)])
             zeros.append(back)
         return [c["id"], c["doc"], c["at"], zeros, out]
 
@@ -163,32 +179,32 @@ def symbols(near: DataFrame) -> DataFrame:
 def named(triples: DataFrame, ranges: int, top: float) -> DataFrame:
     """(x, y, z, name): distinct triples numbered from 1 in the order of x, y, z. Ranges of x are ranked apart, and counts of the ranges before are added."""
     distinct = triples.select("x", "y", "z").distinct().withColumn("part", F.floor(F.col("x") / F.lit(top) * ranges).cast("long"))
-    counts = distinct.groupBy("part").agg(F.count(F.lit(1)).alias("c"))
-    before = counts.select("part", F.coalesce(F.sum("c").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    before = counts_before(distinct.groupBy("part").agg(F.count(F.lit(1)).alias("c")), "part", "c").select("part", "before")
     ranked = distinct.withColumn("r", F.row_number().over(Window.partitionBy("part").orderBy("x", "y", "z")))
     return ranked.join(before, "part").select("x", "y", "z", (F.col("r") + F.col("before")).alias("name"))
 
 
 def sample_ranks(strings: DataFrame, tables: Tables) -> DataFrame:
-    """(id, ranks): for each string an array with the rank of the suffixes at places 1 and 2 modulo 3, to a depth of nine symbols, and 0 elsewhere.
+    """(id, ranks): for each string an array with the rank of the suffixes at places 1 and 2 modulo 3, to DEPTH symbols at least, and 0 elsewhere.
 
-    Triples of symbols at those places are sorted and named; the string of names is sorted by triples again.
-    Nine symbols cover the strings looked for, so no third round is needed. Equal ranks mean equal nine symbols.
+    Triples of symbols at those places are sorted and named, and the string of names is sorted by triples of names again, so that each
+    round orders three times as many symbols. It ends when names tell all suffixes apart, or the strings looked for. Equal ranks mean equal symbols.
     """
-
-    def round_of(values: DataFrame, step: int, top: float) -> DataFrame:
-        get = lambda k: F.coalesce(F.get("v", F.col("p") + k * step), F.lit(0))
-        places = F.filter(F.sequence(F.lit(0), F.size("v") - 1), lambda p: p % 3 != 0)
+    values, top, step = strings.select("id", F.col("sym").alias("v")), float(2**62 + 1), 1
+    places = F.filter(F.sequence(F.lit(0), F.size("v") - 1), lambda p: p % 3 != 0)
+    while step < DEPTH:
+        get = lambda k, step=step: F.coalesce(F.get("v", F.col("p") + k * step), F.lit(0))
         triples = values.where(F.size("v") > 1).select("id", "v", F.explode(places).alias("p")).select("id", "p", F.size("v").alias("n"), get(0).alias("x"), get(1).alias("y"), get(2).alias("z"))
         triples = tables.keep(triples)
-        n = max(1, triples.count() // RANGE_TRIPLES)
-        told = triples.join(named(triples, n, top), ["x", "y", "z"])
+        count = triples.count()
+        told = triples.join(named(triples, max(1, count // RANGE_TRIPLES), top), ["x", "y", "z"])
         arrays = told.groupBy("id", "n").agg(F.map_from_entries(F.collect_list(F.struct("p", "name"))).alias("m"))
-        return tables.keep(arrays.select("id", F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda p: F.coalesce(F.col("m")[p], F.lit(0).cast("long"))).alias("v")))
-
-    names = round_of(strings.select("id", F.col("sym").alias("v")), 1, float(2**62 + 1))
-    most = names.agg(F.max(F.array_max("v"))).first()[0] or 1
-    return round_of(names, 3, float(most + 1)).select("id", F.col("v").alias("ranks"))
+        values = tables.keep(arrays.select("id", F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda p: F.coalesce(F.col("m")[p], F.lit(0).cast("long"))).alias("v")))
+        most = values.agg(F.max(F.array_max("v"))).first()[0] or 1
+        top, step = float(most + 1), 3 * step
+        if most == count:
+            break
+    return values.select("id", F.col("v").alias("ranks"))
 
 
 def precedes(a: tuple, b: tuple) -> int:
@@ -317,11 +333,11 @@ def by_edges(near: DataFrame, order: DataFrame) -> DataFrame:
 def repeated(docs: DataFrame) -> DataFrame:
     """(id, spans): for each document with repeated strings, the ranges [start, end) of their starts, as array<struct<start, end>>.
 
-    1. Each string of LENGTH bytes has an anchor, the least hash in it. Strings can only be equal if their anchors' grams are, so
-    anchors with grams of one place only are done. 2. Anchors whose whole cover (all strings that have it) is found twice are
+    The ids have to differ. 1. Each string of LENGTH bytes has an anchor, the least hash in it. Strings can only be equal if their anchors' grams are, so
+    anchors with grams of one place only are done. 2. Anchors whose whole cover (all strings that have it) is found twice, by a cryptographic digest, are
     done too: all their strings are repeated. 3. One anchor of each cover whose gram has several covers goes on, as a
     string of blocks on a grid that begins at the anchor: equal strings lie alike on their grids. A difference cover orders
-    the suffixes of these strings: triples at places 1 and 2 modulo 3 are sorted and named, names sorted by triples, the remaining suffixes
+    the suffixes of these strings: triples at places 1 and 2 modulo 3 are sorted and named, names sorted by triples in turn, the remaining suffixes
     merged, and neighbours' prefixes compared. 4. Starts between grid places are decided from the shared blocks and the bytes at both edges.
     """
     rows = docs.select(F.col("id").cast("long").alias("id"), "text").where("id is not null")
@@ -357,12 +373,17 @@ def apply(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
     """doc_id, n_bytes, runs (removed bytes, array<struct<start, end>>) and kept (the remaining bytes) of each document.
 
     A byte goes if a string of LENGTH bytes that covers it also starts anywhere else, in this document or another; strings are judged on the input.
-    Null text: as empty. Texts under LENGTH bytes lose nothing. Ids are integers; rows of one id count as the same places, so
-    that only rows with distinct ids find each other; a null id neither loses nor matches anything. Empty input: no rows.
+    Null text: as empty. Texts under LENGTH bytes lose nothing. Ids are integers; rows of one id and different texts are documents of their own,
+    rows of one id and one text are the same places; a null id neither loses nor matches anything. Empty input: no rows.
     Other columns are not read.
     """
-    rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"))
-    joined = rows.join(repeated(rows), "id", "left")
+    rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
+    with Tables(docs.sparkSession) as tables:
+        keyed = one_id_a_row(rows, tables)
+        found = repeated(keyed.select(F.col("key").alias("id"), "text")).withColumnRenamed("id", "key")
+        names = keyed.select("key", "id", F.xxhash64("text").alias("hash"))
+        spans = cut(names.join(found, "key").select("id", "hash", "spans"))
+    joined = rows.withColumn("hash", F.xxhash64("text")).join(spans, ["id", "hash"], "left")
     kind = docs.schema[id_column].dataType.simpleString()
 
     def f(c: dict[str, list]) -> list:
