@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
+import functools
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from gaugeworks.llm.common import per_row
+from gaugeworks.llm.common import Tables, cut, per_row, schema_of, unpacked, whole_row
 
 #: Maps A-Z to lower case and all other ASCII but 0-9 and a-z to a space.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 or 48 <= b <= 57 else 32 for b in range(256))
 WINDOW = 10
 #: Bytes of a block; a window's blocks are looked up in the shift table.
 BLOCK = 7
-#: Windows that one pass over the documents looks for. More are looked for in more passes.
+#: Windows that one pass over the documents looks for. More are looked for in more passes, a job each.
 PASS_WINDOWS = 20_000
 
 
@@ -79,17 +82,16 @@ class Matcher:
 class Search:
     """Windows of benchmark items, by length: one short window must not shorten the shifts of the others."""
 
-    def __init__(self, items: list[tuple[int | str, str | None]]):
-        self.owners: dict[bytes, set] = {}
-        for item, text in items:
-            for w in windows(words(text)):
-                self.owners.setdefault(w, set()).add(item)
+    def __init__(self, owned: list[tuple[str, bytes]]):
+        self.owners: dict[bytes, set[str]] = {}
+        for item, w in owned:
+            self.owners.setdefault(w, set()).add(item)
         groups: dict[int, list[bytes]] = {}
         for p in self.owners:
             groups.setdefault(0 if len(p) < 12 else 1 if len(p) < 32 else 2, []).append(p)
         self.matchers = [Matcher.of(g) for g in groups.values()]
 
-    def hits(self, text: str | None) -> tuple[int, list[tuple[int, int]], list]:
+    def hits(self, text: str | None) -> tuple[int, list[tuple[int, int]], list[str]]:
         """Words of the text, runs [start, end) of hit words, and the items found."""
         w = words(text)
         if not w:
@@ -111,57 +113,74 @@ class Search:
         return len(w), runs, sorted(items)
 
 
-def passes(benchmark: DataFrame) -> Iterator[list[tuple]]:
-    """The benchmark in runs of items of at most PASS_WINDOWS windows, or of one item."""
-    held, n = [], 0
+def passes(benchmark: DataFrame) -> Iterator[list[tuple[str, bytes]]]:
+    """(item, window) of the whole benchmark, PASS_WINDOWS at a time; an item may go on in the next pass. One empty pass for an empty benchmark."""
+    held: list[tuple[str, bytes]] = []
+    none = True
     for r in benchmark.select("item_id", "text").toLocalIterator():
-        k = len(windows(words(r["text"])))
-        if held and n + k > PASS_WINDOWS:
-            yield held
-            held, n = [], 0
-        if k:
-            held.append((r["item_id"], r["text"]))
-            n += k
-    if held:
+        for w in windows(words(r["text"])):
+            held.append((str(r["item_id"]), w))
+            if len(held) == PASS_WINDOWS:
+                yield held
+                held, none = [], False
+    if held or none:
         yield held
 
 
-def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs' columns with ``gw_words`` (count), ``gw_runs`` (array of struct<s, e>: hit words) and ``gw_items`` (ids as strings).
+HITS = "n long, runs array<struct<s: long, e: long>>, items array<string>"
 
-    The tables of one pass hold at most PASS_WINDOWS windows, whatever the size of the benchmark; a
-    larger benchmark is searched for in blocks, each a pass over all documents that adds to the
-    columns of the one before. Documents are not shuffled. Null text or text without words: nothing hit.
-    Equal items are all reported. An empty benchmark hits nothing. A null item_id counts as 'None'.
-    Repeated rows and ids are searched each by itself; columns of any name pass through, but for the three that this adds.
-    """
-    schema_of = docs.drop("gw_words", "gw_runs", "gw_items")
-    out = schema_of.withColumns({"gw_words": F.lit(0).cast("long"), "gw_runs": F.expr("cast(array() as array<struct<s: long, e: long>>)"), "gw_items": F.expr("cast(array() as array<string>)")})
-    names = schema_of.columns
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema)
-    blocks = list_of_passes(benchmark)
-
-    def step(search: Search):
-        def f(c: dict[str, list]) -> list:
-            found = [search.hits(t) for t in c["text"]]
-            runs = [merged([(r["s"], r["e"]) for r in old] + new) for old, (_, new, _) in zip(c["gw_runs"], found, strict=True)]
-            return [*(c[n] for n in names), [n for n, _, _ in found], [[{"s": s, "e": e} for s, e in r] for r in runs], [sorted({*old, *map(str, i)}) for old, (_, _, i) in zip(c["gw_items"], found, strict=True)]]
-
-        return f
-
-    for items in blocks:
-        out = per_row(out, kinds, "text", step(Search(items)))
-    return out
 
+def with_hits(docs: DataFrame, *names: str) -> StructType:
+    """The columns of ``docs`` of these names, and those of HITS."""
+    return StructType([docs.schema[n] for n in names] + schema_of(HITS).fields)
 
-def list_of_passes(benchmark: DataFrame) -> Iterator[list[tuple]]:
-    """As ``passes``, with one empty pass for an empty benchmark so that words are counted."""
-    none = True
-    for items in passes(benchmark):
-        none = False
-        yield items
-    if none:
-        yield []
+
+def searched(docs: DataFrame, search: Search) -> DataFrame:
+    """(row, place, n, runs, items) for docs(row, text, place): the words, runs of hit words and items found by one pass."""
+
+    def f(c: dict[str, list]) -> list:
+        found = [search.hits(t) for t in c["text"]]
+        return [c["row"], c["place"], [n for n, _, _ in found], [[{"s": s, "e": e} for s, e in r] for _, r, _ in found], [i for _, _, i in found]]
+
+    return per_row(docs, with_hits(docs, "row", "place"), "text", f)
+
+
+def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """docs' columns with ``gw_words`` (count), ``gw_runs`` (array of struct<s, e>: hit words) and ``gw_items`` (ids as strings, sorted).
+
+    A pass holds at most PASS_WINDOWS windows, whatever the size of the benchmark or of an item. A benchmark that needs one pass
+    is one step over the documents, which aren't shuffled. A larger one is searched for in a job for each pass, which writes only what it hits, by doc_id and
+    hash of the text; these are put together and joined to the documents in the end.
+
+    Null text or text without words: nothing hit. Equal items are all reported. An empty benchmark hits nothing. A null item_id counts as 'None'.
+    Repeated rows and ids are searched each by itself; columns of any name pass through, but for these three, which are replaced.
+    """
+    names = [c for c in docs.columns if c not in ("gw_words", "gw_runs", "gw_items")]
+    place = F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
+    packed = docs.select(whole_row(names).alias("row"), F.col("text").cast("string").alias("text"), place.alias("place"))
+    blocks = passes(benchmark)
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
+        out = searched(packed, Search(first))
+    else:
+        with Tables(docs.sparkSession) as tables:
+            bare = packed.select(F.lit(0).alias("row"), "text", "place")
+            hits = [tables.keep(searched(bare, Search(b)).where(F.size("runs") > 0).select("place", "runs", "items").distinct()) for b in itertools.chain([first, second], blocks)]
+            every = functools.reduce(DataFrame.union, hits)
+            every = every.groupBy("place").agg(F.flatten(F.collect_list("runs")).alias("old"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("known"))
+            out = cut(joined(searched(packed, Search([])).withColumn("text", F.lit("")), every))
+    return out.select(*unpacked(names), F.col("n").alias("gw_words"), F.col("runs").alias("gw_runs"), F.array_sort("items").alias("gw_items"))
+
+
+def joined(counted: DataFrame, every: DataFrame) -> DataFrame:
+    """``counted`` with the runs, put together, and the items that all passes have found."""
+    both = counted.select("row", "place", "n", "text").join(every, "place", "left")
+
+    def f(c: dict[str, list]) -> list:
+        runs = [[{"s": s, "e": e} for s, e in merged([(r["s"], r["e"]) for r in old or []])] for old in c["old"]]
+        return [c["row"], c["n"], runs, [k or [] for k in c["known"]]]
+
+    return per_row(both, with_hits(both, "row"), "text", f)
 
 
 def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
