@@ -10,9 +10,11 @@ from functools import lru_cache
 
 import numpy as np
 
+#: Kinds that fixed patterns find too, and those that the tagger knows.
 KINDS = ["email", "ip", "card", "phone"]
+TAGGED = [*KINDS, "secret"]
 #: Tags: 0 outside; 1 + 2k begins kind k, 2 + 2k goes on with it.
-TAGS = 1 + 2 * len(KINDS)
+TAGS = 1 + 2 * len(TAGGED)
 WIDTH, STRIDE = 96, 48
 
 #: Classes of characters: 0 padding, 1 other, then as listed, then ASCII punctuation each by itself.
@@ -37,7 +39,7 @@ def classes(text: str) -> np.ndarray:
 def may_follow() -> np.ndarray:
     """Which tag may follow which: a kind goes on only after its own begin or middle."""
     ok = np.ones((TAGS, TAGS), bool)
-    for k in range(len(KINDS)):
+    for k in range(len(TAGGED)):
         ok[:, 2 + 2 * k] = False
         ok[1 + 2 * k, 2 + 2 * k] = ok[2 + 2 * k, 2 + 2 * k] = True
     return ok
@@ -161,7 +163,7 @@ def train(texts: list[str], spans: list[list[tuple[str, int, int]]], hidden: int
     for text, own in zip(texts, spans, strict=True):
         x, y = classes(text), np.zeros(len(text), np.int64)
         for kind, s, e in own:
-            k = KINDS.index(kind)
+            k = TAGGED.index(kind)
             y[s:e] = 2 + 2 * k
             y[s] = 1 + 2 * k
         for at in range(0, max(1, len(x) - STRIDE), STRIDE):
@@ -233,10 +235,15 @@ def labelled(n: int, seed: int) -> tuple[list[str], list[list[tuple[str, int, in
         a, b, c = digits(3), digits(3), digits(4)
         return r.choice([f"+{digits(1)} ({a}) {b}-{c}", f"+{digits(2)} {a} {b} {c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"+{digits(2)}{a}{b}{c}", f"00{digits(2)} {a} {b} {c}", f"+{digits(1)}.{a}.{b}.{c}"])
 
+    def secret() -> tuple[str, str]:
+        """What comes before a secret, and the secret."""
+        name = r.choice(["token", "secret", "api_key", "apikey", "password", "access_token", "auth_key", "client_secret"])
+        signs = r.choice(["0123456789abcdef", "0123456789abcdef", "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"])
+        return r.choice([name, name.upper()]) + r.choice([' = "', ' = "', "=", ": ", '": "', "='"]), "".join(r.choice(signs) for _ in range(r.choice([20, 32, 40, 40, 64])))
+
     def other() -> str:
         return r.choice([
             lambda: '"' + "".join(r.choice("0123456789abcdef") for _ in range(r.choice([32, 40, 64]))) + '"',
-            lambda: f'token = "{"".join(r.choice("0123456789abcdef") for _ in range(40))}"',
             lambda: f"{r.randint(1, 9)}.{r.randint(0, 20)}.",
             lambda: f"version {r.randint(0, 9)}.{r.randint(0, 9)}.{r.randint(0, 99)}",
             lambda: str(r.randint(1900, 2030)),
@@ -255,11 +262,12 @@ def labelled(n: int, seed: int) -> tuple[list[str], list[list[tuple[str, int, in
         text, own = "", []
         for _ in range(r.randint(1, 4)):
             text += "".join(word() + r.choice([" ", " ", " ", ", ", ". ", ".\n", "\n", "%%% ", " | "]) for _ in range(r.randint(0, 8)))
-            kind = r.choice([*KINDS, "other", "other"])
-            s = makers.get(kind, other)()
-            if kind in makers:
+            kind = r.choice([*TAGGED, "other", "other"])
+            before, s = secret() if kind == "secret" else ("", makers.get(kind, other)())
+            text += before
+            if kind != "other":
                 own.append((kind, len(text), len(text) + len(s)))
-            text += s + r.choice([" ", " ", ". ", ", ", "\n", ") "])
+            text += s + r.choice({'"': ['" ', '"\n', '"'], "'": ["' ", "'\n"]}.get(before[-1:], [" ", " ", ". ", ", ", "\n", ") "]))
         texts.append(text)
         spans.append(own)
     return texts, spans
@@ -294,40 +302,79 @@ def regions(text: str, margin: int = STRIDE) -> list[tuple[int, int]]:
     return out
 
 
+#: Characters of stretches that are scored together, and cells (chains times the longest) that are decoded together; one longer stretch is alone.
+GROUP_CHARS, CELLS = 1 << 17, 1 << 18
+
+
 def decode(m: Model, texts: list[str], chunk: int = 256) -> list[list[tuple[str, int, int]]]:
-    """Spans of each text. Windows of WIDTH characters, STRIDE apart, are scored; where they overlap, scores are
-    averaged by how far inside the window a character lies; then each stretch is decoded as one chain, so spans that cross windows come out whole."""
-    where, xs = [], []
-    stretches = [(i, a, b) for i, t in enumerate(texts) for a, b in regions(t)]
+    """Spans of each text. Windows of WIDTH characters, STRIDE apart on a grid of the whole text, are scored; where they overlap, scores are
+    averaged by how far inside the window a character lies; then each stretch is decoded as one chain, so spans that cross windows come out whole.
+
+    Memory is some 150 bytes for each character of a stretch: of GROUP_CHARS characters, or of one stretch if that is longer.
+    """
+    out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
+    held: list[tuple[int, int, int]] = []
+    size = 0
+    for i, t in enumerate(texts):
+        for a, b in regions(t):
+            if held and size + b - a > GROUP_CHARS:
+                decode_stretches(m, texts, held, chunk, out)
+                held, size = [], 0
+            held.append((i, a, b))
+            size += b - a
+    decode_stretches(m, texts, held, chunk, out)
+    return [sorted(o, key=lambda s: s[1:]) for o in out]
+
+
+def decode_stretches(m: Model, texts: list[str], stretches: list[tuple[int, int, int]], chunk: int, out: list[list[tuple[str, int, int]]]) -> None:
+    """Adds the spans of stretches (number of the text, start, end) to ``out``."""
     coded = {i: classes(texts[i]) for i in {s[0] for s in stretches}}
+    scores = [np.zeros((b - a, TAGS), np.float32) for _, a, b in stretches]
+    weight = [np.zeros((b - a, 1), np.float32) for _, a, b in stretches]
+    inside = np.minimum(np.arange(WIDTH) + 1, WIDTH - np.arange(WIDTH))[:, None].astype(np.float32)
+    where: list[tuple[int, int]] = []
+    xs: list[np.ndarray] = []
+
+    def score() -> None:
+        if not xs:
+            return
+        for (k, at), own in zip(where, m.emissions(np.array(xs)), strict=True):
+            _, a, b = stretches[k]
+            lo, hi = max(a, at), min(b, at + WIDTH)
+            scores[k][lo - a : hi - a] += own[lo - at : hi - at] * inside[lo - at : hi - at]
+            weight[k][lo - a : hi - a] += inside[lo - at : hi - at]
+        where.clear()
+        xs.clear()
+
     for k, (i, a, b) in enumerate(stretches):
-        for at in range(a, max(a + 1, b - STRIDE), STRIDE):
-            x = coded[i][at : min(at + WIDTH, b)]
-            where.append((k, at - a, len(x)))
+        # the windows of the whole text that touch the stretch
+        for at in range(max(0, (a - WIDTH) // STRIDE + 1) * STRIDE, min(b, max(1, len(coded[i]) - STRIDE)), STRIDE):
+            x = coded[i][at : at + WIDTH]
+            where.append((k, at))
             xs.append(np.pad(x, (0, WIDTH - len(x))))
-    scores = [np.zeros((b - a, TAGS)) for _, a, b in stretches]
-    weight = [np.zeros((b - a, 1)) for _, a, b in stretches]
-    inside = np.minimum(np.arange(WIDTH) + 1, WIDTH - np.arange(WIDTH))[:, None].astype(float)
-    for c in range(0, len(xs), chunk):
-        e = m.emissions(np.array(xs[c : c + chunk]))
-        for (k, at, n), own in zip(where[c : c + chunk], e, strict=True):
-            scores[k][at : at + n] += own[:n] * inside[:n]
-            weight[k][at : at + n] += inside[:n]
-    out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
+            if len(xs) == chunk:
+                score()
+    score()
+    for s, w in zip(scores, weight, strict=True):
+        s /= w
     order = sorted(range(len(stretches)), key=lambda k: len(scores[k]))
-    for c in range(0, len(order), chunk):
-        ks = order[c : c + chunk]
-        for k, tags in zip(ks, viterbi(m, [scores[k] / weight[k] for k in ks]), strict=True):
+    at = 0
+    while at < len(order):
+        n = 1
+        while n < chunk and at + n < len(order) and len(scores[order[at + n]]) * (n + 1) <= CELLS:
+            n += 1
+        ks = order[at : at + n]
+        for k, tags in zip(ks, viterbi(m, [scores[k] for k in ks]), strict=True):
             i, a, _ = stretches[k]
             out[i] += runs(tags, a)
-    return [sorted(o, key=lambda s: s[1:]) for o in out]
+        at += n
 
 
 def viterbi(m: Model, scores: list[np.ndarray]) -> list[np.ndarray]:
-    """Best tags of several chains at once; chains come in the order of their length."""
+    """Best tags of several chains at once; chains come in the order of their length. A chain keeps a byte for each back pointer."""
     a = m.scores()
     longest, n = max(map(len, scores)), len(scores)
-    e = np.zeros((longest, n, TAGS))
+    e = np.zeros((longest, n, TAGS), np.float32)
     e[:, :, 1:] = FORBIDDEN  # after a chain's end: outside
     for i, s in enumerate(scores):
         e[: len(s), i] = s
@@ -337,6 +384,7 @@ def viterbi(m: Model, scores: list[np.ndarray]) -> list[np.ndarray]:
         step = best[:, :, None] + a
         back[t] = step.argmax(axis=1)
         best = step.max(axis=1) + e[t]
+        best -= best.max(axis=1, keepdims=True)  # only differences count; sums over long chains would lose them
     tags = np.empty((longest, n), np.int8)
     tags[-1] = best.argmax(axis=1)
     for t in range(longest - 1, 0, -1):
@@ -353,6 +401,6 @@ def runs(tags: np.ndarray, offset: int) -> list[tuple[str, int, int]]:
             k = (t - 1) // 2
             while end < len(tags) and tags[end] == 2 + 2 * k:
                 end += 1
-            out.append((KINDS[k], offset + at, offset + end))
+            out.append((TAGGED[k], offset + at, offset + end))
         at = end
     return out
