@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import bisect
 import hashlib
 import re
 import zlib
@@ -14,8 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MAGIC = b"WARC/1.0\r\n"
-#: Records to a file, so that a file stays small enough for one task.
-FILE_RECORDS = 2_000
+#: Bytes of records to a file, about, and bytes that a record's heads take.
+FILE_BYTES, HEAD_BYTES = 64 << 20, 600
 HEAD_END = b"\r\n\r\n"
 
 
@@ -26,31 +27,37 @@ def base32_sha1(body: Column) -> Column:
     return F.translate(digits, "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
-def deduplicated(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """page_id, url, html (null: '') with digest, n_bytes, record_type and refers_to.
+def deduplicated(pages: DataFrame, least_bytes: int = 0, file_bytes: int = FILE_BYTES) -> DataFrame:
+    """page_id, url, html (null: '') with digest, n_bytes, record_type and refers_to, dealt to partitions of about ``file_bytes``.
 
     Of equal payloads of at least ``least_bytes`` the largest page_id is the response and the others revisit it.
-    Counting is by digest with partial aggregation, and the join back is one that Spark may split when a digest is hot.
+    Digests are counted by partial aggregation and joined to ids alone, a join that Spark may split when a digest is hot;
+    pages travel once, by id, so that no task gets all copies of a payload.
     """
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumn("digest", base32_sha1(F.col("html").cast("binary"))).withColumn("n_bytes", F.octet_length("html").cast("long"))
+    total = pages.agg(F.sum(F.coalesce(F.octet_length("html"), F.lit(0)).cast("long") + HEAD_BYTES)).first()[0] or 0
+    able = rows.where((F.col("n_bytes") >= least_bytes) & F.col("page_id").isNotNull()).select("page_id", "digest")
     # only payloads that occur more than once travel back
-    chosen = rows.where(F.col("n_bytes") >= least_bytes).groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    joined = rows.join(chosen.select("digest", "keeper"), "digest", "left")
-    revisit = (F.col("n_bytes") >= least_bytes) & (F.col("page_id") < F.col("keeper"))
-    return joined.select("page_id", "url", "html", "digest", "n_bytes", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("keeper")).alias("refers_to"))
+    chosen = able.groupBy("digest").agg(F.max("page_id").alias("keeper"), F.min("page_id").alias("least")).where("least < keeper")
+    revisits = able.join(chosen.select("digest", "keeper"), "digest").where("page_id < keeper").distinct()
+    joined = rows.repartition(max(1, -(-total // file_bytes)), "page_id", "digest").join(revisits, ["page_id", "digest"], "left")
+    return joined.select("page_id", "url", "html", "digest", "n_bytes", F.when(F.col("keeper").isNotNull(), "revisit").otherwise("response").alias("record_type"), F.col("keeper").alias("refers_to"))
 
 
-def write(pages: DataFrame, path: str, least_bytes: int = 0, file_records: int = FILE_RECORDS) -> None:
+def write(pages: DataFrame, path: str, least_bytes: int = 0, file_bytes: int = FILE_BYTES) -> None:
     """Writes a record for each row of pages(page_id, url, html) to gzip-compressed archives under ``path``.
 
     The text writer's line separator ends a record, so Spark's committer makes the files whole and a lost executor's
     attempt leaves nothing behind. Responses hold an HTTP head and the payload in UTF-8; revisits hold no payload but its digest, its
     length and the id they refer to. Null html: empty payload. Null url: no target. White space and control
     characters in a URL are percent-encoded, so that they cannot break a header. Null page_id: an empty id, always a response. Repeated
-    rows are records of their own. Empty table: no records. Other columns are not read.
+    rows are records of their own; rows of one id and equal payloads refer to none of them. Empty table: no records. Other columns are not read.
+
+    A file holds about ``file_bytes`` before compression, or one page if that is larger. It is one gzip stream, since Spark's text writer
+    makes no other; a reader takes it whole.
     """
-    rows = deduplicated(pages, least_bytes)
+    rows = deduplicated(pages, least_bytes, file_bytes)
     crlf = "\r\n"
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{crlf}Content-Type: text/html; charset=utf-8{crlf}Content-Length: "), F.col("n_bytes").cast("string"), F.lit(crlf * 2), F.col("html"))
     block = F.when(F.col("record_type") == "response", http).otherwise("")
@@ -72,7 +79,7 @@ def write(pages: DataFrame, path: str, least_bytes: int = 0, file_records: int =
         F.lit(crlf * 2),
     )
     text = rows.withColumn("block", block).select(F.concat(head, F.col("block")).alias("value"))
-    text.write.option("lineSep", crlf * 2).option("compression", "gzip").option("maxRecordsPerFile", file_records).text(path)
+    text.write.option("lineSep", crlf * 2).option("compression", "gzip").text(path)
 
 
 def plain(content: bytes) -> bytes:
@@ -87,19 +94,27 @@ def plain(content: bytes) -> bytes:
     return b"".join(out)
 
 
+LENGTH = re.compile(rb"\r\nContent-Length:[ \t]*([0-9]{1,18})[ \t]*(?=\r\n)", re.IGNORECASE)
+
+
 def candidates(data: bytes) -> Iterator[tuple[int, int, int, int]]:
-    """Start, end of head, end of block and successor of everything that looks like a record, also inside payloads."""
-    at = data.find(MAGIC)
-    while at >= 0:
-        end = data.find(HEAD_END, at)
-        if end < 0:
+    """Start, end of head, end of block and successor of everything that looks like a record, also inside payloads.
+
+    Ends of heads and lengths are found once and looked up for each magic string, so time stays in proportion to the data.
+    """
+    ends = [m.start() for m in re.finditer(re.escape(HEAD_END), data)]
+    lengths = [(m.start(), m.end(), int(m[1])) for m in LENGTH.finditer(data)]
+    begins = [x[0] for x in lengths]
+    for magic in re.finditer(re.escape(MAGIC), data):
+        at = magic.start()
+        if (e := bisect.bisect_left(ends, at)) == len(ends):
             return
-        m = re.search(rb"\r\nContent-Length:[ \t]*([0-9]{1,18})[ \t]*(?=\r\n)", data[at : end + 2], re.IGNORECASE)
-        if m:
-            block = end + 4 + int(m[1])
+        end = ends[e]
+        k = bisect.bisect_left(begins, at)
+        if k < len(lengths) and lengths[k][1] <= end:
+            block = end + 4 + lengths[k][2]
             if data[block : block + 4] == HEAD_END:
                 yield at, end + 4, block, block + 4
-        at = data.find(MAGIC, at + 1)
 
 
 def reachable(start: np.ndarray, after: np.ndarray) -> np.ndarray:
