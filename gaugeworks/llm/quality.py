@@ -7,6 +7,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from gaugeworks.llm.common import per_row
 
@@ -228,7 +229,7 @@ def judge(docs: DataFrame, trees: Trees | None, keep_row: bool = False) -> DataF
     Without trees (no labels of both classes) only the counts decide and the score is null.
     """
 
-    docs = docs.drop("gw_kept")
+    docs = docs.drop("gw_kept") if keep_row else docs
     names = docs.columns
 
     def f(c: dict[str, list]) -> list:
@@ -242,7 +243,7 @@ def judge(docs: DataFrame, trees: Trees | None, keep_row: bool = False) -> DataF
         return [c["id"], n, chars, symbols, dup, repeat, failed, [None] * len(n) if trees is None else score.tolist(), [g and not x for g, x in zip(good, failed, strict=True)]]
 
     if keep_row:
-        return per_row(docs, ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in docs.schema) + ", gw_kept boolean", "text", f)
+        return per_row(docs, StructType([*docs.schema.fields, StructField("gw_kept", BooleanType())]), "text", f)
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, score double, kept boolean"
     return per_row(docs.selectExpr("doc_id as id", "text"), schema, "text", f)

@@ -28,6 +28,26 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.interleave(table(spark, sf_dir, "documents")).drop("stratum")
 
 
+SQL["op7_sharding"] = r"""
+    WITH t AS (
+        -- the table of the checksum, from its rule
+        SELECT list_transform(range(256), lambda b: list_reduce(list_concat([b], range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crc_of
+    ), d AS (
+        SELECT doc_id, coalesce('=' || source, '') AS stratum, strlen(coalesce(text, '')) + 1 AS size,
+               ('0x' || substr(md5('7:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT AS h,
+               xor(list_reduce(list_concat([4294967295], list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT)),
+                               lambda c, b: xor(c >> 8, crc_of[(xor(c, b) & 255) + 1])), 4294967295) AS crc
+        FROM documents, t
+    ), r AS (
+        SELECT *, (2 * row_number() OVER (PARTITION BY stratum ORDER BY h, doc_id NULLS FIRST, size, crc) - 1)::DOUBLE / (2 * count(*) OVER (PARTITION BY stratum)) AS fraction, count(*) OVER () AS n
+        FROM d
+    ), p AS (SELECT *, row_number() OVER (ORDER BY fraction, stratum, h, doc_id NULLS FIRST, size, crc) - 1 AS k FROM r),
+    s AS (SELECT *, (k * 8) // n AS shard FROM p)
+    SELECT doc_id, size::BIGINT AS size, crc::BIGINT AS text_crc32, 'rows' AS law, shard::INT AS shard, (row_number() OVER (PARTITION BY shard ORDER BY k) - 1)::BIGINT AS slot, NULL::INT AS grown_shard
+    FROM s
+"""
+
+
 @query
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document, and the text that they decode to, as digests."""
@@ -77,6 +97,50 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, quality.learn(docs, table(spark, sf_dir, "labels")))
 
 
+@query
+def quality_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts of ``op8_quality``, and whether they alone reject a document."""
+    return quality.judge(table(spark, sf_dir, "documents"), None).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+SQL["quality_base_counts"] = r"""
+    WITH d AS (
+        SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+    ), v AS (
+        SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c
+        FROM (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM d WHERE len(w) >= 8))
+    ), m AS (
+        SELECT doc_id, count(DISTINCT k) AS c FROM (SELECT doc_id, unnest(range(i, i + 8)) AS k FROM v WHERE c > 1) GROUP BY doc_id
+    ), l AS (
+        SELECT doc_id, count(*) - count(DISTINCT x) AS c
+        FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM d) WHERE regexp_matches(x, '[^\x20\x09-\x0D]') GROUP BY doc_id
+    )
+    SELECT d.doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
+           length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(l.c, 0)::BIGINT AS n_dup_lines, coalesce(m.c, 0)::BIGINT AS n_repeat_words,
+           len(w) < 20 OR 100 * coalesce(m.c, 0) > 30 * len(w) AS base_failed
+    FROM d LEFT JOIN l USING (doc_id) LEFT JOIN m USING (doc_id)
+"""
+
+
+@query
+def pii_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The spans of the fixed patterns of ``op1_pii`` by kind."""
+    return pii.report(table(spark, sf_dir, "documents")).select("doc_id", *(f"n_{k}" for k in pii.KINDS))
+
+
+SQL["pii_base_counts"] = r"""
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)
+    SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+'))::BIGINT AS n_email,
+           len(list_filter(regexp_extract_all(text, '[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+'),
+                           lambda x: list_bool_and([length(ltrim(p, '0')) <= 3 AND coalesce(try_cast(p AS BIGINT), 999) <= 255 FOR p IN string_split(x, '.')])))::BIGINT AS n_ip,
+           len(list_filter(regexp_extract_all(text, '[0-9](?:[ -]?[0-9])+'),
+                           lambda x: length(replace(replace(x, ' ', ''), '-', '')) BETWEEN 16 AND 19
+                                     AND list_sum([CASE WHEN i % 2 = 1 THEN c ELSE 2 * c - 9 * (2 * c > 9)::INT END FOR c, i IN [x::INT FOR x IN string_split(reverse(replace(replace(x, ' ', ''), '-', '')), '')]]) % 10 = 0))::BIGINT AS n_card,
+           len(list_filter(regexp_extract_all(text, '\+[0-9][ ().0-9-]+[0-9]'), lambda x: length(regexp_replace(x, '[^0-9]', '', 'g')) BETWEEN 8 AND 15))::BIGINT AS n_phone
+    FROM d
+"""
+
+
 @query
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows in every document."""

@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gaugeworks.llm.common import counts_before
+
+#: Hexadecimal digits of MD5 that order a stratum: 2^52 steps are exact in a double.
+HASH_DIGITS = 13
 #: Rows that one window partition ranks, about.
 BUCKET_ROWS = 2_000
 
@@ -26,7 +30,7 @@ def interleave(
 
     Neither ranking gathers a stratum in one task: a stratum is first split by ranges
     of its hash, and the fractional ranks by ranges of (0, 1); a rank is the rank within
-    a range plus the count of the ranges before. Ranges hold about ``bucket_rows`` rows at any size,
+    a range plus the count of the ranges before, summed in two levels. Ranges hold about ``bucket_rows`` rows at any size,
     so a stratum with a third of all rows makes more ranges, not longer ones.
 
     Returns id_column, stratum, size (UTF-8 bytes plus 1), text_crc32, law, shard,
@@ -45,25 +49,20 @@ def interleave(
     )
     n = df.count()
     ranges = max(1, -(-n // bucket_rows))
-    # 2^53 steps are exact in a double
-    rows = rows.withColumn("h", F.shiftrightunsigned(F.xxhash64(F.lit(seed), "id"), 11))
-    rows = rows.withColumn("range", F.floor(F.col("h") / F.lit(float(1 << 53)) * ranges))
+    seeded = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("id").cast("string"), F.lit(""))).cast("binary"))
+    rows = rows.withColumn("h", F.conv(F.substring(seeded, 1, HASH_DIGITS), 16, 10).cast("long"))
+    rows = rows.withColumn("range", F.floor(F.col("h") / F.lit(float(16**HASH_DIGITS)) * ranges))
 
     by_range = rows.groupBy("stratum", "range").agg(F.count(F.lit(1)).alias("c"))
-    up_to = Window.partitionBy("stratum").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    by_range = by_range.select(
-        "stratum",
-        "range",
-        F.coalesce(F.sum("c").over(up_to), F.lit(0)).alias("before"),
-        F.sum("c").over(Window.partitionBy("stratum")).alias("total"),
-    )
+    totals = by_range.groupBy("stratum").agg(F.sum("c").alias("total"))
+    by_range = counts_before(by_range, "range", "c", ("stratum",)).join(totals, "stratum").select("stratum", "range", "before", "total")
     own = Window.partitionBy("stratum", "range").orderBy("h", "id", "size", "crc")
     ranked = rows.withColumn("r", F.row_number().over(own) - 1).join(by_range, ["stratum", "range"])
     ranked = ranked.withColumn("fraction", (F.lit(2) * (F.col("r") + F.col("before")) + 1) / (F.lit(2) * F.col("total")))
     ranked = ranked.select("id", "stratum", "size", "crc", "h", "fraction", F.floor(F.col("fraction") * ranges).alias("part"))
 
     by_part = ranked.groupBy("part").agg(F.count(F.lit(1)).alias("c"))
-    parts = by_part.select("part", F.coalesce(F.sum("c").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
+    parts = counts_before(by_part, "part", "c").select("part", F.col("before").alias("start"))
     within = Window.partitionBy("part").orderBy("fraction", "stratum", "h", "id", "size", "crc")
     placed = ranked.withColumn("k", F.row_number().over(within) - 1).join(parts, "part").withColumn("at", F.col("start") + F.col("k"))
     whole = max(n, 1)
