@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +20,7 @@ RANGE_BITS = 16
 FILTER_BITS = 26
 CHUNK_BITS = 16
 #: Earlier candidates of a line that one token may give in the first round. Lines that have more, and no match among these, get a second round without a limit.
-FIRST_CANDIDATES = 4
+FIRST_CANDIDATES = 8
 #: Bytes of postings in a part, about, and parts that a task reads.
 PART_BYTES, TASK_PARTS = 2 << 20, 8
 #: Tokens that occur more often are dealt by line length as well.
@@ -145,6 +146,12 @@ def postings(docs: DataFrame, codes: np.ndarray, parts: int, percent: int, token
         texts = [(t or "").encode() for t in part.column("text").to_pylist()]
         ids = part.column("id").cast(pa.int64()).to_pylist()
         h, line, per_text = words_by_line(texts)
+        if tokens is not None and len(h):
+            # whole lines, of which a token is wanted
+            number_of, place = np.unique(line, return_inverse=True)
+            wanted = np.zeros(len(number_of), bool)
+            wanted[place[bits_set(tokens, token_bit(h))]] = True
+            h, line = h[wanted[place]], line[wanted[place]]
         if not len(h):
             return np.zeros(0, np.int64), np.zeros(0, POSTING)
         at, marks = line_marks(h, line)
@@ -152,7 +159,9 @@ def postings(docs: DataFrame, codes: np.ndarray, parts: int, percent: int, token
         text_of = np.searchsorted(ends, at, side="right")
         fresh = np.zeros(len(at), bool)
         number = (at - (ends - per_text)[text_of]).tolist()
-        for i, (t, no, k) in enumerate(zip(text_of.tolist(), number, map(bytes, marks), strict=True)):
+        blob = marks.tobytes()
+        for i, (t, no) in enumerate(zip(text_of.tolist(), number, strict=True)):
+            k = blob[16 * i : 16 * i + 16]
             if (doc := ids[t]) is not None and ((was := had.get(k)) is None or (doc, no) < was):
                 had[k] = (doc, no)
                 fresh[i] = True
@@ -166,7 +175,7 @@ def postings(docs: DataFrame, codes: np.ndarray, parts: int, percent: int, token
         b0 = np.bitwise_xor.reduceat(np.where(bit < 64, one, np.uint64(0)), first)
         b1 = np.bitwise_xor.reduceat(np.where(bit >= 64, one, np.uint64(0)), first)
         place = np.arange(len(own)) - np.repeat(first, n)
-        use = fresh[own] & (place < (n - -(-percent * n // 100) + 1)[own]) & (code > 0)
+        use = fresh[own] & (place < prefix_of(n, percent)[own]) & (code > 0)
         if tokens is not None:
             use &= bits_set(tokens, token_bit(token))
         token, own, code, place = token[use], own[use], code[use], place[use]
@@ -206,111 +215,139 @@ def postings(docs: DataFrame, codes: np.ndarray, parts: int, percent: int, token
     return docs.mapInArrow(run, "part int, postings binary")
 
 
-def fits(post: np.ndarray, x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
-    """Whether pairs of postings pass the filters of length, position and parity bits; lengths past MOST_N pass."""
-    n, p = post["n"].astype(np.int64), post["p"].astype(np.int64)
-    short, long = np.minimum(n[x], n[y]), np.maximum(n[x], n[y])
-    both = short + long
-    least = -(-percent * both // (100 + percent))
-    apart = np.bitwise_count(post["b0"][x] ^ post["b0"][y]).astype(np.int64) + np.bitwise_count(post["b1"][x] ^ post["b1"][y])
-    ok = (100 * short >= percent * long) & (np.minimum(n[x] - p[x], n[y] - p[y]) >= least) & (apart <= both - 2 * least)
-    return ok | (long == MOST_N)
-
-
-def stretches(n: int, percent: int) -> list[np.ndarray]:
-    """The places of the parity bits cut into parts, of which similar lines of up to ``n`` tokens have one in common: one more than
-    the bits by which they may differ. All in one empty part where so many may differ that the bits tell nothing."""
+class Posted:
+    """Postings as arrays by column, sorted by token and length; of lines of the same words in the same order, dealt by several tasks, the first stands for all."""
+
+    def __init__(self, post: np.ndarray, percent: int):
+        c = {name: np.ascontiguousarray(post[name]) for name in post.dtype.names}
+        both = (c["t"].astype(np.uint64) << np.uint64(32)) | (c["key"] >> np.uint64(32))
+        if len(np.unique(both)) < len(both):
+            order = np.lexsort((c["line"], c["doc"], c["key"], c["t"]))
+            t, key = c["t"][order], c["key"][order]
+            order = order[np.r_[True, (t[1:] != t[:-1]) | (key[1:] != key[:-1])]]
+            c = {name: x[order] for name, x in c.items()}
+        order = np.argsort((c["t"].astype(np.uint64) << np.uint64(16)) | c["n"], kind="stable")
+        c = {name: x[order] for name, x in c.items()}
+        self.t, self.doc, self.line, self.b0, self.b1 = c["t"], c["doc"], c["line"], c["b0"], c["b1"]
+        self.n, self.p, self.percent = c["n"].astype(np.int64), c["p"].astype(np.int64), percent
+
+    def __len__(self) -> int:
+        return len(self.t)
+
+    def fits(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Which pairs pass the filters of length, position and parity bits; lengths past MOST_N pass."""
+        nx, ny = self.n[x], self.n[y]
+        both = nx + ny
+        least = -(-self.percent * both // (100 + self.percent))
+        long = np.maximum(nx, ny)
+        some = np.flatnonzero(((100 * (both - long) >= self.percent * long) & (np.minimum(nx - self.p[x], ny - self.p[y]) >= least)) | (long == MOST_N))
+        x, y = x[some], y[some]
+        apart = np.bitwise_count(self.b0[x] ^ self.b0[y]).astype(np.int64) + np.bitwise_count(self.b1[x] ^ self.b1[y])
+        return some[(apart <= (both - 2 * least)[some]) | (long[some] == MOST_N)]
+
+
+def stretches(n: int, percent: int) -> list[tuple[int, int]]:
+    """The parity bits cut into parts [start, end), of which similar lines of up to ``n`` tokens have one in common: one more than
+    the bits by which they may differ. One empty part where so many may differ that the bits tell nothing."""
     parts = 2 * n * (100 - percent) // (100 + percent) + 1
-    return [np.zeros(0, np.int64)] if n >= MOST_N or parts > 128 else np.array_split(np.arange(128), parts)
-
-
-def pairs_of_a_few(post: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs that fit among postings sorted by token and length: a line's partners end where they get too long."""
-    t, n = post["t"], post["n"].astype(np.int64)
-    live, k = np.arange(max(len(post) - 1, 0)), 0
+    edges = [128 * i // parts for i in range(parts + 1)]
+    return [(0, 0)] if n >= MOST_N or parts > 128 else list(itertools.pairwise(edges))
+
+
+def stretch_code(b0: np.ndarray, b1: np.ndarray, start: int, end: int) -> np.ndarray:
+    """A number of the bits [start, end) of each pair of words."""
+    low = (b0 >> np.uint64(start)) << np.uint64(64 - (min(end, 64) - start)) if start < 64 and end > start else np.zeros_like(b0)
+    if start == 0 and end >= 64:
+        low = b0
+    first = max(start, 64) - 64
+    high = (b1 >> np.uint64(first)) << np.uint64(min(64 - (end - 64 - first), 63)) if end > 64 else np.zeros_like(b1)
+    if first == 0 and end == 128:
+        high = b1
+    return mix(low) + high
+
+
+def pairs_of_a_few(c: Posted, of: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs that fit among the postings ``of``, in their order of token and length: a line's partners end where they get too long."""
+    t, n = c.t[of], c.n[of]
+    live, k = np.arange(max(len(of) - 1, 0)), 0
     while len(live):
         k += 1
-        live = live[live + k < len(post)]
+        live = live[live + k < len(of)]
         y = live + k
-        ok = (t[live] == t[y]) & ((100 * n[live] >= percent * n[y]) | (n[y] == MOST_N))
+        ok = (t[live] == t[y]) & ((100 * n[live] >= c.percent * n[y]) | (n[y] == MOST_N))
         live, y = live[ok], y[ok]
-        fit = fits(post, live, y, percent)
-        yield live[fit], y[fit]
+        x, y = of[live], of[y]
+        fit = c.fits(x, y)
+        yield x[fit], y[fit]
 
 
-def pairs_of_many(post: np.ndarray, percent: int, asked: np.ndarray, full: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def pairs_of_many(c: Posted, of: np.ndarray, asked: np.ndarray, full: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs that fit among many postings of one token, a length class at a time with the next.
 
     Similar lines of such lengths differ in few parity bits, so that these, cut into a stretch more than that, agree in one: only postings
     with an equal stretch are compared, in the order of their places, and a later line that is ``full`` looks no further.
     """
-    step = np.log(100 / percent)
-    size = np.floor(np.log(post["n"]) / step + 1e-9).astype(np.int64)
-    bits = np.unpackbits(np.ascontiguousarray(np.stack([post["b0"], post["b1"]], axis=1)).view(np.uint8), axis=1)
-    for c in np.unique(size).tolist():
-        own = np.flatnonzero((size == c) | (size == c + 1))
-        if len(own) < 2 or not (size[own] == c).any():
+    size = np.floor(np.log(c.n[of]) / np.log(100 / c.percent) + 1e-9).astype(np.int64)
+    for least in np.unique(size).tolist():
+        inside = (size == least) | (size == least + 1)
+        own, sizes = of[inside], size[inside]
+        if len(own) < 2:
             continue
+        by_place = np.lexsort((c.line[own], c.doc[own]))
+        own, sizes = own[by_place], sizes[by_place]
         earlier: list[np.ndarray] = []
-        for part in stretches(int(post["n"][own].max()), percent):
-            code = np.unique(np.packbits(np.pad(bits[own][:, part], ((0, 0), (0, 1))), axis=1), axis=0, return_inverse=True)[1].ravel()
-            order = np.lexsort((post["line"][own], post["doc"][own], code))
+        for start, end in stretches(int(c.n[own].max()), c.percent):
+            code = stretch_code(c.b0[own], c.b1[own], start, end)
+            order = np.argsort(code, kind="stable")
+            sorted_code = code[order]
             at, k = np.flatnonzero(asked[own[order]]), 0
             while len(at):
                 k += 1
                 at = at[at >= k]
-                at = at[(code[order[at]] == code[order[at - k]]) & ~full[own[order[at]]]]
+                at = at[(sorted_code[at] == sorted_code[at - k]) & ~full[own[order[at]]]]
                 x, y = order[at - k], order[at]
                 # each pair in the first stretch that it shares, and in the class of its shorter line
-                new = np.minimum(size[own[x]], size[own[y]]) == c
+                new = np.minimum(sizes[x], sizes[y]) == least
                 for e in earlier:
                     new &= e[x] != e[y]
                 x, y = own[x[new]], own[y[new]]
-                fit = fits(post, x, y, percent)
+                fit = c.fits(x, y)
                 yield x[fit], y[fit]
             earlier.append(code)
 
 
 def meet(post: np.ndarray, percent: int, limit: int | None, only: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Postings of earlier and later lines that share a prefix token and pass the filters of length, position and
-    parity bits; and which later lines have more than ``limit`` such partners. With ``only``, later lines are those whose place's bit is set.
-
-    Of lines of the same words in the same order, dealt by several tasks, the first stands for all.
-    """
-    post = post[np.lexsort((post["line"], post["doc"], post["key"], post["t"]))]
-    post = post[np.r_[True, (post["t"][1:] != post["t"][:-1]) | (post["key"][1:] != post["key"][:-1])][: len(post)]]
-    post = post[np.argsort((post["t"].astype(np.uint64) << np.uint64(16)) | post["n"], kind="stable")]
-    asked = np.ones(len(post), bool) if only is None else bits_set(only, place_bit(post["doc"], post["line"]))
-    edge = np.flatnonzero(np.r_[True, post["t"][1:] != post["t"][:-1], True]) if len(post) else np.zeros(1, np.int64)
-    large = np.repeat(np.diff(edge) >= MANY, np.diff(edge))
-    count = np.zeros(len(post), np.int64)
-    full = np.zeros(len(post), bool)
+    """Places (doc, line) of earlier and later lines, as rows of two arrays, that share a prefix token and pass the filters of length, position and
+    parity bits; and of later lines that have more than ``limit`` such partners. With ``only``, later lines are those whose place's bit is set."""
+    if not len(post):
+        return (np.zeros((2, 0), np.int64),) * 3
+    c = Posted(post, percent)
+    asked = np.ones(len(c), bool) if only is None else bits_set(only, place_bit(c.doc, c.line))
+    edge = np.flatnonzero(np.r_[True, c.t[1:] != c.t[:-1], True])
+    runs = np.diff(edge)
+    # tokens of one line, and such that nobody asks about, have no pairs
+    some = (runs > 1) & (np.add.reduceat(asked, edge[:-1]) > 0)
+    count = np.zeros(len(c), np.int64)
+    full = np.zeros(len(c), bool)
     left, right = [], []
 
-    def take(of: np.ndarray, pairs: Iterator[tuple[np.ndarray, np.ndarray]], own_full: np.ndarray) -> None:
+    def take(pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> None:
         for x, y in pairs:
-            x, y = of[x], of[y]
-            doc, line = post["doc"], post["line"]
-            swap = (doc[x] > doc[y]) | ((doc[x] == doc[y]) & (line[x] > line[y]))
+            swap = (c.doc[x] > c.doc[y]) | ((c.doc[x] == c.doc[y]) & (c.line[x] > c.line[y]))
             x, y = np.where(swap, y, x), np.where(swap, x, y)
             x, y = x[asked[y]], y[asked[y]]
             np.add.at(count, y, 1)
             if limit is not None:
                 full[y] = count[y] > limit
-                room = ~full[y]
-                x, y = x[room], y[room]
-                own_full[:] = full[of]
+                x, y = x[~full[y]], y[~full[y]]
             left.append(x)
             right.append(y)
 
-    few = np.flatnonzero(~large)
-    take(few, pairs_of_a_few(post[few], percent), np.zeros(len(few), bool))
-    for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-        if b - a >= MANY:
-            of, own_full = np.arange(a, b), np.zeros(b - a, bool)
-            take(of, pairs_of_many(post[a:b], percent, asked[a:b], own_full), own_full)
+    take(pairs_of_a_few(c, np.flatnonzero(np.repeat(some & (runs < MANY), runs))))
+    for g in np.flatnonzero(some & (runs >= MANY)).tolist():
+        take(pairs_of_many(c, np.arange(edge[g], edge[g + 1]), asked, full))
     x, y = (np.concatenate(s) if s else np.zeros(0, np.int64) for s in (left, right))
-    return post[x], post[y], post[full]
+    return tuple(np.stack([c.doc[i], c.line[i].astype(np.int64)]) for i in (x, y, np.flatnonzero(full)))
 
 
 def once(rows: np.ndarray) -> np.ndarray:
@@ -326,8 +363,7 @@ def candidates(docs: DataFrame, codes: np.ndarray, parts: int, percent: int, lim
     def run(table: pa.Table) -> pa.Table:
         post = np.concatenate([np.frombuffer(b, POSTING) for b in table.column("postings").to_pylist()])
         x, y, more = meet(post, percent, limit, only)
-        kept = once(np.stack([x["doc"], x["line"], y["doc"], y["line"]]).astype(np.int64))
-        extra = once(np.stack([more["doc"], more["line"], more["doc"], more["line"]]).astype(np.int64))
+        kept, extra = once(np.concatenate([x, y])), once(np.concatenate([more, more]))
         cols = np.concatenate([kept, extra], axis=1)
         flag = np.arange(cols.shape[1]) >= kept.shape[1]
         return pa.table([pa.array(cols[0]), pa.array(cols[1].astype(np.int32)), pa.array(cols[2]), pa.array(cols[3].astype(np.int32)), pa.array(flag)], names=["x_doc", "x_line", "y_doc", "y_line", "more"])
@@ -371,12 +407,23 @@ def filter_of(places: DataFrame) -> np.ndarray:
     return gathered(places.mapInArrow(spread, "chunk int, bit int"))
 
 
-def tokens_of(docs: DataFrame, bits: np.ndarray) -> np.ndarray:
-    """A hash filter of the words of the lines whose place's bit is set."""
+def prefix_of(n: np.ndarray, percent: int) -> np.ndarray:
+    """How many of a line's ``n`` tokens, rarest first, a similar line has one of."""
+    return n - -(-percent * n // 100) + 1
+
+
+def tokens_of(docs: DataFrame, bits: np.ndarray, codes: np.ndarray, percent: int) -> np.ndarray:
+    """A hash filter of the prefix tokens of the lines whose place's bit is set."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield chunked(token_bit(hashed_words([t.encode() for t in b.column("text").to_pylist()])[0]))
+            h, line, _, _ = hashed_words([t.encode() for t in b.column("text").to_pylist()])
+            if len(h):
+                token, own, _ = by_rarity(h, line, codes)
+                first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+                n = np.diff(np.r_[first, len(own)])
+                place = np.arange(len(own)) - np.repeat(first, n)
+                yield chunked(token_bit(token[place < np.repeat(prefix_of(n, percent), n)]))
 
     return gathered(fetched(docs, bits).mapInArrow(spread, "chunk int, bit int"))
 
@@ -468,7 +515,7 @@ def flagged(rows: DataFrame, percent: int, tables: Tables) -> DataFrame:
     tidy(spark)
     if not left.isEmpty():
         bits = filter_of(left)
-        again = tables.keep(candidates(rows, codes, parts, percent, None, bits, tokens_of(rows, bits)).distinct())
+        again = tables.keep(candidates(rows, codes, parts, percent, None, bits, tokens_of(rows, bits, codes, percent)).distinct())
         rest = again.drop("more").join(first_pairs, ["x_doc", "x_line", "y_doc", "y_line"], "left_anti")
         hit = cut(hit.union(matched(rows, rest, percent)).distinct())
         tidy(spark)

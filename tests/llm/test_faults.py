@@ -175,7 +175,7 @@ def test_many_and_few_postings_give_equal_pairs(monkeypatch):
     for many in (10**9, 3):
         monkeypatch.setattr(lines, "MANY", many)
         x, y, _ = lines.meet(post.copy(), 80, None, None)
-        found.append(sorted(zip(x["doc"].tolist(), y["doc"].tolist(), strict=True)))
+        found.append(sorted(zip(x[0].tolist(), y[0].tolist(), strict=True)))
     assert found[0] == found[1] and len(set(found[0])) == len(found[0]) > 100
 
 
