@@ -20,9 +20,9 @@ RANGE_BITS = 16
 FILTER_BITS = 26
 CHUNK_BITS = 16
 #: Earlier candidates of a line that one token may give in the first round. Lines that have more, and no match among these, get a second round without a limit.
-FIRST_CANDIDATES = 8
+FIRST_CANDIDATES = 4
 #: Bytes of postings in a part, about, and parts that a task reads.
-PART_BYTES, TASK_PARTS = 2 << 20, 8
+PART_BYTES, TASK_PARTS = 2 << 20, 16
 #: Tokens that occur more often are dealt by line length as well.
 HOT_COUNT = 50_000
 #: Postings of a token from which pairs are found by equal stretches of their parity bits, not by going through all.
@@ -360,17 +360,23 @@ def once(rows: np.ndarray) -> np.ndarray:
 def candidates(docs: DataFrame, codes: np.ndarray, parts: int, percent: int, limit: int | None, only: np.ndarray | None = None, tokens: np.ndarray | None = None) -> DataFrame:
     """PAIR rows: places of lines to compare, earlier first; rows with ``more`` name a later line that had more partners than the limit."""
 
-    def run(table: pa.Table) -> pa.Table:
-        post = np.concatenate([np.frombuffer(b, POSTING) for b in table.column("postings").to_pylist()])
-        x, y, more = meet(post, percent, limit, only)
+    def of(blobs: list[bytes]) -> pa.RecordBatch:
+        x, y, more = meet(np.concatenate([np.frombuffer(b, POSTING) for b in blobs]), percent, limit, only)
         kept, extra = once(np.concatenate([x, y])), once(np.concatenate([more, more]))
         cols = np.concatenate([kept, extra], axis=1)
         flag = np.arange(cols.shape[1]) >= kept.shape[1]
-        return pa.table([pa.array(cols[0]), pa.array(cols[1].astype(np.int32)), pa.array(cols[2]), pa.array(cols[3].astype(np.int32)), pa.array(flag)], names=["x_doc", "x_line", "y_doc", "y_line", "more"])
+        return pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1].astype(np.int32)), pa.array(cols[2]), pa.array(cols[3].astype(np.int32)), pa.array(flag)], names=["x_doc", "x_line", "y_doc", "y_line", "more"])
 
-    # partitions follow the parts, so that a task's postings don't grow with the corpus
-    dealt = postings(docs, codes, parts, percent, tokens).repartition(-(-parts // TASK_PARTS), "part")
-    return dealt.groupBy("part").applyInArrow(run, PAIR)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for b in batches for r in zip(b.column("part").to_pylist(), b.column("postings").to_pylist(), strict=True))
+        for _, group in itertools.groupby(rows, key=lambda r: r[0]):
+            yield of([blob for _, blob in group])
+        trim()
+
+    # a task has TASK_PARTS parts of PART_BYTES, however many lines there are
+    tasks = -(-parts // TASK_PARTS)
+    dealt = postings(docs, codes, parts, percent, tokens).repartitionById(tasks, (F.col("part") % tasks).cast("int"))
+    return dealt.sortWithinPartitions("part").mapInArrow(run, PAIR)
 
 
 def bits_set(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
