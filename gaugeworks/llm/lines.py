@@ -216,20 +216,24 @@ def postings(docs: DataFrame, codes: np.ndarray, parts: int, percent: int, token
 
 
 class Posted:
-    """Postings as arrays by column, sorted by token and length; of lines of the same words in the same order, dealt by several tasks, the first stands for all."""
+    """Postings of tokens of several lines, as arrays by column, sorted by token and length; of lines of the same words in the same order, dealt by several tasks, the first stands for all."""
 
     def __init__(self, post: np.ndarray, percent: int):
-        c = {name: np.ascontiguousarray(post[name]) for name in post.dtype.names}
-        both = (c["t"].astype(np.uint64) << np.uint64(32)) | (c["key"] >> np.uint64(32))
-        if len(np.unique(both)) < len(both):
-            order = np.lexsort((c["line"], c["doc"], c["key"], c["t"]))
-            t, key = c["t"][order], c["key"][order]
-            order = order[np.r_[True, (t[1:] != t[:-1]) | (key[1:] != key[:-1])]]
-            c = {name: x[order] for name, x in c.items()}
-        order = np.argsort((c["t"].astype(np.uint64) << np.uint64(16)) | c["n"], kind="stable")
-        c = {name: x[order] for name, x in c.items()}
-        self.t, self.doc, self.line, self.b0, self.b1 = c["t"], c["doc"], c["line"], c["b0"], c["b1"]
-        self.n, self.p, self.percent = c["n"].astype(np.int64), c["p"].astype(np.int64), percent
+        t, key, n = (np.ascontiguousarray(post[name]) for name in ("t", "key", "n"))
+        both = (t.astype(np.uint64) << np.uint64(32)) | (key >> np.uint64(32))
+        order = np.argsort(both)
+        same = both[order[1:]] == both[order[:-1]]
+        if same.any():
+            twice = np.r_[False, same] | np.r_[same, False]
+            own = order[twice]
+            own = own[np.lexsort((post["line"][own], post["doc"][own], key[own], t[own]))]
+            order = np.r_[order[~twice], own[np.r_[True, (t[own[1:]] != t[own[:-1]]) | (key[own[1:]] != key[own[:-1]])]]]
+        order = order[np.argsort((t[order].astype(np.uint64) << np.uint64(16)) | n[order])]
+        # a token of one line has no pairs
+        alike = t[order[1:]] == t[order[:-1]]
+        post = post[order[np.r_[False, alike] | np.r_[alike, False]]] if len(order) > 1 else post[:0]
+        self.t, self.doc, self.line, self.b0, self.b1 = (np.ascontiguousarray(post[x]) for x in ("t", "doc", "line", "b0", "b1"))
+        self.n, self.p, self.percent = post["n"].astype(np.int64), post["p"].astype(np.int64), percent
 
     def __len__(self) -> int:
         return len(self.t)
@@ -267,16 +271,23 @@ def stretch_code(b0: np.ndarray, b1: np.ndarray, start: int, end: int) -> np.nda
 
 
 def pairs_of_a_few(c: Posted, of: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs that fit among the postings ``of``, in their order of token and length: a line's partners end where they get too long."""
-    t, n = c.t[of], c.n[of]
-    live, k = np.arange(max(len(of) - 1, 0)), 0
-    while len(live):
-        k += 1
-        live = live[live + k < len(of)]
-        y = live + k
-        ok = (t[live] == t[y]) & ((100 * n[live] >= c.percent * n[y]) | (n[y] == MOST_N))
-        live, y = live[ok], y[ok]
-        x, y = of[live], of[y]
+    """Pairs that fit among the postings ``of``, in their order of token and length: each with those after it, as far as these aren't too long.
+
+    The shorter line of a pair has the token among so few that as many others follow as both need. Most pairs end at half of
+    their parity bits, held against what the longest partner allows.
+    """
+    t, n, p, b0 = c.t[of].astype(np.int64), c.n[of], c.p[of], c.b0[of]
+    longest = 100 * n // c.percent
+    width = np.searchsorted((t << 17) | n, (t << 17) | longest, side="right") - np.arange(len(of)) - 1
+    width[(p * (100 + c.percent) > n * (100 - c.percent)) & (n < MOST_N)] = 0
+    order = np.argsort(-width, kind="stable")
+    order = order[: np.count_nonzero(width)]
+    width, bits = width[order], b0[order]
+    allowed = np.where(longest >= MOST_N, 64, (n + longest) * (100 - c.percent) // (100 + c.percent))[order]
+    for k in range(1, int(width[0]) + 1 if len(width) else 0):
+        m = np.searchsorted(-width, -k, side="right")
+        near = np.flatnonzero(np.bitwise_count(bits[:m] ^ b0[order[:m] + k]) <= allowed[:m])
+        x, y = of[order[near]], of[order[near] + k]
         fit = c.fits(x, y)
         yield x[fit], y[fit]
 
@@ -319,14 +330,14 @@ def pairs_of_many(c: Posted, of: np.ndarray, asked: np.ndarray, full: np.ndarray
 def meet(post: np.ndarray, percent: int, limit: int | None, only: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Places (doc, line) of earlier and later lines, as rows of two arrays, that share a prefix token and pass the filters of length, position and
     parity bits; and of later lines that have more than ``limit`` such partners. With ``only``, later lines are those whose place's bit is set."""
-    if not len(post):
-        return (np.zeros((2, 0), np.int64),) * 3
     c = Posted(post, percent)
+    if not len(c):
+        return (np.zeros((2, 0), np.int64),) * 3
     asked = np.ones(len(c), bool) if only is None else bits_set(only, place_bit(c.doc, c.line))
     edge = np.flatnonzero(np.r_[True, c.t[1:] != c.t[:-1], True])
     runs = np.diff(edge)
-    # tokens of one line, and such that nobody asks about, have no pairs
-    some = (runs > 1) & (np.add.reduceat(asked, edge[:-1]) > 0)
+    # tokens that nobody asks about have no pairs
+    some = np.add.reduceat(asked, edge[:-1]) > 0
     count = np.zeros(len(c), np.int64)
     full = np.zeros(len(c), bool)
     left, right = [], []
