@@ -26,7 +26,7 @@ PART_BYTES, TASK_PARTS = 2 << 20, 16
 #: Tokens that occur more often are dealt by line length as well.
 HOT_COUNT = 50_000
 #: Postings of a token from which pairs are found by equal stretches of their parity bits, not by going through all.
-MANY = 512
+MANY = 1024
 #: Lines that a task remembers, so as not to deal them again.
 REMEMBERED = 1 << 17
 FLUSH_BYTES = 4 << 20
@@ -234,6 +234,9 @@ class Posted:
         post = post[order[np.r_[False, alike] | np.r_[alike, False]]] if len(order) > 1 else post[:0]
         self.t, self.doc, self.line, self.b0, self.b1 = (np.ascontiguousarray(post[x]) for x in ("t", "doc", "line", "b0", "b1"))
         self.n, self.p, self.percent = post["n"].astype(np.int64), post["p"].astype(np.int64), percent
+        #: Order of places: equal places don't meet, as a line has a token once.
+        self.place = np.empty(len(post), np.int64)
+        self.place[np.lexsort((self.line, self.doc))] = np.arange(len(post))
 
     def __len__(self) -> int:
         return len(self.t)
@@ -270,8 +273,8 @@ def stretch_code(b0: np.ndarray, b1: np.ndarray, start: int, end: int) -> np.nda
     return mix(low) + high
 
 
-def pairs_of_a_few(c: Posted, of: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs that fit among the postings ``of``, in their order of token and length: each with those after it, as far as these aren't too long.
+def pairs_of_a_few(c: Posted, of: np.ndarray, wanted: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (earlier, later) that fit, the later one ``wanted``, among the postings ``of``, in their order of token and length: each with those after it, as far as these aren't too long.
 
     The shorter line of a pair has the token among so few that as many others follow as both need. Most pairs end at half of
     their parity bits, held against what the longest partner allows.
@@ -288,15 +291,18 @@ def pairs_of_a_few(c: Posted, of: np.ndarray) -> Iterator[tuple[np.ndarray, np.n
         m = np.searchsorted(-width, -k, side="right")
         near = np.flatnonzero(np.bitwise_count(bits[:m] ^ b0[order[:m] + k]) <= allowed[:m])
         x, y = of[order[near]], of[order[near] + k]
+        x, y = np.where(c.place[x] < c.place[y], x, y), np.where(c.place[x] < c.place[y], y, x)
+        still = wanted[y]
+        x, y = x[still], y[still]
         fit = c.fits(x, y)
         yield x[fit], y[fit]
 
 
-def pairs_of_many(c: Posted, of: np.ndarray, asked: np.ndarray, full: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs that fit among many postings of one token, a length class at a time with the next.
+def pairs_of_many(c: Posted, of: np.ndarray, wanted: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (earlier, later) that fit, the later one ``wanted``, among many postings of one token, a length class at a time with the next.
 
     Similar lines of such lengths differ in few parity bits, so that these, cut into a stretch more than that, agree in one: only postings
-    with an equal stretch are compared, in the order of their places, and a later line that is ``full`` looks no further.
+    with an equal stretch are compared, in the order of their places, and a later line that is not ``wanted`` any more looks no further.
     """
     size = np.floor(np.log(c.n[of]) / np.log(100 / c.percent) + 1e-9).astype(np.int64)
     for least in np.unique(size).tolist():
@@ -304,18 +310,18 @@ def pairs_of_many(c: Posted, of: np.ndarray, asked: np.ndarray, full: np.ndarray
         own, sizes = of[inside], size[inside]
         if len(own) < 2:
             continue
-        by_place = np.lexsort((c.line[own], c.doc[own]))
+        by_place = np.argsort(c.place[own])
         own, sizes = own[by_place], sizes[by_place]
         earlier: list[np.ndarray] = []
         for start, end in stretches(int(c.n[own].max()), c.percent):
             code = stretch_code(c.b0[own], c.b1[own], start, end)
             order = np.argsort(code, kind="stable")
             sorted_code = code[order]
-            at, k = np.flatnonzero(asked[own[order]]), 0
+            at, k = np.flatnonzero(wanted[own[order]]), 0
             while len(at):
                 k += 1
                 at = at[at >= k]
-                at = at[(sorted_code[at] == sorted_code[at - k]) & ~full[own[order[at]]]]
+                at = at[(sorted_code[at] == sorted_code[at - k]) & wanted[own[order[at]]]]
                 x, y = order[at - k], order[at]
                 # each pair in the first stretch that it shares, and in the class of its shorter line
                 new = np.minimum(sizes[x], sizes[y]) == least
@@ -344,19 +350,18 @@ def meet(post: np.ndarray, percent: int, limit: int | None, only: np.ndarray | N
 
     def take(pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> None:
         for x, y in pairs:
-            swap = (c.doc[x] > c.doc[y]) | ((c.doc[x] == c.doc[y]) & (c.line[x] > c.line[y]))
-            x, y = np.where(swap, y, x), np.where(swap, x, y)
-            x, y = x[asked[y]], y[asked[y]]
             np.add.at(count, y, 1)
             if limit is not None:
-                full[y] = count[y] > limit
-                x, y = x[~full[y]], y[~full[y]]
+                over = count[y] > limit
+                full[y[over]] = True
+                asked[y[over]] = False
+                x, y = x[~over], y[~over]
             left.append(x)
             right.append(y)
 
-    take(pairs_of_a_few(c, np.flatnonzero(np.repeat(some & (runs < MANY), runs))))
+    take(pairs_of_a_few(c, np.flatnonzero(np.repeat(some & (runs < MANY), runs)), asked))
     for g in np.flatnonzero(some & (runs >= MANY)).tolist():
-        take(pairs_of_many(c, np.arange(edge[g], edge[g + 1]), asked, full))
+        take(pairs_of_many(c, np.arange(edge[g], edge[g + 1]), asked))
     x, y = (np.concatenate(s) if s else np.zeros(0, np.int64) for s in (left, right))
     return tuple(np.stack([c.doc[i], c.line[i].astype(np.int64)]) for i in (x, y, np.flatnonzero(full)))
 
