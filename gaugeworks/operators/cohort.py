@@ -44,7 +44,7 @@ def balanced(items: DataFrame, specs: DataFrame, seed: int = 0, per_template: in
     right option, rank % k. Only content decides, so neither partitions nor their order matter.
     """
     rows = items.withColumn("template", text.template(F.col("question"))).withColumn("gold_text", text.answer(F.col("answer")))
-    of = rows.join(F.broadcast(specs.select("category", "template", "template_id", "options", "n_options")), ["category", "template"]).where(F.array_contains("options", F.col("gold_text")))
+    of = rows.join(specs.select("category", "template", "template_id", "options", "n_options"), ["category", "template"]).where(F.array_contains("options", F.col("gold_text")))
     place = [F.col("scene_id").cast("string"), F.col("frame_id").cast("string"), F.col("idx").cast("int")]
     parts = F.to_json(F.array(F.col("template_id"), F.col("gold_text")))
     where = F.concat(F.lit("["), F.to_json(F.array(place[0])).substr(F.lit(2), F.length(F.to_json(F.array(place[0]))) - 2), F.lit(","), F.to_json(F.array(place[1])).substr(F.lit(2), F.length(F.to_json(F.array(place[1]))) - 2), F.lit(","), place[2].cast("string"), F.lit("]"))
@@ -53,7 +53,7 @@ def balanced(items: DataFrame, specs: DataFrame, seed: int = 0, per_template: in
     least = sizes.groupBy("template_id", "n_options").agg(F.min("class_n").alias("m"), F.count(F.lit(1)).alias("k")).where("k = n_options")
     take = F.least("m", F.lit(per_template) / F.col("n_options")).cast("long") if per_template else F.col("m")
     taken = sizes.join(least.select("template_id", take.alias("take")), "template_id").where("take >= 1").select("template_id", "gold_text", "class_n", "take")
-    ordered = of.join(F.broadcast(taken), ["template_id", "gold_text"]).withColumn("o", F.when(F.col("take") < F.col("class_n"), key))
+    ordered = of.join(taken, ["template_id", "gold_text"]).withColumn("o", F.when(F.col("take") < F.col("class_n"), key))
     w = Window.partitionBy("template_id", "gold_text").orderBy("o", *place)
     chosen = ordered.withColumn("rank", F.row_number().over(w) - 1).where("rank < take")
     texts = text.counterbalanced(F.col("options"), F.col("gold_text"), F.col("rank"))
@@ -87,6 +87,29 @@ def repeat_subset(questions: DataFrame, per_cell: int) -> DataFrame:
     return ranked.where(F.col("r") <= per_cell).drop("r")
 
 
+def conversion_stats(questions: DataFrame) -> DataFrame:
+    """Questions made, by template, by template and answer, and by template and place of the right answer."""
+    sets = [("template_id",), ("template_id", "gold_text"), ("template_id", "gold_letter")]
+    grouped = questions.groupingSets([[F.col(c) for c in x] for x in sets], "template_id", "gold_text", "gold_letter").agg(F.count(F.lit(1)).alias("n"))
+    return grouped.select("template_id", "gold_text", "gold_letter", "n")
+
+
+def drift(manifest: dict, **given: object) -> list[str]:
+    """What a command says of the selection that the manifest says otherwise; None is not said."""
+    return [f"{k}: {v!r} is not {manifest['selection'].get(k)!r} of the cohort" for k, v in given.items() if v is not None and manifest["selection"].get(k) != v]
+
+
+def reselect(questions: DataFrame, manifest: dict, source_sha256: str | None = None) -> DataFrame:
+    """``select``, after a check of the source's hash and before one of the audit: a pool that has changed raises."""
+    if source_sha256 is not None and source_sha256 != manifest["source"]["sha256"]:
+        raise CohortError("the source file is not the one that the cohort was made of")
+    chosen = select(questions, manifest)
+    told = [r.asDict() for r in audit(chosen).orderBy("check_group", "category", "template_id", "gold_text", "gold_letter").collect()]
+    if told != manifest["audit"]["counts"]:
+        raise CohortError("the audit of the selected questions differs from the cohort's")
+    return chosen
+
+
 def duplicates(questions: DataFrame) -> DataFrame:
     return questions.groupBy("question_id").count().where("count > 1").select("question_id")
 
@@ -140,7 +163,7 @@ def select(questions: DataFrame, manifest: dict) -> DataFrame:
     wanted = spark.createDataFrame([(i, q) for i, q in enumerate(checked(manifest)["question_ids"])], "pos long, question_id string")
     if (missing := [r[0] for r in wanted.join(questions, "question_id", "left_anti").select("question_id").limit(5).collect()]):
         raise CohortError(f"questions are missing: {missing}")
-    return questions.join(F.broadcast(wanted), "question_id")
+    return questions.join(wanted, "question_id").orderBy("pos")
 
 
 def summary(questions: DataFrame, *keys: str) -> DataFrame:

@@ -55,6 +55,12 @@ def by_category(rows: DataFrame) -> DataFrame:
     return accuracy(rows.withColumn("category", F.coalesce(F.nullif("category", F.lit("")), F.lit("unknown"))), "model_label", "condition", "category")
 
 
+def accuracy_interval(rows: DataFrame, *keys: str, n_boot: int = 10_000, seed: int = 0) -> DataFrame:
+    """``accuracy`` with the bootstrap interval of its mean, over all rows in order of arrival."""
+    per_row = rows.select(*keys, "seq", flag("correct").cast("double").alias("value"))
+    return accuracy(rows, *keys).join(bootstrap(per_row.dropna(subset=list(keys)), list(keys), ["value"], "seq", n_boot=n_boot, seed=seed).select(*keys, "ci_low", "ci_high"), list(keys), "left")
+
+
 def chance(rows: DataFrame, *keys: str) -> DataFrame:
     """Mean of 1 / n_options over distinct questions, the last row's n_options each."""
     last = last_answers(rows.select(*keys, "question_id", "n_options", "seq"), [*keys, "question_id"])
@@ -69,19 +75,26 @@ def extraction(rows: DataFrame, *keys: str) -> DataFrame:
 
 
 def tokens(rows: DataFrame, *keys: str) -> DataFrame:
-    """Token counts in the metric that the group has, and latency. Without any reported reasoning tokens, completion tokens stand for them."""
-    w = Window.partitionBy(*keys)
-    reported = F.max(flag("reasoning_tokens_reported")).over(w)
-    rows = rows.withColumn("reported", reported).withColumn("value", F.when(F.col("reported"), F.col("reasoning_tokens")).otherwise(F.col("completion_tokens")))
-    return rows.groupBy(*keys).agg(
-        F.when(F.first("reported"), "reasoning_tokens").otherwise("completion_tokens").alias("token_metric"),
-        (~F.first("reported")).alias("is_proxy"),
+    """Token counts in the metric that the group has, and latency. Without any reported reasoning tokens, completion tokens stand for them.
+    Both metrics are aggregated at once and one is chosen, so that no row waits for its group."""
+    both = {"reasoning": "reasoning_tokens", "completion": "completion_tokens"}
+    found = rows.groupBy(*keys).agg(
+        F.coalesce(F.max(flag("reasoning_tokens_reported")), F.lit(False)).alias("reported"),
         (F.count_if(flag("reasoning_tokens_reported")) / F.count(F.lit(1))).alias("reasoning_reported_frac"),
-        F.avg("value").alias("mean_tokens"),
-        F.percentile("value", F.lit(0.5)).alias("median_tokens"),
-        F.percentile("value", F.lit(0.95)).alias("p95_tokens"),
-        F.percentile("latency_ms", F.lit(0.5)).alias("median_latency_ms"),
-        F.percentile("latency_ms", F.lit(0.95)).alias("p95_latency_ms"),
+        *[F.struct(F.avg(c).alias("mean"), F.percentile(c, F.array(F.lit(0.5), F.lit(0.95))).alias("at")).alias(n) for n, c in both.items()],
+        F.percentile("latency_ms", F.array(F.lit(0.5), F.lit(0.95))).alias("latency"),
+    )
+    own = lambda f: F.when(F.col("reported"), f("reasoning")).otherwise(f("completion"))
+    return found.select(
+        *keys,
+        own(lambda n: F.lit(both[n])).alias("token_metric"),
+        (~F.col("reported")).alias("is_proxy"),
+        "reasoning_reported_frac",
+        own(lambda n: F.col(f"{n}.mean")).alias("mean_tokens"),
+        own(lambda n: F.col(f"{n}.at")[0]).alias("median_tokens"),
+        own(lambda n: F.col(f"{n}.at")[1]).alias("p95_tokens"),
+        F.col("latency")[0].alias("median_latency_ms"),
+        F.col("latency")[1].alias("p95_latency_ms"),
     )
 
 
@@ -293,7 +306,7 @@ def efficiency(rows: DataFrame) -> DataFrame:
     w = Window.partitionBy("condition")
     axis = profile.withColumn("uniform", F.min("token_metric").over(w) == F.max("token_metric").over(w)).withColumn("axis", F.when(F.min("token_metric").over(w) == "reasoning_tokens", "reasoning_tokens").otherwise("completion_tokens"))
     value = F.when(F.col("axis") == "reasoning_tokens", F.col("reasoning_tokens")).otherwise(F.col("completion_tokens"))
-    counts = rows.join(F.broadcast(axis.select(*keys, "axis")), keys).withColumn("value", value).groupBy(*keys).agg(F.avg("value").alias("mean_tokens"), F.percentile("value", F.lit(0.5)).alias("median_tokens"))
+    counts = rows.join(axis.select(*keys, "axis"), keys).withColumn("value", value).groupBy(*keys).agg(F.avg("value").alias("mean_tokens"), F.percentile("value", F.lit(0.5)).alias("median_tokens"))
     points = accuracy(rows, *keys).select(*keys, "n", "accuracy").join(chance(rows, *keys), keys, "left").join(axis.select(*keys, F.col("axis").alias("token_metric"), "uniform", "reasoning_reported_frac"), keys).join(counts, keys).join(cost(rows, *keys).select(*keys, "usd_per_correct"), keys, "left")
     front = pareto(points, "model_label", "mean_tokens", "accuracy", "condition").select(*keys, F.lit(True).alias("on_frontier"))
     return points.join(front, keys, "left").withColumn("on_frontier", F.coalesce("on_frontier", F.lit(False)))
@@ -325,6 +338,11 @@ def warnings(rows: DataFrame, primary: tuple[str, str] | None = None) -> DataFra
     ]
     if primary is None:
         parts.append(size.select("condition", F.lit("no primary comparison")))
+    else:
+        # a primary pair that a condition lacks, in either order, leaves every comparison there secondary
+        own = F.sort_array(F.array(F.lit(primary[0]), F.lit(primary[1])))
+        there = pairs(rows).withColumn("own", F.sort_array(F.array("model_a", "model_b")) == own).groupBy("condition").agg(F.max("own").alias("own"), F.count(F.lit(1)).alias("k"))
+        parts.append(there.where("not own").select("condition", F.concat(F.lit("primary comparison is missing; family of "), F.col("k").cast("string")).alias("rule")))
     out = parts[0]
     for p in parts[1:]:
         out = out.union(p)
@@ -375,6 +393,13 @@ def robustness_interval(rows: DataFrame, baseline: str = "clean", degraded: str
     return paired_interval(rows, baseline, degraded, (), n_boot, seed).select("model_label", F.col("ci_low").alias("delta_ci_low"), F.col("ci_high").alias("delta_ci_high"))
 
 
+def paired_hash_interval(rows: DataFrame, minuend: str, subtrahend: str, also: Sequence[str] = ()) -> DataFrame:
+    """As ``paired_interval``, by ``hash_bootstrap``: the mean of a question's difference is the difference of means under one draw."""
+    names = [minuend, subtrahend, *also]
+    wide = flags(rows).where(F.col("condition").isin(names)).groupBy("model_label", "question_id").pivot("condition", names).agg(F.max(F.col("correct").cast("double"))).dropna()
+    return hash_bootstrap(wide.select("model_label", "question_id", (F.col(minuend) - F.col(subtrahend)).alias("v")), "model_label", "v", "question_id")
+
+
 def hash_bootstrap(df: DataFrame, key: str, value: str, order: str, n_boot: int = 200, alpha: float = 0.05, seed: int = 0) -> DataFrame:
     """As ``bootstrap`` for one key, with draws from MD5 in place of a generator: slower, and the same in any SQL engine."""
     numbered = df.withColumn("i", F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(key)))

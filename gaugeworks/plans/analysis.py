@@ -96,7 +96,7 @@ def cost_by_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
     nations = table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("nation"))
     # summed by order first: one row for each goes on to the other joins
     per_order = lines.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("k"), F.sum("l_quantity").alias("q"))
-    rows = per_order.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(customers, F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(nations), F.col("c_nationkey") == F.col("n_nationkey"))
+    rows = per_order.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(customers, F.col("o_custkey") == F.col("c_custkey")).join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
     return rows.groupBy("nation").agg(F.sum("k").alias("n"), F.round(F.sum("q"), 2).alias("tokens"), (F.sum("q") / 1e6 * 1.5).alias("total_usd"))
 
 
