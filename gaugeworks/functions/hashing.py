@@ -37,3 +37,10 @@ def prompt_hash(name: Column, version: Column, system: Column, user: Column) ->
 def cache_key(**fields: Column) -> Column:
     """The key of a call: everything that may change its reply. Decimal settings come as strings."""
     return sha256(canonical_json(**fields))
+
+
+def manifest_hash(images: Column, corruption: Column, severity: Column, max_edge: int = 0, jpeg_quality: int = 90) -> Column:
+    """The hash of images (array of struct<camera, path, source_sha256>) as they are sent; empty without any."""
+    refs = F.transform(images, lambda x: F.struct(x["camera"].alias("camera"), x["source_sha256"].alias("sha256")))
+    whole = canonical_json(images=refs, corruption=corruption, severity=severity, max_edge=F.lit(max_edge), jpeg_quality=F.lit(jpeg_quality))
+    return F.when(F.size(images) > 0, sha256(whole)).otherwise("")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
@@ -42,11 +43,57 @@ def sections(rows: DataFrame, primary: tuple[str, str] | None = None, baseline:
             if len(models) > 1:
                 frames["ranking"] = stats.ranking(rows, baseline, degraded)
                 frames["inversions"] = stats.inversions(rows, baseline, degraded)
-        return {name: sorted((r.asDict(True) for r in df.collect()), key=lambda r: json.dumps(r, default=str, sort_keys=True)) for name, df in frames.items()}
+        found = {name: [r.asDict(True) for r in df.collect()] for name, df in frames.items()}
+        found["robustness"] = [r for r in found.get("robustness", []) if r["n_shared"]]
+        return {name: sorted(rows, key=ORDER_OF.get(name, by_names)) for name, rows in found.items() if name in ALWAYS or rows}
     finally:
         rows.unpersist()
 
 
+def by_names(r: dict) -> tuple:
+    """Rows in the order of what they are about: their texts, from left to right."""
+    return tuple(str(v) for v in r.values() if isinstance(v, str))
+
+
+#: Sections in an order of their own: the largest differences first, the most accurate first.
+ORDER_OF = {
+    "comparisons": lambda r: (-abs(r["delta"]), by_names(r)),
+    "efficiency": lambda r: (r["condition"], -(r["accuracy"] or 0), by_names(r)),
+}
+ALWAYS = {"accuracy", "categories", "extraction", "tokens", "cost", "efficiency", "provenance", "warnings"}
+
+
+def pct(x: float | None) -> str:
+    return DASH if undefined(x) else f"{100 * x:.1f}%"
+
+
+def usd(x: float | None) -> str:
+    return DASH if undefined(x) else f"${x:.6f}"
+
+
+def pval(x: float | None) -> str:
+    return DASH if undefined(x) else "<0.0001" if x < 0.0001 else f"{x:.4f}"
+
+
+def undefined(x: object) -> bool:
+    return x is None or isinstance(x, float) and not math.isfinite(x)
+
+
+def ci(low: float | None, high: float | None) -> str:
+    return DASH if undefined(low) or undefined(high) else f"[{pct(low)}, {pct(high)}]"
+
+
+def styled(name: str) -> Callable[[object], str]:
+    """How a column is shown, by its name."""
+    if name.startswith("p_") or name == "p_value":
+        return pval
+    if name.endswith("usd") or name.startswith("usd") or "_usd" in name:
+        return usd
+    if any(x in name for x in ("accuracy", "rate", "chance", "delta", "retention", "ci_", "gap", "effect", "frac")) and "token" not in name:
+        return lambda v: pct(v) if isinstance(v, float) or v is None else str(v)
+    return shown
+
+
 def shown(value: object, places: int = 3) -> str:
     """A cell: a dash for what is undefined, never a zero."""
     if value is None or isinstance(value, float) and not math.isfinite(value):
@@ -59,7 +106,7 @@ def table(rows: list[dict]) -> str:
         return "none"
     heads = list(rows[0])
     lines = ["| " + " | ".join(heads) + " |", "|" + "---|" * len(heads)]
-    return "\n".join(lines + ["| " + " | ".join(shown(r[h]).replace("|", "\\|") for h in heads) + " |" for r in rows])
+    return "\n".join(lines + ["| " + " | ".join(styled(h)(r[h]).replace("|", "\\|") for h in heads) + " |" for r in rows])
 
 
 ORDER = ["warnings", "accuracy", "grounding", "comparisons", "efficiency", "robustness", "ranking", "inversions", "cost", "tokens", "categories", "extraction", "provenance"]

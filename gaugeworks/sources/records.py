@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import functools
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeworks.functions import text
@@ -15,8 +17,9 @@ def read_cache(spark: SparkSession, *paths: str) -> DataFrame:
 
 
 def index(records: DataFrame) -> DataFrame:
-    """(cache_key, status): the last record of each key by time."""
-    return records.groupBy("cache_key").agg(F.max_by("status", F.struct("ts", "status")).alias("status"))
+    """(cache_key, status): the last record of each key, by ``seq`` where the rows have it, else by time."""
+    order = F.col("seq") if "seq" in records.columns else F.struct("ts", "status")
+    return records.groupBy("cache_key").agg(F.max_by("status", order).alias("status"))
 
 
 def append(records: DataFrame, path: str) -> None:
@@ -25,9 +28,13 @@ def append(records: DataFrame, path: str) -> None:
 
 
 def read_scored(spark: SparkSession, *paths: str) -> DataFrame:
-    """Scored rows of all files, in their fixed schema; a malformed line is an error. ``seq`` keeps the order of files and lines."""
-    rows = spark.read.schema(SCORED).option("mode", "FAILFAST").json(list(paths))
-    return rows.withColumn("seq", F.struct(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("line")))
+    """Scored rows of all files, in their fixed schema; a malformed line is an error. ``seq`` keeps the order of the arguments, then of files and of lines in them."""
+    def one(i: int, path: str) -> DataFrame:
+        rows = spark.read.schema(SCORED).option("mode", "FAILFAST").json(path)
+        block = F.coalesce(F.col("_metadata.file_block_start"), F.lit(0))
+        return rows.withColumn("seq", F.struct(F.lit(i).alias("argument"), F.col("_metadata.file_path").alias("file"), block.alias("block"), F.monotonically_increasing_id().alias("line")))
+
+    return functools.reduce(DataFrame.union, [one(i, p) for i, p in enumerate(paths)])
 
 
 def write_scored(rows: DataFrame, path: str) -> None:
@@ -74,8 +81,3 @@ def image_manifest(spark: SparkSession, questions: DataFrame, root: str) -> Data
     wanted = questions.select("question_id", "image_paths", F.explode(text.cameras(F.col("stem"))).alias("camera")).select("question_id", "camera", F.try_element_at("image_paths", F.col("camera")).alias("path"))
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select(F.regexp_replace("path", r"^file:/*", "/").alias("full"), F.sha2("content", 256).alias("source_sha256"))
     return wanted.withColumn("full", F.concat(F.lit(root.rstrip("/") + "/"), "path")).join(files, "full", "left").drop("full")
-
-
-def last_by(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(F.desc(order))
-    return df.withColumn("n", F.row_number().over(w)).where("n = 1").drop("n")

@@ -1,7 +1,7 @@
 import pytest
 from oracle import SF, compare
 
-from gaugeworks.plans import analysis, registry, textual  # noqa: F401
+from gaugeworks.plans import analysis, collection, registry, textual  # noqa: F401
 
 
 @pytest.mark.parametrize("name", sorted(registry.SQL))

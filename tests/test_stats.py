@@ -36,6 +36,7 @@ def p_of(spark, b, c):
 
 
 def test_mcnemar(spark):
+    # fixed values: 7/32 by hand, and a published one
     assert p_of(spark, 1, 5) == pytest.approx(7 / 32)
     assert p_of(spark, 95, 87) == pytest.approx(0.6039706597292289, abs=1e-12)
     assert p_of(spark, 0, 0) == 1.0
@@ -44,9 +45,11 @@ def test_mcnemar(spark):
 
 
 def test_holm(spark):
-    df = spark.createDataFrame([("c", "a", 0.01), ("c", "b", 0.04), ("c", "d", 0.03)], "condition string, pair string, p_raw double")
+    raw = {"a": 0.2, "b": 0.002, "d": 0.011, "e": 0.9, "f": 0.012}
+    df = spark.createDataFrame([("c", k, p) for k, p in raw.items()], "condition string, pair string, p_raw double")
     got = {r["pair"]: r["p_adjusted"] for r in stats.holm(df, ["condition"]).collect()}
-    assert got == pytest.approx({"a": 0.03, "b": 0.06, "d": 0.06})
+    # the k-th least of five times 6 - k, and no less than the one before
+    assert got == pytest.approx({"b": 0.01, "d": 0.044, "f": 0.044, "a": 0.4, "e": 0.9})
 
 
 def test_primary_pair_is_not_corrected(frame):
@@ -96,8 +99,12 @@ def test_tau(spark):
 
 def test_pareto(spark):
     nan = float("nan")
-    points = spark.createDataFrame([("cheap_bad", 1.0, 0.5), ("mid", 2.0, 0.7), ("expensive_best", 3.0, 0.9), ("dominated", 3.0, 0.6), ("tied", 2.0, 0.7), ("unknown", None, 0.99), ("nan", nan, 1.0)], "l string, c double, b double")
-    assert sorted(r["l"] for r in stats.pareto(points, "l", "c", "b").collect()) == ["cheap_bad", "expensive_best", "mid", "tied"]
+    # every point against every other, by the rule: none is as good at less cost, or better at no more
+    points = [(f"p{i}", float(i * 7 % 5), (i * 11 % 6) / 6) for i in range(20)] + [("unknown", None, 0.9), ("nan", nan, 1.0)]
+    known = [p for p in points if p[1] is not None and p[1] == p[1]]
+    best = {l for l, c, b in known if not any((d <= c and e >= b) and (d < c or e > b) for _, d, e in known)}
+    df = spark.createDataFrame(points, "l string, c double, b double")
+    assert {r["l"] for r in stats.pareto(df, "l", "c", "b").collect()} == best
 
 
 def test_token_axis_falls_back_for_all(frame):
