@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 from collections.abc import Iterator
 
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugeworks.llm.common import CACHE_BYTES, Tables, cut, one_id_a_row, per_row, slices, tidy, trim, unpacked, whole_row
-from gaugeworks.llm.shingles import FOLD, hashed_words, mix, sequence_digest
+from gaugeworks.llm.shingles import FOLD, hashed_words, mix
 
 #: Counters of token frequency: a fixed number, shared by hash, so that what is broadcast doesn't grow with the vocabulary.
 COUNTER_BITS = 23
@@ -48,9 +49,18 @@ KEY_BYTES = 16
 NO_KEY = bytes(KEY_BYTES)
 
 
+#: As FOLD, but for the ends of lines.
+FOLD_IN_LINES = bytes(10 if b == 10 else f for b, f in enumerate(FOLD))
+
+
 def line_keys(text: bytes) -> list[bytes]:
     """For each line of ``text`` a cryptographic digest of its words in order, zeros for a line without words."""
-    return [sequence_digest(x) or NO_KEY for x in text.split(b"\n")]
+    out = []
+    for x in text.translate(FOLD_IN_LINES).split(b"\n"):
+        if b"  " in x or x[:1] == b" " or x[-1:] == b" ":
+            x = b" ".join(x.split())
+        out.append(hashlib.blake2b(x, digest_size=KEY_BYTES).digest() if x else NO_KEY)
+    return out
 
 
 def line_marks(h: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -82,24 +92,25 @@ def token_bit(h: np.ndarray) -> np.ndarray:
 
 
 def keys_and_counts(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, keys) with 16 bytes for each line (zeros for a line without words), and rows (bucket, counts) of token counts by range of counters."""
+    """Rows (doc_id, n_lines, keys), the lines with words and 16 bytes for each line (zeros for one without), and rows (bucket, counts) of token counts by range of counters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << COUNTER_BITS, np.uint32)
-        schema = pa.schema([("doc_id", pa.int64()), ("keys", pa.binary()), ("bucket", pa.int32()), ("counts", pa.binary())])
+        schema = pa.schema([("doc_id", pa.int64()), ("n_lines", pa.int64()), ("keys", pa.binary()), ("bucket", pa.int32()), ("counts", pa.binary())])
         for batch in batches:
             for part in slices(batch, "text", CACHE_BYTES):
                 texts = [(t or "").encode() for t in part.column("text").to_pylist()]
                 np.add.at(total, bucket_of(hashed_words(texts)[0]), np.uint32(1))
-                blobs = [b"".join(line_keys(t)) for t in texts]
-                yield pa.RecordBatch.from_arrays([part.column("id").cast(pa.int64()), pa.array(blobs, pa.binary()), pa.nulls(len(blobs), pa.int32()), pa.nulls(len(blobs), pa.binary())], schema=schema)
+                keys = [line_keys(t) for t in texts]
+                blobs = [b"".join(k) for k in keys]
+                yield pa.RecordBatch.from_arrays([part.column("id").cast(pa.int64()), pa.array([len(k) - k.count(NO_KEY) for k in keys], pa.int64()), pa.array(blobs, pa.binary()), pa.nulls(len(blobs), pa.int32()), pa.nulls(len(blobs), pa.binary())], schema=schema)
         at = np.flatnonzero(total)
         if len(at):
             cut_at = np.flatnonzero(np.r_[True, np.diff(at >> RANGE_BITS) > 0, True])
             rows = [(int(at[a]) >> RANGE_BITS, np.stack([at[a:b] & ((1 << RANGE_BITS) - 1), total[at[a:b]]]).astype("<u4").tobytes()) for a, b in zip(cut_at[:-1], cut_at[1:], strict=True) if a < len(at)]
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(rows), pa.int64()), pa.nulls(len(rows), pa.binary()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(rows), pa.int64()), pa.nulls(len(rows), pa.int64()), pa.nulls(len(rows), pa.binary()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], schema=schema)
 
-    return docs.mapInArrow(run, "doc_id long, keys binary, bucket int, counts binary")
+    return docs.mapInArrow(run, "doc_id long, n_lines long, keys binary, bucket int, counts binary")
 
 
 def frequencies(counted: DataFrame) -> tuple[np.ndarray, int]:
@@ -148,10 +159,9 @@ def postings(docs: DataFrame, codes: np.ndarray, parts: int, percent: int, token
         h, line, per_text = words_by_line(texts)
         if tokens is not None and len(h):
             # whole lines, of which a token is wanted
-            number_of, place = np.unique(line, return_inverse=True)
-            wanted = np.zeros(len(number_of), bool)
-            wanted[place[bits_set(tokens, token_bit(h))]] = True
-            h, line = h[wanted[place]], line[wanted[place]]
+            begin = np.flatnonzero(np.r_[True, line[1:] != line[:-1]])
+            wanted = np.repeat(np.logical_or.reduceat(bits_set(tokens, token_bit(h)), begin), np.diff(np.r_[begin, len(h)]))
+            h, line = h[wanted], line[wanted]
         if not len(h):
             return np.zeros(0, np.int64), np.zeros(0, POSTING)
         at, marks = line_marks(h, line)
@@ -525,27 +535,29 @@ def flagged(rows: DataFrame, percent: int, tables: Tables) -> DataFrame:
     codes, tokens = frequencies(counted)
     parts = max(96, -(-int(tokens * 0.2 * POSTING.itemsize) // PART_BYTES))
     each = F.transform(F.sequence(F.lit(0), F.expr(f"length(keys) div {KEY_BYTES} - 1").cast("int")), lambda i: F.expr("keys").substr(i * KEY_BYTES + 1, F.lit(KEY_BYTES)))
-    lines = counted.where("bucket is null").select("doc_id", F.posexplode(each).alias("line", "key")).where(F.col("key") != F.lit(NO_KEY))
-    classes = lines.where("doc_id is not null").groupBy("key").agg(F.min(F.struct("doc_id", "line")).alias("first"))
+    texts = counted.where("bucket is null")
+    lines = texts.select("doc_id", F.posexplode(each).alias("line", "key")).where(F.col("key") != F.lit(NO_KEY))
+    # all but the first line of a class go, whatever becomes of that
+    classes = lines.groupBy("key").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "first")
+    again = tables.keep(lines.join(classes, "key").where(F.struct("doc_id", "line") != F.col("first")).select(F.col("doc_id").alias("doc"), "line"))
+    tidy(spark)
     found = tables.keep(candidates(rows, codes, parts, percent, FIRST_CANDIDATES).distinct())
     tidy(spark)
     first_pairs = found.where("not more").drop("more")
     hit = cut(matched(rows, first_pairs, percent))
     left = found.where("more").select(F.col("y_doc").alias("doc"), F.col("y_line").alias("line")).distinct().join(hit, ["doc", "line"], "left_anti")
-    firsts = classes.select(F.col("first.doc_id").alias("doc"), F.col("first.line").alias("line"))
-    left = cut(left.join(firsts, ["doc", "line"], "left_semi"))
+    left = cut(left.join(again, ["doc", "line"], "left_anti"))
     tidy(spark)
     if not left.isEmpty():
         bits = filter_of(left)
-        again = tables.keep(candidates(rows, codes, parts, percent, None, bits, tokens_of(rows, bits, codes, percent)).distinct())
-        rest = again.drop("more").join(first_pairs, ["x_doc", "x_line", "y_doc", "y_line"], "left_anti")
+        more = tables.keep(candidates(rows, codes, parts, percent, None, bits, tokens_of(rows, bits, codes, percent)).distinct())
+        rest = more.drop("more").join(first_pairs, ["x_doc", "x_line", "y_doc", "y_line"], "left_anti")
         hit = cut(hit.union(matched(rows, rest, percent)).distinct())
         tidy(spark)
-    marked = classes.select("key", F.col("first.doc_id").alias("doc"), F.col("first.line").alias("line")).join(hit.withColumn("hit", F.lit(True)), ["doc", "line"], "left")
-    judged = lines.join(marked.select("key", F.struct("doc", "line").alias("first"), "hit"), "key", "left")
-    gone = F.coalesce((F.struct(F.col("doc_id").alias("doc"), "line") != F.col("first")) | F.col("hit"), F.lit(False))
-    kept = judged.select(F.col("doc_id"), "line", F.when(F.col("doc_id").isNotNull(), gone).otherwise(False).alias("gone"))
-    return kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"), F.count_if("gone").alias("n_removed"), F.array_sort(F.collect_set(F.when(F.col("gone"), F.col("line")))).alias("removed"))
+    gone = again.union(hit).groupBy("doc").agg(F.array_sort(F.collect_set("line")).alias("removed"))
+    told = texts.where("n_lines > 0").join(gone, F.col("doc_id") == F.col("doc"), "left")
+    removed = F.coalesce("removed", F.expr("cast(array() as array<int>)"))
+    return told.select("doc_id", "n_lines", F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"))
 
 
 def report(docs: DataFrame, percent: int = 80) -> DataFrame:
