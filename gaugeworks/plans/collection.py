@@ -143,7 +143,7 @@ def pilot_head(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collect.limited(_questions(spark, sf_dir), 20).select("question_id")
 
 
-@register("bounded_examples", "SELECT i.category, substr(i.stem, 1, 420) AS question, i.gold_text AS answer FROM items i QUALIFY row_number() OVER (PARTITION BY i.category ORDER BY i.scene_id, i.frame_id, i.idx) <= 3", ITEMS)
+@register("bounded_examples", "SELECT i.category, substr(replace(i.stem, 'What of ', 'What of  '), 1, 420) AS question, CASE WHEN i.gold_text = 'Good' THEN ' Good. ' ELSE 'Not  good' END AS answer FROM items i QUALIFY row_number() OVER (PARTITION BY i.category ORDER BY i.scene_id, i.frame_id, i.idx) <= 3", ITEMS)
 def bounded_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three items of each category, cut to a length, as a report shows them; a limit is the feature here."""
     return annotations.examples(items(spark, sf_dir))
