@@ -136,13 +136,13 @@ def with_hits(docs: DataFrame, *names: str) -> StructType:
 
 
 def searched(docs: DataFrame, search: Search) -> DataFrame:
-    """(row, place, n, runs, items) for docs(row, text, place): the words, runs of hit words and items found by one pass."""
+    """(row, place, text, n, runs, items) for docs(row, text, place): the words, runs of hit words and items found by one pass."""
 
     def f(c: dict[str, list]) -> list:
         found = [search.hits(t) for t in c["text"]]
-        return [c["row"], c["place"], [n for n, _, _ in found], [[{"s": s, "e": e} for s, e in r] for _, r, _ in found], [i for _, _, i in found]]
+        return [c["row"], c["place"], c["text"], [n for n, _, _ in found], [[{"s": s, "e": e} for s, e in r] for _, r, _ in found], [i for _, _, i in found]]
 
-    return per_row(docs, with_hits(docs, "row", "place"), "text", f)
+    return per_row(docs, with_hits(docs, "row", "place", "text"), "text", f)
 
 
 def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -157,19 +157,20 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     names = [c for c in docs.columns if c not in ("gw_words", "gw_runs", "gw_items")]
     place = F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
-    packed = docs.select(whole_row(names).alias("row"), F.col("text").cast("string").alias("text"), place.alias("place"))
+    # the text travels once, beside the other columns
+    packed = docs.select(whole_row([c for c in names if c != "text"]).alias("row"), F.col("text").cast("string").alias("text"), place.alias("place"))
     blocks = passes(benchmark)
     first, second = next(blocks), next(blocks, None)
     if second is None:
         out = searched(packed, Search(first))
     else:
         with Tables(docs.sparkSession) as tables:
-            bare = packed.select(F.lit(0).alias("row"), "text", "place")
+            bare = packed.select(F.struct(F.lit(0)).alias("row"), "text", "place")
             hits = [tables.keep(searched(bare, Search(b)).where(F.size("runs") > 0).select("place", "runs", "items").distinct()) for b in itertools.chain([first, second], blocks)]
             every = functools.reduce(DataFrame.union, hits)
             every = every.groupBy("place").agg(F.flatten(F.collect_list("runs")).alias("old"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("known"))
-            out = cut(joined(searched(packed, Search([])).withColumn("text", F.lit("")), every))
-    return out.select(*unpacked(names), F.col("n").alias("gw_words"), F.col("runs").alias("gw_runs"), F.array_sort("items").alias("gw_items"))
+            out = cut(joined(searched(packed, Search([])), every))
+    return out.select(*unpacked(names, text=F.col("text")), F.col("n").alias("gw_words"), F.col("runs").alias("gw_runs"), F.array_sort("items").alias("gw_items"))
 
 
 def joined(counted: DataFrame, every: DataFrame) -> DataFrame:
@@ -178,9 +179,9 @@ def joined(counted: DataFrame, every: DataFrame) -> DataFrame:
 
     def f(c: dict[str, list]) -> list:
         runs = [[{"s": s, "e": e} for s, e in merged([(r["s"], r["e"]) for r in old or []])] for old in c["old"]]
-        return [c["row"], c["n"], runs, [k or [] for k in c["known"]]]
+        return [c["row"], c["text"], c["n"], runs, [k or [] for k in c["known"]]]
 
-    return per_row(both, with_hits(both, "row"), "text", f)
+    return per_row(both, with_hits(both, "row", "text"), "text", f)
 
 
 def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
