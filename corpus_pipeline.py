@@ -13,11 +13,16 @@ from gaugeworks.llm import bpe, decontamination, lines, neardup, quality
 from gaugeworks.llm.common import remove, scratch, table, unpacked, whole_row
 
 
+def beside_text(docs: DataFrame) -> DataFrame:
+    """docs as (row, doc_id, text), so that columns of any name pass through a stage; the text isn't in the row a second time."""
+    return docs.select(whole_row([c for c in docs.columns if c != "text"]).alias("row"), "doc_id", "text")
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the counts and the trees keep. Each row is judged by its text alone, so that repeated rows and ids share a fate; a null or empty text has no words and goes."""
-    own = docs.select(whole_row(docs.columns).alias("row"), F.col("doc_id"), F.col("text").cast("string").alias("text"))
+    own = beside_text(docs)
     verdict = quality.judge(own, quality.learn(docs, table(spark, sf_dir, "labels")), keep_row=True).where("gw_kept")
-    return verdict.select(*unpacked(docs.columns))
+    return verdict.select(*unpacked(docs.columns, text=F.col("text")))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,9 +46,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no window of a benchmark item occurs. Each row is searched by itself; a null or empty text stays."""
-    own = docs.select(whole_row(docs.columns).alias("row"), "doc_id", "text")
-    found = decontamination.find(own, table(spark, sf_dir, "benchmark")).where(F.size("gw_runs") == 0)
-    return found.select(*unpacked(docs.columns))
+    found = decontamination.find(beside_text(docs), table(spark, sf_dir, "benchmark")).where(F.size("gw_runs") == 0)
+    return found.select(*unpacked(docs.columns, text=F.col("text")))
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
