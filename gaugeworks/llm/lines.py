@@ -109,6 +109,8 @@ def keys_and_counts(docs: DataFrame) -> DataFrame:
             cut_at = np.flatnonzero(np.r_[True, np.diff(at >> RANGE_BITS) > 0, True])
             rows = [(int(at[a]) >> RANGE_BITS, np.stack([at[a:b] & ((1 << RANGE_BITS) - 1), total[at[a:b]]]).astype("<u4").tobytes()) for a, b in zip(cut_at[:-1], cut_at[1:], strict=True) if a < len(at)]
             yield pa.RecordBatch.from_arrays([pa.nulls(len(rows), pa.int64()), pa.nulls(len(rows), pa.int64()), pa.nulls(len(rows), pa.binary()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], schema=schema)
+        del total
+        trim()
 
     return docs.mapInArrow(run, "doc_id long, n_lines long, keys binary, bucket int, counts binary")
 
