@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from gaugeworks.llm.common import cut, tidy
 
+#: Links in a file of a round, about: files follow the links, not the session's number of partitions.
+FILE_LINKS = 1 << 18
+
 
 def components(links: DataFrame) -> DataFrame:
     """(id, label) of each id in links(a, b): label is the least id that it can be reached from, itself included.
@@ -16,13 +19,13 @@ def components(links: DataFrame) -> DataFrame:
     aggregated before they are joined back, so an id with very many links is no one task's work.
     """
     edges = cut(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    while not edges.isEmpty():
+    while n := edges.count():
         both = edges.union(edges.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.where("m < u").select("u", F.col("m").alias("v"))).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct()
-        edges = cut(small)
+        edges = cut(small.coalesce(-(-n // FILE_LINKS)))
         tidy(links.sparkSession)
         # done when every id has one link, and to an id that has none
         tangled = edges.groupBy("u").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
