@@ -11,14 +11,14 @@ from gaugeworks.llm.common import cut, tidy
 FILE_LINKS = 1 << 18
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, files: int | None = None) -> DataFrame:
     """(id, label) of each id in links(a, b): label is the least id that it can be reached from, itself included.
 
     Large and small stars alternate: each id's neighbours are linked to the least of them, until every link
     leads to the least id of its component. Rounds grow with the logarithm of a component's diameter. Minima are
-    aggregated before they are joined back, so an id with very many links is no one task's work.
+    aggregated before they are joined back, so an id with very many links is no one task's work. The first round has ``files`` files at most.
     """
-    edges = cut(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    edges = cut(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), files)
     while n := edges.count():
         both = edges.union(edges.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))

@@ -30,6 +30,8 @@ LEAST_PERCENT = 80
 SMALL = 3
 #: Bytes of sketches, or of sketches and texts, in a block of the last step, about.
 BLOCK_BYTES = 1 << 19
+#: Documents for which tables of links have a file, about: files follow the documents, not the session's number of partitions.
+FILE_DOCS = 5_000
 #: Buckets that an empty one borrows from, in this order.
 DONORS = np.random.default_rng(8).integers(0, BUCKETS, (BUCKETS, 64))
 
@@ -199,12 +201,13 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80, id_column: str = "doc
     if percent < LEAST_PERCENT:
         raise ValueError(f"percent has to be {LEAST_PERCENT} at least: bands and size classes would lose pairs at {percent}")
     with Tables(docs.sparkSession) as tables:
-        return cut(grouped(docs, k, percent, id_column, text_column, tables))
+        return grouped(docs, k, percent, id_column, text_column, tables)
 
 
 def grouped(docs: DataFrame, k: int, percent: int, id_column: str, text_column: str, tables: Tables) -> DataFrame:
     rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"))
     known = tables.keep(sketches(rows, k))
+    files = max(1, -(-known.count() // FILE_DOCS))
     least = known.where("digest is not null and id is not null").groupBy("digest").agg(F.min("id").alias("rep"))
     member = known.select("id", "n", "digest").join(least, "digest", "left").select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("rep", "id")).alias("rep"))
     reps = known.join(least.select(F.col("rep").alias("id"), F.col("digest").alias("own")), "id").where("digest = own").select("id", "n", "registers")
@@ -220,29 +223,29 @@ def grouped(docs: DataFrame, k: int, percent: int, id_column: str, text_column:
     best = pairs.groupBy("b").agg(F.max_by("a", F.struct("bands", "a")).alias("a")).select("a", "b")
     # rows of one id are one document, whatever their texts
     own = member.where("rep is not null").groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a < z").select("id", "a")
-    links = cut(confirmed(best, registers, texts, k, percent).union(member.join(own, "id").where("rep <> a").select("a", F.col("rep").alias("b"))))
-    label = components(links)
+    links = cut(confirmed(best, registers, texts, k, percent).union(member.join(own, "id").where("rep <> a").select("a", F.col("rep").alias("b"))), files)
+    label = components(links, files)
     side = lambda c: label.select(F.col("id").alias(c), F.col("label").alias(f"label_{c}"))
     apart = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").where(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select("a", "b")
-    more = cut(confirmed(apart, registers, texts, k, percent))
+    more = cut(confirmed(apart, registers, texts, k, percent), files)
     tidy(docs.sparkSession)
     if not more.isEmpty():
         links = links.union(more)
-        label = components(links)
+        label = components(links, files)
     # a leader has met all of its band
     others = inside.where("id <> leader").select("key", "id").join(label, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
     split = others.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key")
-    others = cut(others.join(split, "key", "left_semi"))
+    others = cut(others.join(split, "key", "left_semi"), files)
     if not others.isEmpty():
         firsts = others.groupBy("key").agg(F.min("id").alias("a"))
         chained = others.join(firsts, "key").where("id <> a").select("a", F.col("id").alias("b")).distinct()
-        family = components(chained).select("id", F.col("label").alias("family"))
+        family = components(chained, files).select("id", F.col("label").alias("family"))
         members = tables.keep(others.select("id", "label").distinct().join(family, "id").join(registers, "id"))
         ends = across(members, k, percent, False).select(F.col("a").alias("id"))
         left = members.join(ends, "id", "left_semi").join(texts, "id")
-        more = cut(across(left.select("family", "id", "label", "registers", F.coalesce("text", F.lit("")).alias("text")), k, percent, True))
+        more = cut(across(left.select("family", "id", "label", "registers", F.coalesce("text", F.lit("")).alias("text")), k, percent, True), files)
         tidy(docs.sparkSession)
         if not more.isEmpty():
-            label = components(links.union(more))
+            label = components(links.union(more), files)
     label = label.select(F.col("id").alias("rep"), "label")
-    return member.join(label, "rep", "left").select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), F.coalesce("label", "rep").alias("component_id"))
+    return cut(member.join(label, "rep", "left").select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), F.coalesce("label", "rep").alias("component_id")), files)
