@@ -16,7 +16,7 @@ from gaugeworks.llm.common import per_row
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 
-#: Words whose ids a worker keeps; beyond it the store is emptied, which changes speed and not ids.
+#: Words whose ids a task keeps; beyond it the store is emptied, which changes speed and not ids.
 KEPT_WORDS = 400_000
 #: Symbols that one batch of merge rounds holds, about.
 BATCH_SYMBOLS = 200_000
@@ -139,12 +139,18 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
+def forget(path: str) -> None:
+    """Empties the store of words at a task's end: workers live on, and would hold it through every stage that follows."""
+    if codec.cache_info().currsize:
+        codec(path).ids = {}
+
+
 def encode(df: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """id_column, ids array<int>, decoded: each text's token ids and the text that they decode to.
 
     Each worker reads the vocabulary at ``path``, which every machine has. Special strings in a
-    text become their ids. A text of any length is encoded whole; words are shared between texts,
-    so each distinct word of a batch is merged once. Null or empty text: no ids, decoded ''. Repeated rows and ids
+    text become their ids. A text of any length is encoded whole; words are shared between the texts of a task,
+    so each distinct word is merged about once there. Null or empty text: no ids, decoded ''. Repeated rows and ids
     are encoded each; other columns are not read; empty input gives no rows. Lone surrogates cannot occur in Spark strings.
     """
 
@@ -154,7 +160,7 @@ def encode(df: DataFrame, path: str, id_column: str = "doc_id", text_column: str
         return [x["id"], ids, [c.decode(i) for i in ids]]
 
     kind = df.schema[id_column].dataType.simpleString()
-    return per_row(df.selectExpr(f"`{id_column}` as id", f"`{text_column}` as text"), f"`{id_column}` {kind}, ids array<int>, decoded string", "text", f)
+    return per_row(df.selectExpr(f"`{id_column}` as id", f"`{text_column}` as text"), f"`{id_column}` {kind}, ids array<int>, decoded string", "text", f, done=lambda: forget(path))
 
 
 def digests(df: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -171,4 +177,4 @@ def digests(df: DataFrame, path: str, id_column: str = "doc_id", text_column: st
         ]
 
     kind = df.schema[id_column].dataType.simpleString()
-    return per_row(df.selectExpr(f"`{id_column}` as id", f"`{text_column}` as text"), f"`{id_column}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string", "text", f)
+    return per_row(df.selectExpr(f"`{id_column}` as id", f"`{text_column}` as text"), f"`{id_column}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string", "text", f, done=lambda: forget(path))
