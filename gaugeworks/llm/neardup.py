@@ -217,6 +217,7 @@ def grouped(docs: DataFrame, k: int, percent: int, id_column: str, text_column:
     near = inside.select("id").distinct()
     registers = tables.keep(reps.join(near, "id").select("id", "registers"))
     texts = tables.keep(rows.join(near, "id", "left_semi"))
+    tidy(docs.sparkSession)  # here and below: what plans leave would fill the driver's heap step by step
 
     # first the leader that shares most bands, then those of other bands from which that hasn't linked
     pairs = inside.where("id <> leader").groupBy(F.col("leader").alias("a"), F.col("id").alias("b")).agg(F.count(F.lit(1)).alias("bands"))
@@ -236,11 +237,13 @@ def grouped(docs: DataFrame, k: int, percent: int, id_column: str, text_column:
     others = inside.where("id <> leader").select("key", "id").join(label, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
     split = others.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key")
     others = cut(others.join(split, "key", "left_semi"), files)
+    tidy(docs.sparkSession)
     if not others.isEmpty():
         firsts = others.groupBy("key").agg(F.min("id").alias("a"))
         chained = others.join(firsts, "key").where("id <> a").select("a", F.col("id").alias("b")).distinct()
         family = components(chained, files).select("id", F.col("label").alias("family"))
         members = tables.keep(others.select("id", "label").distinct().join(family, "id").join(registers, "id"))
+        tidy(docs.sparkSession)
         ends = across(members, k, percent, False).select(F.col("a").alias("id"))
         left = members.join(ends, "id", "left_semi").join(texts, "id")
         more = cut(across(left.select("family", "id", "label", "registers", F.coalesce("text", F.lit("")).alias("text")), k, percent, True), files)
