@@ -46,3 +46,16 @@ def test_second_round_of_few_lines_and_of_many(spark, monkeypatch, most, rounds)
     got = lines.report(spark.createDataFrame([*rows, (None, rows[0][1])], "doc_id long, text string")).where("doc_id is not null")
     assert {x["doc_id"]: (x["n_lines"], x["removed"]) for x in got.collect()} == brute.removed_lines(rows)
     assert len(called) == rounds
+
+
+def test_classes_of_equal_lines_are_dealt_in_blocks_and_a_common_key_once_a_flush(spark, monkeypatch):
+    monkeypatch.setattr(lines, "FLUSH_BYTES", 40 * lines.KEYED.itemsize)
+    monkeypatch.setattr(lines, "CACHE_BYTES", 400)
+    rows = [(i, f"the same line\nline of {i % 70}\n\nthe  Same line\n{i} alone") for i in range(400)]
+    docs = spark.createDataFrame(rows, "id long, text string").selectExpr("id", "id as own", "xxhash64(text) as text_hash", "text").repartition(4)
+    counted = lines.keys_and_counts(docs).persist()
+    dealt = [np.frombuffer(r["keys"], lines.KEYED) for r in counted.where("part >= 0").collect()]
+    assert all(len(set(zip(x["k0"].tolist(), x["k1"].tolist(), strict=True))) == len(x) for x in dealt) and sum(map(len, dealt)) < 1_200
+    got = {(r["doc"], r["line"]) for r in lines.repeats(counted).collect()}
+    assert got == {(i, k) for i in range(400) for k in (0, 1, 3) if (i, k) != (0, 0) and (k != 1 or i >= 70)}
+    assert lines.repeats(counted).count() == len(got)
