@@ -71,6 +71,22 @@ def test_rows_of_one_id_are_documents_of_their_own(spark):
     assert groups == sorted([(-1, -1), (-1, -1), (1, 1), (1, 1), (2, 1), (3, 3), (4, 3), (4, 3), (4, 3), (5, 5), (5, 5)])
 
 
+def test_runs_of_edges_stay_whole_where_joins_change_while_running(spark):
+    rnd = random.Random(3)
+    text = lambda n: "".join(rnd.choice("abcdefgh ij") for _ in range(n))
+    passages = [text(rnd.randint(401, 449)) for _ in range(60)]
+    rows = [(60 * copy + i, text(rnd.randint(1, 99)) + p + text(rnd.randint(1, 99))) for copy in range(2) for i, p in enumerate(passages)]
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10m", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        found = suffix.report(spark.createDataFrame(rows, "doc_id long, text string").repartitionByRange(2, "doc_id")).collect()
+    finally:
+        for key in settings:
+            spark.conf.unset(key)
+    assert {x["doc_id"]: (x["n_bytes"], x["n_removed"], x["n_spans"], x["kept_sha256"]) for x in found} == brute.without_repeats(rows)
+
+
 def test_columns_of_any_name_pass(spark):
     rows = [(1, "a b c d e\nq", 1, 2, 3, 4), (2, "a b c d e\nz", 5, 6, 7, 8)]
     df = spark.createDataFrame(rows, "doc_id long, text string, gw_removed int, removed int, place int, `a.b` int")
