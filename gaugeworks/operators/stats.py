@@ -10,9 +10,12 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gaugeworks.functions.md5 import draws
+
 #: Fields that have to be the same for all rows of a model; prompt_key may differ.
 PROVENANCE = [
     "model_string", "served_model", "served_by", "served_provider", "quantization", "thinking_effort", "max_tokens", "temperature",
@@ -400,11 +403,33 @@ def paired_hash_interval(rows: DataFrame, minuend: str, subtrahend: str, also: S
     return hash_bootstrap(wide.select("model_label", "question_id", (F.col(minuend) - F.col(subtrahend)).alias("v")), "model_label", "v", "question_id")
 
 
-def hash_bootstrap(df: DataFrame, key: str, value: str, order: str, n_boot: int = 200, alpha: float = 0.05, seed: int = 0) -> DataFrame:
-    """As ``bootstrap`` for one key, with draws from MD5 in place of a generator: slower, and the same in any SQL engine."""
-    numbered = df.withColumn("i", F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(key)))
-    draws = numbered.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
-    index = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), "b", "i")), 1, 8), 16, 10).cast("long") % F.col("n")
-    drawn = draws.select(key, "b", index.alias("i")).join(numbered.select(key, "i", F.col(value).cast("double").alias("v")), [key, "i"])
-    means = drawn.groupBy(key, "b").agg((F.sum("v") / F.count(F.lit(1))).alias("m"))
+def hash_bootstrap(df: DataFrame, key: str, value: str, order: str, n_boot: int = 200, alpha: float = 0.05, seed: int = 0, block: int = 16_384, parts: int = 10) -> DataFrame:
+    """As ``bootstrap`` for one key, with draws from MD5 in place of a generator: slower, and the same in any SQL engine.
+
+    Values travel in blocks, once for each of ``parts`` ranges of resamples; no row is made for a draw. A range is one task's work, which holds the values of its key.
+    """
+    kind, step = df.schema[key].dataType.simpleString(), -(-n_boot // parts)
+    place = F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1
+    numbered = df.where(F.col(key).isNotNull()).select(key, place.alias("i"), F.col(value).cast("double").alias("v"))
+    blocks = numbered.groupBy(key, F.floor(F.col("i") / block).alias("at")).agg(F.sort_array(F.collect_list(F.struct("i", "v")))["v"].alias("v"))
+    dealt = blocks.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    # a number of partitions of its own: small ones would be put together by their bytes, which say nothing of the draws
+    dealt = dealt.repartition(8 * parts, key, "part")
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by("at")
+        first = t.column("part")[0].as_py() * step
+        v = pc.list_flatten(t.column("v")).combine_chunks()
+        known = v.is_valid().to_numpy(zero_copy_only=False) if v.null_count else None
+        v = v.fill_null(0.0).to_numpy(zero_copy_only=False)
+        n, mine = len(v), range(first, min(first + step, n_boot))
+        total, any_known = dict.fromkeys(mine, 0.0), dict.fromkeys(mine, known is None)
+        for b, x in draws(seed, mine, n):
+            x %= np.uint32(n)
+            total[b] += v[x].sum()
+            any_known[b] = any_known[b] or known[x].any()
+        means = [float(total[b] / n) if any_known[b] else None for b in mine]
+        return pa.table({key: pa.array([t.column(key)[0].as_py()] * len(mine), t.schema.field(key).type), "m": pa.array(means, pa.float64())})
+
+    means = dealt.groupBy(key, "part").applyInArrow(run, f"`{key}` {kind}, m double")
     return means.groupBy(key).agg(F.percentile("m", F.lit(alpha / 2)).alias("ci_low"), F.percentile("m", F.lit(1 - alpha / 2)).alias("ci_high"))
