@@ -4,9 +4,11 @@ import hashlib
 
 import numpy as np
 import pytest
+from oracle import SF
 
 from gaugeworks.functions.md5 import draws
 from gaugeworks.operators import stats
+from gaugeworks.plans import analysis, collection, registry  # noqa: F401
 
 
 def drawn(seed, b, n):
@@ -42,9 +44,8 @@ def test_hash_bootstrap(spark, n_boot, parts):
         assert got[g] == pytest.approx(interval(values, n_boot), abs=1e-12)
 
 
-def test_no_row_is_made_for_a_draw(spark):
-    df = spark.range(0, 20_000, 1, 4).selectExpr("'m' as g", "id", "cast(id % 2 as double) as v")
-    found = stats.hash_bootstrap(df, "g", "v", "id", n_boot=50)
+def rows_made(df):
+    """The most rows that a step of the plan made."""
     made = []
 
     def walk(node):
@@ -57,6 +58,16 @@ def test_no_row_is_made_for_a_draw(spark):
         for i in range(node.children().size()):
             walk(node.children().apply(i))
 
-    assert len(found.collect()) == 1
-    walk(found._jdf.queryExecution().executedPlan())
-    assert made and max(made) == 20_000
+    assert df.collect()
+    walk(df._jdf.queryExecution().executedPlan())
+    return max(made)
+
+
+def test_no_row_is_made_for_a_draw(spark):
+    df = spark.range(0, 20_000, 1, 4).selectExpr("'m' as g", "id", "cast(id % 2 as double) as v")
+    assert rows_made(stats.hash_bootstrap(df, "g", "v", "id", n_boot=50)) == 20_000
+
+
+@pytest.mark.parametrize("name", ["grounding_ci", "hash_bootstrap_ci"])
+def test_queries_make_no_more_rows_than_events(spark, name):
+    assert rows_made(registry.QUERIES[name](spark, SF)) == spark.read.parquet(f"{SF}/events.parquet").count()
