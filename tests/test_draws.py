@@ -68,6 +68,6 @@ def test_no_row_is_made_for_a_draw(spark):
     assert rows_made(stats.hash_bootstrap(df, "g", "v", "id", n_boot=50)) == 20_000
 
 
-@pytest.mark.parametrize("name", ["grounding_ci", "hash_bootstrap_ci"])
+@pytest.mark.parametrize("name", ["grounding_ci", "robustness_ci", "hash_bootstrap_ci"])
 def test_queries_make_no_more_rows_than_events(spark, name):
     assert rows_made(registry.QUERIES[name](spark, SF)) == spark.read.parquet(f"{SF}/events.parquet").count()
